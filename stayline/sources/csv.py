@@ -58,7 +58,8 @@ def _read_events_raw(spark: SparkSession, path, payload: int) -> DataFrame:
     schema = event_schema(payload).add(CORRUPT, T.StringType())
     return (
         spark.read.schema(schema)
-        .options(header=True, enforceSchema=True, mode="PERMISSIVE",
+        # A pruned line is not checked for its number of fields.
+        .options(header=True, enforceSchema=True, mode="PERMISSIVE", columnPruning=False,
                  columnNameOfCorruptRecord=CORRUPT, **_RFC_QUOTES)
         .csv(path)
     )
@@ -80,9 +81,9 @@ def read_events(spark: SparkSession, path, payload: int = 4) -> DataFrame:
 def read_rejected_events(spark: SparkSession, path, payload: int = 4) -> DataFrame:
     """The over-long lines that ``read_events`` leaves out."""
     width = len(event_schema(payload))
-    return _read_events_raw(spark, path, payload).where(_too_long(width)).select(
-        F.col(CORRUPT).alias("line")
-    )
+    raw = _read_events_raw(spark, path, payload)
+    # A query of the raw line alone is refused, so a parsed column rides along.
+    return raw.where(_too_long(width)).select("user_id", F.col(CORRUPT).alias("line"))
 
 
 def join_parts(first: DataFrame, *rest: DataFrame) -> DataFrame:
