@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from stayline.operators.chunks import Chunk, LANGUAGES, Model
 from stayline.operators.levels import number_levels
 from stayline.operators.ordered import running_total
-from stayline.session import configure
+from stayline.session import configure, stage
 
 DATA_THROUGH = "2024-02-15"
 OPENING_LEVELS = tuple(f"level-{i}" for i in range(1, 7))
@@ -140,6 +140,14 @@ class Tables:
         )
         return self._log.where(n <= 19).select(campaign.alias("campaign"), "level").distinct()
 
+    def staged(self) -> Tables:
+        """The same tables read back from written files, for jobs that read them many times."""
+        copy = Tables(self.spark, self.folder)
+        copy._log = stage(self._log, "log")
+        copy.numbered = stage(copy.numbered, "numbered")
+        copy.levels = copy.numbered.drop("level_num")
+        return copy
+
     @cached_property
     def order_attempts(self) -> DataFrame:
         """Orders as level attempts, a second and larger source of attempts."""

@@ -109,9 +109,8 @@ def c9(t: Tables) -> DataFrame:
 @check("c10_history_block", f"""
 SELECT user_id, chunk, {', '.join(r6(s, s) for s in mx.LANGUAGE_SHARES)}, logins FROM feat""")
 def c10(t: Tables) -> DataFrame:
-    return mx.feature_rows(t.users, t.events, t.numbered).select(
-        "user_id", "chunk", *mx.LANGUAGE_SHARES, "logins"
-    )
+    s = t.staged()
+    return mx.history_rows(mx.wide_features(mx.chunk_facts(s.users, s.events, s.numbered), s.numbered))
 
 
 def _columns_sql(uppers, newest: int, shares: bool) -> str:
@@ -142,24 +141,27 @@ WHERE levels_completed >= {newest}"""
 
 
 def wide(t: Tables, chunks=ch.CHUNKS) -> DataFrame:
-    return mx.wide_users(t.users, t.numbered, t.events, t.campaigns, chunks)
+    s = t.staged()
+    return mx.wide_users(s.users, s.numbered, s.events, s.campaigns, chunks)
 
 
 def _register_files() -> None:
     """c11: each model's own file. c12: the same, cleaned. c13: the cumulative matrix."""
     for model in ch.MODELS:
-        own = [c.upper for c in model.chunks(ch.CHUNKS)]
-        upto = [c.upper for c in ch.CHUNKS if c.upper <= model.upto]
-        newest = max(own)
+        own = model.chunks(ch.CHUNKS)
+        upto = mx.upto_model(model)
+        newest = max(c.upper for c in own)
+
+        def file_query(t: Tables, model=model, own=own) -> DataFrame:
+            return mx.model_file(wide(t, own), model, own)
 
-        def file_query(t: Tables, model=model) -> DataFrame:
-            return mx.model_file(wide(t), model)
+        def clean_query(t: Tables, model=model, own=own, newest=newest) -> DataFrame:
+            return mx.clean_model_file(mx.model_file(wide(t, own), model, own), newest)
 
-        def clean_query(t: Tables, model=model, newest=newest) -> DataFrame:
-            return mx.clean_model_file(mx.model_file(wide(t), model), newest)
+        def matrix_query(t: Tables, model=model, upto=upto) -> DataFrame:
+            return mx.model_matrix(wide(t, upto), model, upto)
 
-        def matrix_query(t: Tables, model=model) -> DataFrame:
-            return mx.model_matrix(wide(t), model)
+        own, upto = [c.upper for c in own], [c.upper for c in upto]
 
         check(f"c11_user_file_{model.threshold}", matrix_sql(own, newest, shares=True))(file_query)
         check(f"c12_clean_file_{model.threshold}", matrix_sql(own, newest))(clean_query)
@@ -172,9 +174,10 @@ _register_files()
 @check("j8_matrix_by_joins", matrix_sql([5, 10, 15], 15))
 def j8(t: Tables) -> DataFrame:
     models = ch.MODELS[:3]
-    source = wide(t)
-    files = {m.threshold: mx.model_file(source, m) for m in models}
-    return mx.model_matrices_by_joins(files, models)[30]
+    chunks = mx.upto_model(models[-1])
+    source = stage(wide(t, chunks), "wide-users")
+    files = {m.threshold: mx.model_file(source, m, chunks) for m in models}
+    return mx.model_matrices_by_joins(files, models, chunks)[30]
 
 
 @check("c13_written_matrix", matrix_sql([5, 10], 10, identity=False))

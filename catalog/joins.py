@@ -296,9 +296,7 @@ def w3(t: Tables) -> DataFrame:
     spans = ch.chunk_bounds(t.events, t.numbered).join(
         t.users.select(F.col("id").alias("user_id"), "date_joined"), "user_id"
     )
-    return count_logins(
-        spans, t.plain_events, ["user_id", "chunk"], "date_joined", "date_completed"
-    ).select("user_id", "chunk", "logins")
+    return count_logins(spans, t.plain_events, ["user_id", "chunk"], "date_joined", "date_completed")
 
 
 @check("w3_logins_in_chunk", """
@@ -312,7 +310,7 @@ def w3_in_chunk(t: Tables) -> DataFrame:
     return count_logins(
         ch.chunk_bounds(t.events, t.numbered), t.plain_events, ["user_id", "chunk"],
         "date_started", "date_completed", threshold_hours=2.5,
-    ).select("user_id", "chunk", "logins")
+    )
 
 
 @check("w3_login_starts", """

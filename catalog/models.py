@@ -1 +1,286 @@
-"""Placeholder."""
+"""Labels, models, evaluation, explanation (M, P10).
+
+Fitted models have no SQL form; their queries use small grids and few trees, while the
+library's defaults are the full grids.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, functions as F
+
+from catalog.adapter import TEST_CHUNKS, TEST_MODELS, Tables
+from catalog.base import check, r6
+from catalog.features import matrix_sql, wide
+from stayline.functions import labels
+from stayline.operators import chunks as ch, evaluate
+from stayline.plans import matrices as mx, profile, scoring, training
+from stayline.plans.scoring import Change
+from stayline.session import fresh_path, stage
+from stayline.sources.splits import TEST, TRAIN, with_split
+
+FIRST = TEST_MODELS[0]
+FIRST_CHUNKS = TEST_CHUNKS[:1]
+FIRST_FEATURES = mx.model_features(FIRST, FIRST_CHUNKS)
+NUMERIC = [f for f in FIRST_FEATURES if "_chunk_5" in f and not f.startswith(mx.MAJORITY_PYTHON)]
+# Complete rows of the first matrix with their label.
+_DATA = f"""
+mat AS ({matrix_sql([5], 5)}),
+
+dat AS (SELECT *, CASE WHEN levels_completed >= 999 THEN 1 WHEN levels_completed >= 10 THEN 1 ELSE 0 END AS y
+        FROM mat WHERE {' AND '.join(f'{f} IS NOT NULL' for f in FIRST_FEATURES)})"""
+
+
+def first_data(t: Tables) -> DataFrame:
+    """Labelled complete rows of the first prediction point, written once."""
+    matrix = mx.model_matrix(wide(t, FIRST_CHUNKS), FIRST, FIRST_CHUNKS)
+    return stage(training.labelled(matrix, FIRST_FEATURES, FIRST.threshold), "labelled")
+
+
+def train_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    split = with_split(df)
+    return (split.where(F.col("split") == TRAIN).drop("split"),
+            split.where(F.col("split") == TEST).drop("split"))
+
+
+@check("m1_level_classes", """
+SELECT id, CASE WHEN levels_completed >= 999 THEN 2 WHEN levels_completed >= 13 THEN 1 ELSE 0 END AS y2,
+       CASE WHEN levels_completed >= 999 THEN 4 WHEN levels_completed >= 21 THEN 3
+            WHEN levels_completed >= 13 THEN 2 ELSE 1 END AS y3,
+       CASE WHEN levels_completed >= 999 THEN 5 WHEN levels_completed >= 100 THEN 4
+            WHEN levels_completed >= 30 THEN 3 WHEN levels_completed >= 13 THEN 2 ELSE 1 END AS y4,
+       CASE WHEN levels_completed >= 999 THEN 3 WHEN levels_completed >= 20 THEN 2
+            WHEN levels_completed >= 5 THEN 1 ELSE 0 END AS draft2,
+       CASE WHEN levels_completed >= 10 THEN 1 ELSE 0 END AS continues FROM us""")
+def m1(t: Tables) -> DataFrame:
+    done = F.col("levels_completed")
+    return t.users.select(
+        "id", labels.level_class(done, 2).alias("y2"), labels.level_class(done, 3).alias("y3"),
+        labels.level_class(done, 4).alias("y4"),
+        labels.digitize(done, labels.DRAFT_BINS_OF_2).alias("draft2"),
+        labels.continues(done, 10).alias("continues"),
+    )
+
+
+@check("m2_campaign_classes", """
+SELECT id, CASE WHEN c = 'dungeon' THEN 'early_churn' ELSE 'later_churn' END AS y2,
+       CASE WHEN c = 'dungeon' THEN 'early_churn'
+            WHEN c IN ('campaign-web-dev-1', 'campaign-game-dev-1', 'forest') THEN 'mid_churn'
+            ELSE 'later_churn' END AS y3,
+       CASE WHEN c = 'dungeon' THEN 'early_churn'
+            WHEN c IN ('campaign-web-dev-1', 'campaign-game-dev-1', 'forest') THEN 'mid_churn'
+            WHEN c IN ('campaign-web-dev-2', 'campaign-game-dev-2', 'desert', 'mountain', 'glacier')
+            THEN 'later_churn' ELSE 'other' END AS y4
+FROM (SELECT id, last_campaign_started AS c FROM targets)""")
+def m2(t: Tables) -> DataFrame:
+    campaign = F.col("last_campaign_started")
+    return profile.with_targets(t.users, t.levels, t.campaigns).select(
+        "id", *[labels.campaign_class(campaign, n).alias(f"y{n}") for n in (2, 3, 4)]
+    )
+
+
+@check("p10_one_feature", f"SELECT id, y, {NUMERIC[0]} FROM dat", _DATA)
+def p10(t: Tables) -> DataFrame:
+    return training.one_feature(first_data(t), NUMERIC[0])
+
+
+@check("m3_scaler_statistics", " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, {r6(f'avg({f})', 'mean')}, {r6(f'stddev_samp({f})', 'std')}, "
+    f"{r6(f'stddev_pop({f})', 'std_pop')} FROM exact" for f in NUMERIC), _DATA + f""",
+exact AS (
+  SELECT {', '.join(f"feat.{f.replace('_chunk_5', '')} AS {f}" for f in NUMERIC)}
+  FROM dat JOIN feat ON feat.user_id = dat.id AND feat.chunk = 5)""")
+def m3(t: Tables) -> DataFrame:
+    return training.scaler_statistics(first_data(t), NUMERIC)
+
+
+@check("m4_scale_by_self", f"""
+SELECT user_id AS id, {', '.join(r6(f'(x_{i} - avg(x_{i}) OVER ()) / stddev_pop(x_{i}) OVER ()', f)
+                                 for i, f in enumerate(NUMERIC))}
+FROM (SELECT user_id, {', '.join(f"feat.{f.replace('_chunk_5', '')}::DOUBLE AS x_{i}"
+                                 for i, f in enumerate(NUMERIC))}
+      FROM dat JOIN feat ON feat.user_id = dat.id AND feat.chunk = 5)""", _DATA)
+def m4(t: Tables) -> DataFrame:
+    return training.scale_by_self(first_data(t).select("id", *NUMERIC), NUMERIC)
+
+
+@check("m5_class_weights", f"""
+SELECT y, count(*) AS n, {r6('sum(count(*)) OVER () / (count(*) OVER () * count(*))', 'weight')}
+FROM dat GROUP BY y""", _DATA)
+def m5_weights(t: Tables) -> DataFrame:
+    return training.class_weights(first_data(t))
+
+
+def _held_out(t: Tables, fit) -> tuple:
+    data = first_data(t)
+    train, test = train_test(data)
+    model = fit(train, FIRST_FEATURES)
+    return model, training.predict(model, test)
+
+
+@check("m5_multinomial")
+def m5(t: Tables) -> DataFrame:
+    model, scored = _held_out(t, partial(training.fit_weighted_logistic, max_iter=20))
+    return evaluate.scores(scored)
+
+
+_LASSO = {"grid_c": (0.01, 1.0, 100.0), "folds": 3, "max_iter": 20}
+_FOREST = {"subset_grid": ("sqrt", "0.5"), "leaf_grid": (1, 5), "search_trees": 8, "final_trees": 16,
+           "max_depth": 4, "folds": 3}
+
+
+@check("m6_lasso")
+def m6(t: Tables) -> DataFrame:
+    _, scored = _held_out(t, lambda df, f: training.tune_lasso(df, f, **_LASSO).model)
+    return evaluate.scores(scored)
+
+
+@check("m7_forest_grid")
+def m7(t: Tables) -> DataFrame:
+    _, scored = _held_out(t, lambda df, f: training.tune_forest(df, f, **_FOREST).model)
+    return evaluate.scores(scored)
+
+
+@check("m8_forest")
+def m8(t: Tables) -> DataFrame:
+    _, scored = _held_out(t, partial(training.fit_forest, trees=16, balanced=True, max_depth=4))
+    return evaluate.scores(scored)
+
+
+@check("m9_grid_report")
+def m9(t: Tables) -> DataFrame:
+    train, _ = train_test(first_data(t))
+    return training.tune_lasso(train, FIRST_FEATURES, **_LASSO).report(t.spark)
+
+
+# A fixed rule stands in for a model, so that every metric has a SQL form.
+_RULE = """
+rule AS (SELECT id, CASE WHEN levels_completed >= 13 THEN 1 ELSE 0 END AS y,
+         CAST(signed_up AS INT) AS prediction,
+         CAST((levels_completed * 7 + id * 13) % 60 AS DOUBLE) / 60 AS score FROM us),
+cm AS (SELECT count(*) FILTER (WHERE y = 0 AND prediction = 0) AS tn,
+              count(*) FILTER (WHERE y = 0 AND prediction = 1) AS fp,
+              count(*) FILTER (WHERE y = 1 AND prediction = 0) AS fn,
+              count(*) FILTER (WHERE y = 1 AND prediction = 1) AS tp FROM rule),
+base AS (SELECT CASE WHEN p > n // 2 THEN 0 ELSE n - p END AS tn, CASE WHEN p > n // 2 THEN n - p ELSE 0 END AS fp,
+                CASE WHEN p > n // 2 THEN 0 ELSE p END AS fn, CASE WHEN p > n // 2 THEN p ELSE 0 END AS tp
+         FROM (SELECT CAST(sum(y) AS BIGINT) AS p, count(*) AS n FROM rule))"""
+_METRICS = f"""tn, fp, fn, tp,
+ {r6('(tn + tp)::DOUBLE / (tn + fp + fn + tp)', 'accuracy')},
+ {r6('coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0)', 'precision')},
+ {r6('coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0)', 'recall')},
+ {r6('coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0)', 'f1')}"""
+
+
+def rule_scores(t: Tables) -> DataFrame:
+    done = F.col("levels_completed")
+    return t.users.select(
+        "id", labels.continues(done, 13).alias("y"), F.col("signed_up").cast("int").alias("prediction"),
+        (((done * 7 + F.col("id") * 13) % 60).cast("double") / F.lit(60.0)).alias("score"),
+    )
+
+
+@check("m10_scores", f"SELECT {_METRICS} FROM cm", _RULE)
+def m10(t: Tables) -> DataFrame:
+    return evaluate.scores(rule_scores(t))
+
+
+@check("m11_confusion_shares", "SELECT tn, fp, fn, tp, " + ", ".join(
+    f"round({c}::DOUBLE / (tn + fp + fn + tp), 2) AS {c}_share" for c in ("tn", "fp", "fn", "tp"))
+    + " FROM cm", _RULE)
+def m11(t: Tables) -> DataFrame:
+    return evaluate.confusion_shares(evaluate.confusion(rule_scores(t)))
+
+
+@check("m12_area_under_roc", f"""
+SELECT CAST(p AS BIGINT) AS positives, CAST(n AS BIGINT) AS negatives,
+       {r6('(ranks - p * (p + 1) / 2.0) / (p::DOUBLE * n)', 'auc')}
+FROM (SELECT sum(y) AS p, sum(1 - y) AS n, sum(CASE WHEN y = 1 THEN rk ELSE 0 END) AS ranks FROM (
+  SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM rule))""", _RULE)
+def m12(t: Tables) -> DataFrame:
+    return evaluate.area_under_roc(rule_scores(t))
+
+
+@check("m13_majority_baseline", f"SELECT {_METRICS} FROM base", _RULE)
+def m13(t: Tables) -> DataFrame:
+    return evaluate.majority_scores(rule_scores(t))
+
+
+@check("m14_ranked_features")
+def m14(t: Tables) -> DataFrame:
+    model, _ = _held_out(t, partial(training.fit_forest, trees=16, max_depth=4))
+    return training.ranked_weights(t.spark, model)
+
+
+@check("m15_random_control")
+def m15(t: Tables) -> DataFrame:
+    train, test = train_test(stage(training.random_control(first_data(t)), "control"))
+    model = training.fit_weighted_logistic(train, ["random"], max_iter=20)
+    return evaluate.area_under_roc(training.predict(model, test))
+
+
+@check("m16_score_saved")
+def m16(t: Tables) -> DataFrame:
+    folder = fresh_path(t.spark, "models")
+    train, test = train_test(first_data(t))
+    forest = training.fit_forest(train, FIRST_FEATURES, trees=16, max_depth=4)
+    lasso = training.tune_lasso(train, FIRST_FEATURES, **_LASSO).model
+    scored = None
+    for family, model in (("forest", forest), ("lasso", lasso)):
+        scoring.save_model(model, folder, FIRST.threshold, family)
+        part = scoring.score_saved(folder, FIRST.threshold, family, test).select(
+            F.lit(family).alias("family"), "id", "y", "prediction", "score"
+        )
+        scored = part if scored is None else scored.unionByName(part)
+    return scored
+
+
+_TIME = mx.chunk_column(ch.AVERAGE_TIME, 5)
+_STARTED = mx.chunk_column("rate_started_level", 5)
+SCENARIOS = {
+    "half_time": [Change(_TIME, "times", 0.5)],
+    "double_starts": [Change(_STARTED, "times", 2.0)],
+    "mean_time": [Change(_TIME, "mean")],
+    "age_unknown": [Change("age_other_age", "set", 1.0),
+                    *[Change(a, "set", 0.0) for a in mx.people.AGE_DUMMIES if a != "age_other_age"]],
+}
+
+
+def _scenario_sql(name: str, time: str = _TIME, started: str = _STARTED, other: str = "age_other_age",
+                  young: str = "age_13_15") -> str:
+    return (f"SELECT '{name}' AS scenario, id, {r6(time, _TIME)}, {r6(started, _STARTED)}, "
+            f"{r6(other, 'age_other_age')}, {r6(young, 'age_13_15')} FROM exact")
+
+
+@check("m17_scenarios", " UNION ALL ".join([
+    _scenario_sql("unchanged"), _scenario_sql("half_time", time=f"{_TIME} * 0.5::DOUBLE"),
+    _scenario_sql("double_starts", started=f"{_STARTED} * 2"),
+    _scenario_sql("mean_time", time=f"avg({_TIME}) OVER ()"),
+    _scenario_sql("age_unknown", other="1", young="0"),
+]), _DATA + f""",
+exact AS (SELECT dat.id, feat.{ch.AVERAGE_TIME} AS {_TIME}, feat.rate_started_level AS {_STARTED},
+                 age_other_age, age_13_15
+          FROM dat JOIN feat ON feat.user_id = dat.id AND feat.chunk = 5)""")
+def m17(t: Tables) -> DataFrame:
+    return scoring.with_scenarios(first_data(t), SCENARIOS).select(
+        "scenario", "id", _TIME, _STARTED, "age_other_age", "age_13_15"
+    )
+
+
+@check("m17_scenario_counts")
+def m17_counts(t: Tables) -> DataFrame:
+    data = first_data(t)
+    train, test = train_test(data)
+    model = training.fit_forest(train, FIRST_FEATURES, trees=16, max_depth=4)
+    return scoring.scenario_counts(model, test, SCENARIOS)
+
+
+@check("m18_all_points")
+def m18(t: Tables) -> DataFrame:
+    staged = stage(wide(t, TEST_CHUNKS), "wide-users")
+    matrices = mx.model_matrices(staged, TEST_MODELS, TEST_CHUNKS)
+    fitted = scoring.train_points(
+        matrices, partial(training.fit_forest, trees=16, max_depth=4), TEST_MODELS, TEST_CHUNKS
+    )
+    return scoring.point_scores(fitted)

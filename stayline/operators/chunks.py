@@ -170,44 +170,44 @@ def chunk_features(
             .select("user_id", "created", F.lit(PRACTICE).alias("kind"))
         )
     )
-    keys = ["user_id", "chunk", "date_started", "date_completed", "victories"]
     rates = {**EVENT_RATES, PRACTICE: PRACTICE_RATE}
+    span = ("date_started", "date_completed", "victories")
     counted = (
         within_bounds(facts, bounds)
-        .groupBy(*keys)
-        .agg(*[F.count_if(F.col("kind") == kind).alias(name) for kind, name in rates.items()])
+        .groupBy("user_id", "chunk")
+        .agg(
+            *[F.min(c).alias(c) for c in span],
+            *[F.count_if(F.col("kind") == kind).alias(name) for kind, name in rates.items()],
+        )
     )
     return counted.select(
-        *keys,
+        "user_id", "chunk", *span,
         average_time(wrap_days).alias(AVERAGE_TIME),
         *[ratio(F.col(name), F.col("victories")).alias(name) for name in rates.values()],
     )
 
 
-def language_counts(numbered: DataFrame, chunks: Sequence[Chunk] = CHUNKS) -> DataFrame:
-    """Completed levels per (user, chunk, language), from the start up to the chunk's end."""
-    done = numbered.where(F.col("date_completed").isNotNull())
+def language_column(language: str, chunk: Chunk) -> str:
+    return f"n_{language}_upto_{chunk.upper}"
+
+
+def user_language_counts(numbered: DataFrame, chunks: Sequence[Chunk] = CHUNKS) -> DataFrame:
+    """Completed levels per language from the start up to each chunk's end, one row per user."""
 
     def upto(chunk: Chunk) -> Column:
         if chunk.levels:
             return F.col("level").isin(*chunk.levels)
         return F.col("level_num") <= chunk.upper
 
-    def counter(chunk: Chunk, language: str) -> str:
-        return f"_{chunk.upper}_{language}"
-
-    counts = done.groupBy("user_id").agg(*[
-        F.count_if(upto(c) & (F.col("code_language") == language)).alias(counter(c, language))
+    return numbered.where(F.col("date_completed").isNotNull()).groupBy("user_id").agg(*[
+        F.count_if(upto(c) & (F.col("code_language") == language)).alias(language_column(language, c))
         for c in chunks for language in LANGUAGES
     ])
-    rows = F.explode(F.array(*[
-        F.struct(
-            F.lit(c.upper).alias("chunk"),
-            *[F.col(counter(c, language)).alias(language) for language in LANGUAGES],
-        )
-        for c in chunks
-    ]))
-    return counts.select("user_id", rows.alias("r")).select("user_id", "r.*")
+
+
+def language_share(count: Column, victories: Column) -> Column:
+    """Levels completed in a language over victories in the chunk; zero when undefined."""
+    return F.coalesce(ratio(F.coalesce(count, F.lit(0)), victories), F.lit(0.0))
 
 
 def language_shares(
@@ -217,13 +217,14 @@ def language_shares(
 
     The two ranges differ on purpose, so a share can exceed 1.
     """
-    joined = spans.join(language_counts(numbered, chunks), ["user_id", "chunk"], "left")
+    joined = spans.join(user_language_counts(numbered, chunks), "user_id", "left")
+
+    def count(language: str) -> Column:
+        return F.coalesce(*[
+            F.when(F.col("chunk") == c.upper, F.col(language_column(language, c))) for c in chunks
+        ])
+
     return joined.select(
         *spans.columns,
-        *[
-            F.coalesce(
-                ratio(F.coalesce(language, F.lit(0)), F.col("victories")), F.lit(0.0)
-            ).alias(f"share_{language}")
-            for language in LANGUAGES
-        ],
+        *[language_share(count(x), F.col("victories")).alias(f"share_{x}") for x in LANGUAGES],
     )

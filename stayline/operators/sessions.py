@@ -51,21 +51,20 @@ def count_logins(
     name: str = "logins",
     threshold_hours: float = 1.0,
 ) -> DataFrame:
-    """Add the number of logins inside each span, both ends included.
+    """The number of logins inside each span, both ends included: (keys, name).
 
     The event before the gap must lie in the span too, so the first event of a span
     never counts. ``keys`` identify a span and contain ``user_id``.
     """
-    starts = login_starts(events, threshold_hours)
-    counts = (
-        spans.select(*keys, F.col(start).alias("_from"), F.col(end).alias("_to"))
-        .join(starts, "user_id")
-        .where((F.col("previous") >= F.col("_from")) & (F.col("at") <= F.col("_to")))
-        .groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
+    starts = login_starts(events, threshold_hours).withColumnRenamed("user_id", "_user")
+    inside = (
+        (F.col("user_id") == F.col("_user"))
+        & (F.col("previous") >= F.col("_from"))
+        & (F.col("at") <= F.col("_to"))
     )
     return (
-        spans.join(counts, list(keys), "left")
-        .withColumn(name, F.coalesce("_n", F.lit(0)))
-        .drop("_n")
+        spans.select(*keys, F.col(start).alias("_from"), F.col(end).alias("_to"))
+        .join(starts, inside, "left")
+        .groupBy(*keys)
+        .agg(F.count("at").alias(name))
     )

@@ -30,38 +30,68 @@ def chunk_column(feature: str, upper: int) -> str:
     return f"{feature}_chunk_{upper}"
 
 
-def feature_rows(
+def chunk_facts(
     users: DataFrame, events: DataFrame, numbered: DataFrame, chunks: Sequence[ch.Chunk] = ch.CHUNKS
 ) -> DataFrame:
-    """One row per (user, chunk): chunk features, language shares and logins so far."""
-    rows = ch.chunk_features(events, numbered, chunks)
-    rows = ch.language_shares(rows, numbered, chunks)
+    """Rows per (user, chunk) with features, and rows with the logins up to the chunk's end.
+
+    The two kinds are stacked, not joined; turning them wide merges them.
+    """
     joined = users.select(F.col("id").alias("user_id"), "date_joined")
-    return count_logins(
-        rows.join(joined, "user_id"), events, ["user_id", "chunk"],
-        "date_joined", "date_completed", LOGINS,
-    ).drop("date_joined")
+    spans = ch.chunk_bounds(events, numbered, chunks).join(joined, "user_id")
+    logins = count_logins(
+        spans, events, ["user_id", "chunk"], "date_joined", "date_completed", LOGINS
+    )
+    features = ch.chunk_features(events, numbered, chunks).drop("date_started", "date_completed")
+    return features.unionByName(logins, allowMissingColumns=True)
 
 
-def wide_features(rows: DataFrame, chunks: Sequence[ch.Chunk] = ch.CHUNKS) -> DataFrame:
+def wide_features(
+    facts: DataFrame, numbered: DataFrame, chunks: Sequence[ch.Chunk] = ch.CHUNKS
+) -> DataFrame:
     """One row per user with every chunk's columns."""
-    measures = (*ch.CHUNK_FEATURES, *LANGUAGE_SHARES, LOGINS)
-    return rows.groupBy("user_id").agg(*[
+    measures = ("victories", *ch.CHUNK_FEATURES, LOGINS)
+    wide = facts.groupBy("user_id").agg(*[
         F.max(F.when(F.col("chunk") == c.upper, F.col(m))).alias(chunk_column(m, c.upper))
         for c in chunks for m in measures
     ])
+    shares = [
+        ch.language_share(
+            F.col(ch.language_column(x, c)), F.col(chunk_column("victories", c.upper))
+        ).alias(chunk_column(f"share_{x}", c.upper))
+        for c in chunks for x in ch.LANGUAGES
+    ]
+    return wide.join(ch.user_language_counts(numbered, chunks), "user_id", "left").select(
+        *wide.columns, *shares
+    )
+
+
+def history_rows(wide: DataFrame, chunks: Sequence[ch.Chunk] = ch.CHUNKS) -> DataFrame:
+    """The language shares and logins of a wide frame as rows per (user, chunk)."""
+    measures = (*LANGUAGE_SHARES, LOGINS)
+    rows = F.array(*[
+        F.struct(F.lit(c.upper).alias("chunk"), F.col(chunk_column("victories", c.upper)).alias("_n"),
+                 *[F.col(chunk_column(m, c.upper)).alias(m) for m in measures])
+        for c in chunks
+    ])
+    return wide.select("user_id", F.explode(rows).alias("r")).where(F.col("r._n") > 0).select(
+        "user_id", "r.chunk", *[f"r.{m}" for m in measures]
+    )
 
 
 def wide_users(
     users: DataFrame,
-    levels_numbered: DataFrame,
+    numbered: DataFrame,
     events: DataFrame,
     campaigns: DataFrame,
     chunks: Sequence[ch.Chunk] = ch.CHUNKS,
 ) -> DataFrame:
-    """Targets, demographics and all chunk columns, one row per user."""
-    people_block = with_demographics(with_targets(users, levels_numbered.drop("level_num"), campaigns))
-    wide = wide_features(feature_rows(users, events, levels_numbered, chunks), chunks)
+    """Targets, demographics and all chunk columns, one row per user.
+
+    The level attempts are read four times: pass numbered attempts from a written table.
+    """
+    people_block = with_demographics(with_targets(users, numbered.drop("level_num"), campaigns))
+    wide = wide_features(chunk_facts(users, events, numbered, chunks), numbered, chunks)
     df = people_block.join(wide.withColumnRenamed("user_id", "id"), "id", "left")
     # A user without victories in a chunk has no shares and no logins there, which
     # count as zero; rates and times stay missing.
@@ -69,6 +99,11 @@ def wide_users(
     return df.fillna(zeros).fillna({chunk_column(LOGINS, c.upper): 0 for c in chunks})
 
 
+def upto_model(model: ch.Model, chunks: Sequence[ch.Chunk] = ch.CHUNKS) -> list[ch.Chunk]:
+    """The chunks a cumulative matrix draws on."""
+    return [c for c in chunks if c.upper <= model.upto]
+
+
 def _chunk_block(uppers: Sequence[int]) -> list[str]:
     return [chunk_column(f, u) for u in uppers for f in ch.CHUNK_FEATURES]
 
@@ -103,7 +138,7 @@ def clean_model_file(df: DataFrame, upper: int) -> DataFrame:
 
 def model_features(model: ch.Model, chunks: Sequence[ch.Chunk] = ch.CHUNKS) -> list[str]:
     """Feature columns of a cumulative matrix, in order."""
-    upto = [c.upper for c in chunks if c.upper <= model.upto]
+    upto = [c.upper for c in upto_model(model, chunks)]
     newest = max(upto)
     return [
         *BASE_FEATURES, *_chunk_block(upto),
@@ -113,7 +148,7 @@ def model_features(model: ch.Model, chunks: Sequence[ch.Chunk] = ch.CHUNKS) -> l
 
 def model_matrix(wide: DataFrame, model: ch.Model, chunks: Sequence[ch.Chunk] = ch.CHUNKS) -> DataFrame:
     """The cumulative matrix: every chunk up to the model's, newest flag and logins."""
-    newest = max(c.upper for c in chunks if c.upper <= model.upto)
+    newest = max(c.upper for c in upto_model(model, chunks))
     return (
         at_least_levels(wide, newest)
         .withColumn(chunk_column(MAJORITY_PYTHON, newest), _mostly_python(newest))
