@@ -252,9 +252,9 @@ def a13(t: Tables) -> DataFrame:
     + ", ".join(r6(f"quantile_cont({c}::DOUBLE, {q})", n)
                 for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)))
     + f", {r6(f'max({c})', 'max')} FROM {table}"
-    for c, table in (("levels_completed", "us"),)))
+    for c, table in (("playtime", "lv"), ("user_id", "lv"))))
 def a14(t: Tables) -> DataFrame:
-    return fq.profile(t.users, ["levels_completed"])
+    return fq.profile(t.levels, ["playtime", "user_id"])
 
 
 @check("a14_shape", """
@@ -284,9 +284,24 @@ def w1_orders(t: Tables) -> DataFrame:
     return number_levels(t.order_attempts, ["attempt_id"]).select("attempt_id", "level_num")
 
 
-@check("w2_event_gaps", f"""
+@check("w1_level_number_by_range", """
+SELECT o_orderkey AS attempt_id, row_number() OVER (
+  PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS level_num FROM orders""")
+def w1_by_range(t: Tables) -> DataFrame:
+    return number_levels(t.order_attempts, ["attempt_id"], by_range=True).select("attempt_id", "level_num")
+
+
+_GAPS = f"""
 SELECT event_id, {r6("((epoch_us(created) - epoch_us(prev)) // 1000000)::DOUBLE / 3600", 'gap_hours')} FROM (
-  SELECT event_id, ts AS created, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)""")
+  SELECT event_id, ts AS created, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)"""
+
+
+@check("w2_event_gaps_by_range", _GAPS)
+def w2_by_range(t: Tables) -> DataFrame:
+    return event_gaps(t.plain_events, ["event_id"], by_range=True).select("event_id", "gap_hours")
+
+
+@check("w2_event_gaps", _GAPS)
 def w2(t: Tables) -> DataFrame:
     return event_gaps(t.plain_events, ["event_id"]).select("event_id", "gap_hours")
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stayline.functions.elapsed import ratio
+from stayline.operators.ordered import sum_below
+
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
 def frequencies(df: DataFrame, *columns: str, drop_null: bool = True) -> DataFrame:
@@ -32,10 +35,10 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
-def shares(counts: DataFrame, total: int | None = None) -> DataFrame:
-    """Add each row's share of all counts. The frame holds one row per group."""
-    whole = F.sum("n").over(Window.partitionBy()) if total is None else F.lit(total)
-    return counts.withColumn("share", ratio(F.col("n"), whole))
+def shares(counts: DataFrame) -> DataFrame:
+    """Add each row's share of all counts; the total comes as a scalar subquery."""
+    total = counts.agg(F.sum("n").alias("total")).scalar()
+    return counts.withColumn("share", ratio(F.col("n"), total))
 
 
 def share_of(counts: DataFrame, **sets: Column) -> DataFrame:
@@ -50,20 +53,39 @@ def share_of(counts: DataFrame, **sets: Column) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, deviation, extremes and quartiles of numeric columns in one pass."""
-    measures = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        measures.append(
-            F.struct(
-                F.lit(c).alias("column"), F.count(x).alias("filled"), F.avg(x).alias("mean"),
-                F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                F.percentile(x, F.lit(0.25)).alias("q25"), F.percentile(x, F.lit(0.5)).alias("q50"),
-                F.percentile(x, F.lit(0.75)).alias("q75"), F.max(x).alias("max"),
-            ).alias(f"_{c}")
-        )
-    row = df.agg(*measures)
-    return row.select(F.explode(F.array(*[F.col(f"_{c}") for c in columns])).alias("p")).select("p.*")
+    """Count, mean, deviation, extremes and exact quartiles of numeric columns.
+
+    Quartiles interpolate linearly between ranks. Ranks come from counts per distinct
+    value, summed range by range, so no task holds all the values of a column.
+    """
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
+    ])
+    long = df.select(F.explode(cells).alias("c")).select("c.*").where(F.col("value").isNotNull())
+    # One row per profiled column.
+    stats = long.groupBy("column").agg(
+        F.count("*").alias("filled"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+    )
+    counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    ranked = sum_below(counts, ["column"], "value", "n", "_before").join(F.broadcast(stats), "column")
+    picks = []
+    for name, share in QUARTILES.items():
+        at = (F.col("filled") - 1) * F.lit(share)
+        for end, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            held = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("n"))
+            picks.append(F.max(F.when(held, F.col("value"))).alias(f"_{name}_{end}"))
+    measures = ("filled", "mean", "std", "min", "max")
+    found = ranked.groupBy("column").agg(*[F.max(m).alias(m) for m in measures], *picks)
+
+    def quartile(name: str, share: float) -> Column:
+        at = (F.col("filled") - 1) * F.lit(share)
+        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        return (low + (high - low) * (at - F.floor(at))).alias(name)
+
+    return found.select(
+        "column", "filled", "mean", "std", "min", *[quartile(n, s) for n, s in QUARTILES.items()], "max"
+    )
 
 
 def table_shape(df: DataFrame) -> DataFrame:

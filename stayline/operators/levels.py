@@ -12,9 +12,11 @@ _SPREAD = "_spread"
 _SPREAD_WAYS = 4096
 
 
-def number_levels(levels: DataFrame, tiebreak: Sequence[str] = ("level",)) -> DataFrame:
+def number_levels(
+    levels: DataFrame, tiebreak: Sequence[str] = ("level",), by_range: bool = False
+) -> DataFrame:
     """Add ``level_num``: 1-based order of the attempt among the user's attempts."""
-    return running_total(levels, ["user_id"], "created", tiebreak, "level_num")
+    return running_total(levels, ["user_id"], "created", tiebreak, "level_num", by_range=by_range)
 
 
 def first_numbers(numbered: DataFrame) -> DataFrame:

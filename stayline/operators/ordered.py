@@ -1,9 +1,15 @@
 """Ordered per-key computations that survive a key holding much of the table.
 
 A plain window per user puts a user's whole history into one task. Here rows are
-windowed per (user, time slot), and a small per-slot aggregate carries the state
-from slot to slot, so the full rows shuffle once and a hot user spreads over all
-the slots it was active in. Results equal those of the plain window.
+windowed per (user, slot of the order), and a small per-slot aggregate carries the state
+from slot to slot. Results equal those of the plain window.
+
+Slots are fixed spans of time by default: the full rows shuffle once, and a hot user
+spreads over all the spans it was active in. Where a user may have more rows in one
+span, or at one instant, than a task can sort, ``by_range`` cuts the slots by sampled
+ranges of (keys, time, tiebreak) instead. They are even whatever the skew, as long as
+the tiebreak tells rows at one instant apart; the price is a second shuffle and one
+written copy, which fixes the slots for both reads.
 
 Rows without a key or a time have no place in the order; they are kept and get a
 null result.
@@ -12,18 +18,35 @@ null result.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stayline.functions.elapsed import HOUR, time_slot
+from stayline.session import stage
 
 SLOT = "_slot"
 
 
+def _cut(
+    df: DataFrame, keys: Sequence[str], at: str, tiebreak: Sequence[str], slot: int, by_range: bool
+) -> DataFrame:
+    """Add the slot number, which follows the order within each key."""
+    if not by_range:
+        return df.withColumn(SLOT, time_slot(F.col(at), slot))
+    ways = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(ways, *keys, at, *tiebreak)
+    return stage(ranged.withColumn(SLOT, F.spark_partition_id()), "ordered")
+
+
 def _with_carry(sliced: DataFrame, keys: Sequence[str], carry: DataFrame) -> DataFrame:
     return sliced.join(carry, [*keys, SLOT], "left")
 
 
+def _placed(keys: Sequence[str], at: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, at)])
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
@@ -33,10 +56,11 @@ def running_total(
     amount: Column | None = None,
     include_current: bool = True,
     slot: int = HOUR,
+    by_range: bool = False,
 ) -> DataFrame:
     """Add a running sum of ``amount`` (default: a row count) per key in time order."""
     amount = F.lit(1) if amount is None else amount
-    sliced = df.withColumn(SLOT, time_slot(F.col(at), slot)).withColumn("_amount", amount.cast("long"))
+    sliced = _cut(df.withColumn("_amount", amount.cast("long")), keys, at, tiebreak, slot, by_range)
     frame = (
         Window.partitionBy(*keys, SLOT)
         .orderBy(at, *tiebreak)
@@ -49,11 +73,8 @@ def running_total(
         .agg(F.sum("_amount").alias("_total"))
         .select(*keys, SLOT, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
     )
-    return (
-        _with_carry(inside, keys, carry)
-        .withColumn(name, F.col("_inside") + F.col("_before"))
-        .select(*df.columns, name)
-    )
+    placed = F.when(_placed(keys, at), F.col("_inside") + F.col("_before"))
+    return _with_carry(inside, keys, carry).withColumn(name, placed).select(*df.columns, name)
 
 
 def previous_time(
@@ -63,9 +84,10 @@ def previous_time(
     tiebreak: Sequence[str],
     name: str,
     slot: int = HOUR // 6,
+    by_range: bool = False,
 ) -> DataFrame:
     """Add the time of the key's preceding row."""
-    sliced = df.withColumn(SLOT, time_slot(F.col(at), slot))
+    sliced = _cut(df, keys, at, tiebreak, slot, by_range)
     inside = sliced.withColumn(
         "_inside", F.lag(at).over(Window.partitionBy(*keys, SLOT).orderBy(at, *tiebreak))
     )
@@ -75,11 +97,26 @@ def previous_time(
         .select(*keys, SLOT,
                 F.lag("_last").over(Window.partitionBy(*keys).orderBy(SLOT)).alias("_before"))
     )
-    known = F.col(at).isNotNull()
-    for key in keys:
-        known = known & F.col(key).isNotNull()
+    before = F.when(_placed(keys, at), F.coalesce("_inside", "_before"))
+    return _with_carry(inside, keys, carry).withColumn(name, before).select(*df.columns, name)
+
+
+def sum_below(counts: DataFrame, keys: Sequence[str], value: str, amount: str, name: str) -> DataFrame:
+    """Add the sum of ``amount`` over smaller values, for one row per (keys, value).
+
+    Values are cut into even sampled ranges. The carried table has one row per range and
+    key met in it, at most the number of ranges plus that of keys, which bounds its
+    broadcast.
+    """
+    sliced = _cut(counts, keys, value, (), 0, by_range=True)
+    below = Window.partitionBy(*keys, SLOT).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
+    carry = sliced.groupBy(*keys, SLOT).agg(F.sum(amount).alias("_n")).select(
+        *keys, SLOT, F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_lower")
+    )
+    inside = sliced.withColumn("_inside", F.coalesce(F.sum(amount).over(below), F.lit(0)))
     return (
-        _with_carry(inside, keys, carry)
-        .withColumn(name, F.when(known, F.coalesce("_inside", "_before")))
-        .select(*df.columns, name)
+        inside.join(F.broadcast(carry), [*keys, SLOT])
+        .withColumn(name, F.col("_inside") + F.col("_lower"))
+        .select(*counts.columns, name)
     )

@@ -10,10 +10,12 @@ from stayline.functions.elapsed import HOUR, elapsed_hours, time_slot
 from stayline.operators.ordered import previous_time
 
 
-def event_gaps(events: DataFrame, tiebreak: Sequence[str] = ("event_name", "level")) -> DataFrame:
+def event_gaps(
+    events: DataFrame, tiebreak: Sequence[str] = ("event_name", "level"), by_range: bool = False
+) -> DataFrame:
     """Add ``gap_hours`` to the user's preceding event; null for the first."""
     return (
-        previous_time(events, ["user_id"], "created", tiebreak, "_previous")
+        previous_time(events, ["user_id"], "created", tiebreak, "_previous", by_range=by_range)
         .withColumn("gap_hours", elapsed_hours(F.col("_previous"), F.col("created")))
         .drop("_previous")
     )

@@ -79,16 +79,21 @@ def scaler_statistics(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def scale_by_self(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Standardise a scoring set by its own population statistics (one row of them)."""
+    """Standardise a scoring set by its own population statistics, one scalar subquery.
+
+    A constant feature is only centred.
+    """
     stats = df.agg(
-        *[F.avg(f).alias(f"m_{f}") for f in features],
-        *[F.stddev_pop(f).alias(f"s_{f}") for f in features],
-    ).first()
+        F.struct(
+            *[F.avg(f).alias(f"m_{f}") for f in features],
+            *[F.stddev_pop(f).alias(f"s_{f}") for f in features],
+        ).alias("stats")
+    ).scalar()
 
     def scaled(f: str):
-        mean, std = stats[f"m_{f}"], stats[f"s_{f}"]
-        centred = F.col(f) - F.lit(mean)
-        return (centred / F.lit(std) if std else centred).alias(f)
+        spread = stats.getField(f"s_{f}")
+        centred = F.col(f) - stats.getField(f"m_{f}")
+        return (centred / F.when(spread == 0, F.lit(1.0)).otherwise(spread)).alias(f)
 
     return df.select(*[c for c in df.columns if c not in features], *[scaled(f) for f in features])
 
