@@ -60,7 +60,8 @@ def running_total(
 ) -> DataFrame:
     """Add a running sum of ``amount`` (default: a row count) per key in time order."""
     amount = F.lit(1) if amount is None else amount
-    sliced = _cut(df.withColumn("_amount", amount.cast("long")), keys, at, tiebreak, slot, by_range)
+    counted = F.when(_placed(keys, at), amount.cast("long"))
+    sliced = _cut(df.withColumn("_amount", counted), keys, at, tiebreak, slot, by_range)
     frame = (
         Window.partitionBy(*keys, SLOT)
         .orderBy(at, *tiebreak)
