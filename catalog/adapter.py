@@ -53,7 +53,8 @@ class Tables:
     def _log(self) -> DataFrame:
         typed = self.raw("events").select(
             "event_id", F.col("ts").cast("timestamp").alias("created"), "user_id", "event_type",
-            "value", F.get_json_object("props", "$.k").cast("int").alias("k"),
+            "value",
+            F.when(F.col("event_type") == "click", F.get_json_object("props", "$.k").cast("int")).alias("k"),
         )
         won = F.when(F.col("event_type") == "purchase", 1).otherwise(0)
         numbered = running_total(
@@ -144,8 +145,8 @@ class Tables:
         """The same tables read back from written files, for jobs that read them many times."""
         copy = Tables(self.spark, self.folder)
         copy._log = stage(self._log, "log")
+        copy.levels = stage(copy.levels, "levels")
         copy.numbered = stage(copy.numbered, "numbered")
-        copy.levels = copy.numbered.drop("level_num")
         return copy
 
     @cached_property

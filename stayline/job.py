@@ -48,7 +48,7 @@ def read_logs(spark: SparkSession, data: str, split: str, payload: int = 4) -> d
         levels, events = of_users(levels, users), of_users(events, users)
     return {
         "users": stage(at_least_levels(users, 1), "users"),
-        "numbered": stage(number_levels(levels), "numbered"),
+        "numbered": stage(number_levels(stage(levels, "levels")), "numbered"),
         "events": stage(events, "events"),
         "campaigns": csv.read_campaigns(spark, f"{data}/campaign_list.csv"),
     }

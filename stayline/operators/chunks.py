@@ -99,7 +99,12 @@ def chunk_bounds(
         .agg(F.min("created").alias("first"), F.max("created").alias("last"),
              F.count("*").alias("wins"))
     )
-    won = wins.join(level_numbers(numbered, fanout), ["user_id", "level"])
+    if any(c.levels for c in chunks):
+        won = wins.join(level_numbers(numbered, fanout), ["user_id", "level"], "left")
+    else:
+        # No chunk holds a higher number, so only the early attempts need joining.
+        early = numbered.where(F.col("level_num") < max(c.high for c in chunks))
+        won = wins.join(level_numbers(early, fanout), ["user_id", "level"])
     return (
         assign_chunks(won, chunks)
         .groupBy("user_id", "chunk")
@@ -154,14 +159,15 @@ def chunk_features(
     numbered: DataFrame,
     chunks: Sequence[Chunk] = CHUNKS,
     wrap_days: bool = True,
-    fanout: bool = False,
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (user, chunk): bounds, victories, average time and six rates.
 
     Events and practice levels go through one join and one aggregate. Victories ride
     along: every chunk holds at least its own, so no outer join back is needed.
     """
-    bounds = chunk_bounds(events, numbered, chunks, fanout)
+    if bounds is None:
+        bounds = chunk_bounds(events, numbered, chunks)
     facts = (
         events.where(F.col("event_name").isin(VICTORY, *EVENT_RATES))
         .select("user_id", "created", F.col("event_name").alias("kind"))
@@ -199,7 +205,10 @@ def user_language_counts(numbered: DataFrame, chunks: Sequence[Chunk] = CHUNKS)
             return F.col("level").isin(*chunk.levels)
         return F.col("level_num") <= chunk.upper
 
-    return numbered.where(F.col("date_completed").isNotNull()).groupBy("user_id").agg(*[
+    done = numbered.where(F.col("date_completed").isNotNull())
+    if not any(c.levels for c in chunks):
+        done = done.where(F.col("level_num") <= max(c.upper for c in chunks))
+    return done.groupBy("user_id").agg(*[
         F.count_if(upto(c) & (F.col("code_language") == language)).alias(language_column(language, c))
         for c in chunks for language in LANGUAGES
     ])

@@ -34,11 +34,11 @@ def level_numbers(numbered: DataFrame, fanout: bool = False) -> DataFrame:
 def tag_events(events: DataFrame, numbered: DataFrame, fanout: bool = False) -> DataFrame:
     """Add the level number to each event; events without a known level get null.
 
-    Events tied to no level cannot match, so they are spread over the join's
-    partitions instead of piling up under their user.
+    Events tied to no level or user cannot match, so they are spread over the join's
+    partitions instead of piling up under one key.
     """
     spread = F.when(
-        F.col("level").isNull(),
+        F.col("level").isNull() | F.col("user_id").isNull(),
         F.pmod(F.xxhash64("created", "event_name"), F.lit(_SPREAD_WAYS)).cast("int"),
     ).otherwise(F.lit(-1))
     numbers = level_numbers(numbered, fanout).withColumn(_SPREAD, F.lit(-1))

@@ -1,18 +1,19 @@
 """Ordered per-key computations that survive a key holding much of the table.
 
-A plain window per user puts a user's whole history into one task. Here rows are
-windowed per (user, slot of the order), and a small per-slot aggregate carries the state
-from slot to slot. Results equal those of the plain window.
-
-Slots are fixed spans of time by default: the full rows shuffle once, and a hot user
-spreads over all the spans it was active in. Where a user may have more rows in one
-span, or at one instant, than a task can sort, ``by_range`` cuts the slots by sampled
-ranges of (keys, time, tiebreak) instead. They are even whatever the skew, as long as
-the tiebreak tells rows at one instant apart; the price is a second shuffle and one
-written copy, which fixes the slots for both reads.
-
-Rows without a key or a time have no place in the order; they are kept and get a
-null result.
+A plain window per user puts a user's whole history into one task. That is fine for all
+but the hottest users. Those are found by a count per user; their rows are windowed per
+(user, slot of time), and a small per-slot aggregate carries the state from slot to
+slot. All full rows still shuffle once, and results equal those of the plain window.
+
+Where a user may have more rows in one slot, or at one instant, than a task can sort,
+``by_range`` cuts every user's rows by sampled ranges of (keys, time, tiebreak) instead.
+The ranges are even whatever the skew, as long as the tiebreak tells rows at one instant
+apart; the price is a second shuffle and one written copy, which fixes the ranges for
+both reads.
+
+Inputs are read up to three times (counts, rows, hot rows): pass a table from files, not
+a long lineage. Rows without a key or a time have no place in the order; they are kept
+and get a null result.
 """
 
 from __future__ import annotations
@@ -26,21 +27,46 @@ from stayline.functions.elapsed import HOUR, time_slot
 from stayline.session import stage
 
 SLOT = "_slot"
+HOT = "_hot"
+HOT_ROWS = 1_000_000
+HOT_KEYS = 100_000
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``rows`` rows and more than a 1/HOT_KEYS share of all rows.
+
+    The share bounds the result: fewer than HOT_KEYS keys can exceed it.
+    """
+    sizes = df.dropna("any", subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = sizes.agg(F.sum("_n").alias("_total")).scalar()
+    limit = F.greatest(F.lit(float(rows)), total / F.lit(float(HOT_KEYS)))
+    return sizes.where(F.col("_n") > limit).select(*keys)
 
 
 def _cut(
-    df: DataFrame, keys: Sequence[str], at: str, tiebreak: Sequence[str], slot: int, by_range: bool
+    df: DataFrame, keys: Sequence[str], at: str, tiebreak: Sequence[str], slot: int,
+    by_range: bool, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add the slot number, which follows the order within each key."""
-    if not by_range:
-        return df.withColumn(SLOT, time_slot(F.col(at), slot))
-    ways = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(ways, *keys, at, *tiebreak)
-    return stage(ranged.withColumn(SLOT, F.spark_partition_id()), "ordered")
+    """Add the slot number, which follows the order in each key, and whether it needs a carry."""
+    if by_range:
+        ways = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = df.repartitionByRange(ways, *keys, at, *tiebreak)
+        return stage(
+            ranged.select("*", F.spark_partition_id().alias(SLOT), F.lit(True).alias(HOT)), "ordered"
+        )
+    hot = F.broadcast(hot_keys(df, keys, hot_rows).withColumn(HOT, F.lit(True)))
+    # Rows without a place are spread out, as they may all share the null key.
+    astray = -1 - F.pmod(F.xxhash64(at, *tiebreak), F.lit(4096))
+    return df.join(hot, list(keys), "left").withColumn(
+        SLOT,
+        F.when(~_placed(keys, at), astray)
+        .when(F.col(HOT), time_slot(F.col(at), slot))
+        .otherwise(F.lit(0)),
+    )
 
 
-def _with_carry(sliced: DataFrame, keys: Sequence[str], carry: DataFrame) -> DataFrame:
-    return sliced.join(carry, [*keys, SLOT], "left")
+def _with_carry(inside: DataFrame, keys: Sequence[str], carry: DataFrame) -> DataFrame:
+    return inside.join(carry, [*keys, SLOT], "left")
 
 
 def _placed(keys: Sequence[str], at: str) -> Column:
@@ -57,11 +83,12 @@ def running_total(
     include_current: bool = True,
     slot: int = HOUR,
     by_range: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add a running sum of ``amount`` (default: a row count) per key in time order."""
     amount = F.lit(1) if amount is None else amount
     counted = F.when(_placed(keys, at), amount.cast("long"))
-    sliced = _cut(df.withColumn("_amount", counted), keys, at, tiebreak, slot, by_range)
+    sliced = _cut(df.withColumn("_amount", counted), keys, at, tiebreak, slot, by_range, hot_rows)
     frame = (
         Window.partitionBy(*keys, SLOT)
         .orderBy(at, *tiebreak)
@@ -70,11 +97,11 @@ def running_total(
     inside = sliced.withColumn("_inside", F.coalesce(F.sum("_amount").over(frame), F.lit(0)))
     earlier = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        sliced.groupBy(*keys, SLOT)
+        sliced.where(F.col(HOT)).groupBy(*keys, SLOT)
         .agg(F.sum("_amount").alias("_total"))
         .select(*keys, SLOT, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
     )
-    placed = F.when(_placed(keys, at), F.col("_inside") + F.col("_before"))
+    placed = F.when(_placed(keys, at), F.col("_inside") + F.coalesce("_before", F.lit(0)))
     return _with_carry(inside, keys, carry).withColumn(name, placed).select(*df.columns, name)
 
 
@@ -86,14 +113,15 @@ def previous_time(
     name: str,
     slot: int = HOUR // 6,
     by_range: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the time of the key's preceding row."""
-    sliced = _cut(df, keys, at, tiebreak, slot, by_range)
+    sliced = _cut(df, keys, at, tiebreak, slot, by_range, hot_rows)
     inside = sliced.withColumn(
         "_inside", F.lag(at).over(Window.partitionBy(*keys, SLOT).orderBy(at, *tiebreak))
     )
     carry = (
-        sliced.groupBy(*keys, SLOT)
+        sliced.where(F.col(HOT)).groupBy(*keys, SLOT)
         .agg(F.max(at).alias("_last"))
         .select(*keys, SLOT,
                 F.lag("_last").over(Window.partitionBy(*keys).orderBy(SLOT)).alias("_before"))

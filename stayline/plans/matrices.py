@@ -15,6 +15,7 @@ from stayline.operators import chunks as ch
 from stayline.operators.clean import TARGETS, at_least_levels, majority
 from stayline.operators.sessions import count_logins
 from stayline.plans.profile import with_demographics, with_targets
+from stayline.session import stage
 
 LANGUAGE_SHARES = tuple(f"share_{language}" for language in ch.LANGUAGES)
 MAJORITY_PYTHON = "mostly_python"
@@ -35,14 +36,16 @@ def chunk_facts(
 ) -> DataFrame:
     """Rows per (user, chunk) with features, and rows with the logins up to the chunk's end.
 
-    The two kinds are stacked, not joined; turning them wide merges them.
+    The two kinds are stacked, not joined; turning them wide merges them. Both start from
+    the chunk bounds, which are few rows and so written once.
     """
     joined = users.select(F.col("id").alias("user_id"), "date_joined")
-    spans = ch.chunk_bounds(events, numbered, chunks).join(joined, "user_id")
+    bounds = stage(ch.chunk_bounds(events, numbered, chunks), "bounds")
+    spans = bounds.join(joined, "user_id")
     logins = count_logins(
         spans, events, ["user_id", "chunk"], "date_joined", "date_completed", LOGINS
     )
-    features = ch.chunk_features(events, numbered, chunks).drop("date_started", "date_completed")
+    features = ch.chunk_features(events, numbered, chunks, bounds=bounds).drop("date_started", "date_completed")
     return features.unionByName(logins, allowMissingColumns=True)
 
 

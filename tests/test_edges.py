@@ -9,7 +9,7 @@ from stayline.functions import labels, people
 from stayline.functions.elapsed import active_days, elapsed_days
 from stayline.operators import chunks as ch, clean, evaluate, frequency as fq, lookup
 from stayline.operators.levels import number_levels, tag_events
-from stayline.operators.ordered import previous_time, running_total
+from stayline.operators.ordered import hot_keys, previous_time, running_total
 from stayline.operators.sessions import count_logins, event_gaps, login_starts
 from stayline.plans import profile
 from stayline.sources import csv, splits
@@ -153,17 +153,36 @@ def test_ordered_slots_equal_a_plain_window(spark):
     df = spark.createDataFrame(data, "k long, t timestamp, i long")
     order = "over (partition by k order by t, i"
     plain = rows(df.selectExpr("i", f"count(*) {order} rows unbounded preceding)", f"lag(t) {order})"))
-    for by_range in (False, True):
-        both = running_total(df, ["k"], "t", ["i"], "n", by_range=by_range).join(
-            previous_time(df, ["k"], "t", ["i"], "p", by_range=by_range).select("i", "p"), "i"
+    for ways in ({}, {"hot_rows": 100}, {"by_range": True}):
+        both = running_total(df, ["k"], "t", ["i"], "n", **ways).join(
+            previous_time(df, ["k"], "t", ["i"], "p", **ways).select("i", "p"), "i"
         )
         assert rows(both.select("i", "n", "p")) == plain
 
 
-def test_rows_without_key_or_time_are_kept_unnumbered(spark):
-    df = spark.createDataFrame([(1, at(1), "a"), (None, at(1), "b"), (1, None, "c")], "k long, t timestamp, v string")
-    numbered = running_total(df, ["k"], "t", ["v"], "n")
-    assert rows(numbered.select("v", "n").fillna(-1)) == [("a", 1), ("b", -1), ("c", -1)]
+def test_hot_keys_are_those_over_the_limit(spark):
+    df = spark.createDataFrame([(1,)] * 30 + [(2,)] * 10 + [(None,)] * 50, "k long")
+    assert rows(hot_keys(df, ["k"], 20)) == [(1,)]
+    assert hot_keys(df, ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("ways", [{}, {"hot_rows": 0}, {"by_range": True}])
+def test_rows_without_key_or_time_are_kept_unnumbered(spark, ways):
+    df = spark.createDataFrame(
+        [(1, at(1), "a"), (None, at(1), "b"), (1, None, "c"), (1, at(2), "d")],
+        "k long, t timestamp, v string",
+    )
+    numbered = running_total(df, ["k"], "t", ["v"], "n", **ways)
+    assert rows(numbered.select("v", "n").fillna(-1)) == [("a", 1), ("b", -1), ("c", -1), ("d", 2)]
+    previous = previous_time(df, ["k"], "t", ["v"], "p", **ways)
+    assert rows(previous.where("p is not null").select("v", "p")) == [("d", at(1))]
+
+
+def test_named_chunk_needs_no_numbered_level(spark):
+    events = spark.createDataFrame([(1, at(1), ch.VICTORY, "a"), (1, at(2), ch.VICTORY, "b")], EVENTS)
+    nothing = spark.createDataFrame([], LEVELS).withColumn("level_num", F.lit(1).cast("long"))
+    bounds = ch.chunk_bounds(events, nothing, [ch.Chunk(6, 0, 0, ("a", "c"))])
+    assert rows(bounds) == [(1, 6, at(1), at(1), 1)]
 
 
 def test_level_label_edges(spark):
