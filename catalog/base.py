@@ -196,15 +196,17 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def check(name: str, sql: str | None = None, ctes: str = ""):
+def check(name: str, sql: str | None = None, ctes: str = "", staged: bool = False):
     """Register a query over the derived tables, with its oracle if it has one.
 
-    ``ctes`` adds further tables to the shared ones.
+    ``ctes`` adds further tables to the shared ones. ``staged`` writes the derived logs
+    once, for queries that read them several times.
     """
 
     def register(build: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return flat(build(Tables(spark, folder)))
+            tables = Tables(spark, folder)
+            return flat(build(tables.staged() if staged else tables))
 
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")

@@ -101,16 +101,15 @@ def c8(t: Tables) -> DataFrame:
 
 @check("c9_chunk_block", f"""
 SELECT user_id, chunk, {us('date_started')}, {us('date_completed')}, victories,
-       {', '.join(r6(f, f) for f in ch.CHUNK_FEATURES)} FROM uc""")
+       {', '.join(r6(f, f) for f in ch.CHUNK_FEATURES)} FROM uc""", staged=True)
 def c9(t: Tables) -> DataFrame:
     return ch.chunk_features(t.events, t.numbered)
 
 
 @check("c10_history_block", f"""
-SELECT user_id, chunk, {', '.join(r6(s, s) for s in mx.LANGUAGE_SHARES)}, logins FROM feat""")
+SELECT user_id, chunk, {', '.join(r6(s, s) for s in mx.LANGUAGE_SHARES)}, logins FROM feat""", staged=True)
 def c10(t: Tables) -> DataFrame:
-    s = t.staged()
-    return mx.history_rows(mx.wide_features(mx.chunk_facts(s.users, s.events, s.numbered), s.numbered))
+    return mx.history_rows(mx.wide_features(mx.chunk_facts(t.users, t.events, t.numbered), t.numbered))
 
 
 def _columns_sql(uppers, newest: int, shares: bool) -> str:

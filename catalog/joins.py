@@ -24,7 +24,7 @@ def j1(t: Tables) -> DataFrame:
     return lookup.attach(t.users.select("id", "levels_completed"), lookup.play_time(some))
 
 
-@check("j2_event_num", "SELECT event_id, user_id, level, level_num FROM evn")
+@check("j2_event_num", "SELECT event_id, user_id, level, level_num FROM evn", staged=True)
 def j2(t: Tables) -> DataFrame:
     return tag_events(t.events, t.numbered).select("event_id", "user_id", "level", "level_num")
 
@@ -38,7 +38,7 @@ revn AS (SELECT event_id, ev.user_id, rep.level_num FROM ev JOIN lvn ON lvn.user
 
 
 @check("j2_event_num_fanout", """
-SELECT event_id, user_id, level_num FROM revn""", _REPLAYED)
+SELECT event_id, user_id, level_num FROM revn""", _REPLAYED, staged=True)
 def j2_fanout(t: Tables) -> DataFrame:
     replay = F.concat(F.lit("replay-"), (F.col("level_num") % 4).cast("string"))
     repeated = t.numbered.withColumn("level", replay)
@@ -80,7 +80,7 @@ def j5(t: Tables) -> DataFrame:
 
 @check("j6_within_bounds", """
 SELECT e.event_id, b.user_id, b.chunk FROM bounds b JOIN ev e ON e.user_id = b.user_id
- AND e.created >= b.date_started AND e.created <= b.date_completed""")
+ AND e.created >= b.date_started AND e.created <= b.date_completed""", staged=True)
 def j6(t: Tables) -> DataFrame:
     bounds = ch.chunk_bounds(t.events, t.numbered)
     return ch.within_bounds(t.events, bounds).select("event_id", "user_id", "chunk")
@@ -116,7 +116,7 @@ def a1(t: Tables) -> DataFrame:
 
 
 @check("a2_a3_chunk_bounds", f"""
-SELECT user_id, chunk, {us('date_started')}, {us('date_completed')}, victories FROM bounds""")
+SELECT user_id, chunk, {us('date_started')}, {us('date_completed')}, victories FROM bounds""", staged=True)
 def a2(t: Tables) -> DataFrame:
     return ch.chunk_bounds(t.events, t.numbered)
 
@@ -136,7 +136,7 @@ def a2_named(t: Tables) -> DataFrame:
 @check("x8_average_time", f"""
 SELECT user_id, chunk, {r6('avg_time_to_complete_level', 'wrapped')},
        {r6('((epoch_us(date_completed) - epoch_us(date_started)) // 1000000)::DOUBLE / victories', 'true_time')}
-FROM uc""")
+FROM uc""", staged=True)
 def x8(t: Tables) -> DataFrame:
     bounds = ch.chunk_bounds(t.events, t.numbered)
     return bounds.select(
@@ -149,12 +149,12 @@ _RATES = [*ch.EVENT_RATES.values(), ch.PRACTICE_RATE]
 
 
 @check("a4_event_rates", f"""
-SELECT user_id, chunk, {', '.join(r6(x, x) for x in _RATES)} FROM uc""")
+SELECT user_id, chunk, {', '.join(r6(x, x) for x in _RATES)} FROM uc""", staged=True)
 def a4(t: Tables) -> DataFrame:
     return ch.chunk_features(t.events, t.numbered).select("user_id", "chunk", *_RATES)
 
 
-@check("a4_single_rate", f"SELECT user_id, chunk, {r6('rate_show_problem_alerts', 'rate')} FROM uc")
+@check("a4_single_rate", f"SELECT user_id, chunk, {r6('rate_show_problem_alerts', 'rate')} FROM uc", staged=True)
 def a4_single(t: Tables) -> DataFrame:
     bounds = ch.chunk_bounds(t.events, t.numbered)
     alerts = clean.named_events(t.events, "Show problem alert")
@@ -162,7 +162,7 @@ def a4_single(t: Tables) -> DataFrame:
 
 
 @check("a5_language_shares", f"""
-SELECT user_id, chunk, {', '.join(r6('share_' + x, 'share_' + x) for x in ch.LANGUAGES)} FROM lang""")
+SELECT user_id, chunk, {', '.join(r6('share_' + x, 'share_' + x) for x in ch.LANGUAGES)} FROM lang""", staged=True)
 def a5(t: Tables) -> DataFrame:
     spans = ch.chunk_bounds(t.events, t.numbered).select("user_id", "chunk", "victories")
     return ch.language_shares(spans, t.numbered).drop("victories")
@@ -306,7 +306,7 @@ def w2(t: Tables) -> DataFrame:
     return event_gaps(t.plain_events, ["event_id"]).select("event_id", "gap_hours")
 
 
-@check("w3_logins", "SELECT user_id, chunk, coalesce(logins, 0) AS logins FROM bounds LEFT JOIN logins USING (user_id, chunk)")
+@check("w3_logins", "SELECT user_id, chunk, coalesce(logins, 0) AS logins FROM bounds LEFT JOIN logins USING (user_id, chunk)", staged=True)
 def w3(t: Tables) -> DataFrame:
     spans = ch.chunk_bounds(t.events, t.numbered).join(
         t.users.select(F.col("id").alias("user_id"), "date_joined"), "user_id"
@@ -320,7 +320,7 @@ SELECT b.user_id, b.chunk, count(*) FILTER (WHERE gap >= 2.5) AS logins FROM bou
            PARTITION BY user_id, chunk ORDER BY created, event_id))) // 1000000)::DOUBLE / 3600 AS gap
   FROM (SELECT b.user_id, b.chunk, e.created, e.event_id FROM bounds b JOIN ev e ON e.user_id = b.user_id
         AND e.created >= b.date_started AND e.created <= b.date_completed)) g
-ON g.user_id = b.user_id AND g.chunk = b.chunk GROUP BY b.user_id, b.chunk""")
+ON g.user_id = b.user_id AND g.chunk = b.chunk GROUP BY b.user_id, b.chunk""", staged=True)
 def w3_in_chunk(t: Tables) -> DataFrame:
     return count_logins(
         ch.chunk_bounds(t.events, t.numbered), t.plain_events, ["user_id", "chunk"],

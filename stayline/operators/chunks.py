@@ -11,8 +11,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stayline.functions.elapsed import DAY, elapsed_seconds, ratio, seconds_within_day, time_slot
+from stayline.functions.elapsed import elapsed_seconds, ratio, seconds_within_day
 from stayline.operators.levels import level_numbers
+from stayline.operators.skew import HOT_ROWS, spread_join
 
 # Event names, feature names and coding languages.
 VICTORY = "Saw Victory"
@@ -118,22 +119,15 @@ def within_bounds(
     bounds: DataFrame,
     start: str = "date_started",
     end: str = "date_completed",
-    slot: int = DAY,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Facts (user_id, created, ...) joined to the bounds of their user that hold them.
 
-    Both ends are inclusive. Bounds are laid out over the days they span, so the join
-    runs on (user, day): a hot user's facts spread over its days, and each fact meets
-    each of its bounds once.
+    Both ends are inclusive. The join runs on the user with the range as its residual
+    condition, and a hot user's facts are dealt to many tasks.
     """
-    days = bounds.where(F.col(start) <= F.col(end)).withColumn(
-        "_day",
-        F.explode(F.sequence(time_slot(F.col(start), slot), time_slot(F.col(end), slot))),
-    )
-    placed = facts.withColumn("_day", time_slot(F.col("created"), slot))
-    inside = F.col("created").between(F.col(start), F.col(end))
-    joined = placed.alias("f").join(days.alias("b"), ["user_id", "_day"])
-    return joined.where(inside).drop("_day")
+    joined = spread_join(facts, bounds, ["user_id"], hot_rows=hot_rows)
+    return joined.where(F.col("created").between(F.col(start), F.col(end)))
 
 
 def count_inside(bounds: DataFrame, facts: DataFrame, name: str, reference: str = "victories") -> DataFrame:

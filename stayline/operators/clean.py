@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stayline.functions import people
+from stayline.operators.skew import spread_join
 from stayline.sources.schema import INDEX_RESIDUE
 
 # Columns computed for exploration only; dropped before modelling.
@@ -115,18 +116,14 @@ def with_lumped_country(users: DataFrame, kept=people.KEPT_COUNTRIES) -> DataFra
 
 
 def with_frequent_country(users: DataFrame, over: int = 300) -> DataFrame:
-    """Lump the countries that have no more than ``over`` users.
-
-    The frequent list is joined without a hint, so Spark broadcasts it only when its
-    measured size allows and otherwise splits a hot country by its skew handling.
-    """
+    """Lump the countries that have no more than ``over`` users."""
     frequent = (
         users.groupBy("country").agg(F.count("country").alias("_n"))
         .where(F.col("_n") > over)
         .select("country", F.lit(True).alias("_kept"))
     )
     return (
-        users.join(frequent, "country", "left")
+        spread_join(users, frequent, ["country"], "left")
         .withColumn("country", F.when(F.col("_kept"), F.col("country")).otherwise(people.OTHER_COUNTRY))
         .select(*users.columns)
     )

@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from stayline.operators.ordered import running_total
-
-_SPREAD = "_spread"
-_SPREAD_WAYS = 4096
+from stayline.operators.skew import spread_join
 
 
 def number_levels(
@@ -32,18 +30,6 @@ def level_numbers(numbered: DataFrame, fanout: bool = False) -> DataFrame:
 
 
 def tag_events(events: DataFrame, numbered: DataFrame, fanout: bool = False) -> DataFrame:
-    """Add the level number to each event; events without a known level get null.
-
-    Events tied to no level or user cannot match, so they are spread over the join's
-    partitions instead of piling up under one key.
-    """
-    spread = F.when(
-        F.col("level").isNull() | F.col("user_id").isNull(),
-        F.pmod(F.xxhash64("created", "event_name"), F.lit(_SPREAD_WAYS)).cast("int"),
-    ).otherwise(F.lit(-1))
-    numbers = level_numbers(numbered, fanout).withColumn(_SPREAD, F.lit(-1))
-    return (
-        events.withColumn(_SPREAD, spread)
-        .join(numbers, ["user_id", "level", _SPREAD], "left")
-        .select(*events.columns, "level_num")
-    )
+    """Add the level number to each event; events without a known level get null."""
+    tagged = spread_join(events, level_numbers(numbered, fanout), ["user_id", "level"], "left")
+    return tagged.select(*events.columns, "level_num")

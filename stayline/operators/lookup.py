@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stayline.operators import clean
+from stayline.operators.skew import spread_join
 
 OTHER_CAMPAIGN = "other"
 
@@ -53,7 +54,7 @@ def with_campaign(df: DataFrame, campaigns: DataFrame, level: str, name: str = "
 
 def of_users(df: DataFrame, users: DataFrame) -> DataFrame:
     """Rows of the given users, each once."""
-    return df.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    return spread_join(df, users.select(F.col("id").alias("user_id")), ["user_id"], "left_semi")
 
 
 def unpaid_over(users: DataFrame, levels: DataFrame, over: int = 12) -> DataFrame:

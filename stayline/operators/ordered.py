@@ -19,28 +19,15 @@ and get a null result.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stayline.functions.elapsed import HOUR, time_slot
+from stayline.operators.skew import HOT_ROWS, filled, hot_keys
 from stayline.session import stage
 
 SLOT = "_slot"
 HOT = "_hot"
-HOT_ROWS = 1_000_000
-HOT_KEYS = 100_000
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``rows`` rows and more than a 1/HOT_KEYS share of all rows.
-
-    The share bounds the result: fewer than HOT_KEYS keys can exceed it.
-    """
-    sizes = df.dropna("any", subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("_total")).scalar()
-    limit = F.greatest(F.lit(float(rows)), total / F.lit(float(HOT_KEYS)))
-    return sizes.where(F.col("_n") > limit).select(*keys)
 
 
 def _cut(
@@ -54,12 +41,12 @@ def _cut(
         return stage(
             ranged.select("*", F.spark_partition_id().alias(SLOT), F.lit(True).alias(HOT)), "ordered"
         )
-    hot = F.broadcast(hot_keys(df, keys, hot_rows).withColumn(HOT, F.lit(True)))
+    hot = F.broadcast(hot_keys(df, keys, hot_rows).select(*keys, F.lit(True).alias(HOT)))
     # Rows without a place are spread out, as they may all share the null key.
     astray = -1 - F.pmod(F.xxhash64(at, *tiebreak), F.lit(4096))
     return df.join(hot, list(keys), "left").withColumn(
         SLOT,
-        F.when(~_placed(keys, at), astray)
+        F.when(~filled(*keys, at), astray)
         .when(F.col(HOT), time_slot(F.col(at), slot))
         .otherwise(F.lit(0)),
     )
@@ -69,10 +56,6 @@ def _with_carry(inside: DataFrame, keys: Sequence[str], carry: DataFrame) -> Dat
     return inside.join(carry, [*keys, SLOT], "left")
 
 
-def _placed(keys: Sequence[str], at: str) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, at)])
-
-
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
@@ -87,7 +70,7 @@ def running_total(
 ) -> DataFrame:
     """Add a running sum of ``amount`` (default: a row count) per key in time order."""
     amount = F.lit(1) if amount is None else amount
-    counted = F.when(_placed(keys, at), amount.cast("long"))
+    counted = F.when(filled(*keys, at), amount.cast("long"))
     sliced = _cut(df.withColumn("_amount", counted), keys, at, tiebreak, slot, by_range, hot_rows)
     frame = (
         Window.partitionBy(*keys, SLOT)
@@ -101,7 +84,7 @@ def running_total(
         .agg(F.sum("_amount").alias("_total"))
         .select(*keys, SLOT, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
     )
-    placed = F.when(_placed(keys, at), F.col("_inside") + F.coalesce("_before", F.lit(0)))
+    placed = F.when(filled(*keys, at), F.col("_inside") + F.coalesce("_before", F.lit(0)))
     return _with_carry(inside, keys, carry).withColumn(name, placed).select(*df.columns, name)
 
 
@@ -126,7 +109,7 @@ def previous_time(
         .select(*keys, SLOT,
                 F.lag("_last").over(Window.partitionBy(*keys).orderBy(SLOT)).alias("_before"))
     )
-    before = F.when(_placed(keys, at), F.coalesce("_inside", "_before"))
+    before = F.when(filled(*keys, at), F.coalesce("_inside", "_before"))
     return _with_carry(inside, keys, carry).withColumn(name, before).select(*df.columns, name)
 
 

@@ -9,7 +9,8 @@ from stayline.functions import labels, people
 from stayline.functions.elapsed import active_days, elapsed_days
 from stayline.operators import chunks as ch, clean, evaluate, frequency as fq, lookup
 from stayline.operators.levels import number_levels, tag_events
-from stayline.operators.ordered import hot_keys, previous_time, running_total
+from stayline.operators.ordered import previous_time, running_total
+from stayline.operators.skew import hot_keys, spread_join
 from stayline.operators.sessions import count_logins, event_gaps, login_starts
 from stayline.plans import profile
 from stayline.sources import csv, splits
@@ -162,7 +163,7 @@ def test_ordered_slots_equal_a_plain_window(spark):
 
 def test_hot_keys_are_those_over_the_limit(spark):
     df = spark.createDataFrame([(1,)] * 30 + [(2,)] * 10 + [(None,)] * 50, "k long")
-    assert rows(hot_keys(df, ["k"], 20)) == [(1,)]
+    assert rows(hot_keys(df, ["k"], 20)) == [(1, 30)]
     assert hot_keys(df, ["k"]).count() == 0
 
 
@@ -310,3 +311,40 @@ def test_unpaid_users_semi_join_does_not_fan_out(spark):
                                   "id long, paid_subscription boolean, levels_completed int")
     levels = spark.createDataFrame([(u, at(1), "l", None, 1, "lua", False) for u in (1, 2, 3)], LEVELS)
     assert rows(lookup.unpaid_over(users, levels, 12).select("user_id")) == [(1,)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_spread_join_equals_a_plain_join(spark, how):
+    facts = spark.createDataFrame(
+        [(1, 1)] * 50 + [(1, i) for i in range(60)] + [(i % 9, i) for i in range(40)] + [(None, 5)] * 20,
+        "k long, v long",
+    ).repartition(4)
+    small = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (99, "d"), (None, "e")], "k long, x string")
+    if how == "left_semi":
+        small = small.dropDuplicates(["k"])
+    plain = facts.join(small, "k", how).collect()
+    for hot_rows in (1_000_000, 20, 1):
+        spread = spread_join(facts, small, ["k"], how, hot_rows).collect()
+        assert sorted(map(str, spread)) == sorted(map(str, plain))
+
+
+def test_hot_user_is_dealt_to_many_partitions(spark):
+    """Under a sort-merge join, no partition keeps the hot user's rows together."""
+    facts = spark.range(4000).select(
+        F.lit(7).cast("long").alias("user_id"), F.timestamp_micros(F.col("id") * 1000).alias("created")
+    ).repartition(8)
+    bounds = spark.createDataFrame(
+        [(7, dt(1970, 1, 1), dt(1970, 1, 2))], "user_id long, date_started timestamp, date_completed timestamp"
+    )
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = ch.within_bounds(facts, bounds, hot_rows=100)
+        sizes = [r[0] for r in joined.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 4000
+    assert max(sizes) < 2000
