@@ -33,6 +33,8 @@ def local_session(cores: int | str = "*", name: str = "stayline") -> SparkSessio
         .config("spark.sql.shuffle.partitions", str(parallel))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # Recording the call site of every column expression costs more than the plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     return configure(builder.getOrCreate())
