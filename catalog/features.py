@@ -66,6 +66,21 @@ def c5(t: Tables) -> DataFrame:
     )
 
 
+@check("p11_drop_draft_fields", f"""
+SELECT levels_completed, {bit('signed_up')}, {bit('paid_subscription')}, country,
+       {bit('last_level_was_practice')},
+       {r6('total_play_time::DOUBLE / nullif(levels_completed, 0)', 'avg_play_time_per_level_s')},
+       {r6(f"({days('date_joined', 'last_event_date')} + 1)::DOUBLE / nullif(levels_completed, 0)",
+           'avg_num_days_per_level')}
+FROM us LEFT JOIN lastev e ON e.user_id = id LEFT JOIN lasttry l ON l.user_id = id
+LEFT JOIN (SELECT user_id, CAST(sum(playtime) AS BIGINT) AS total_play_time FROM lv GROUP BY user_id) p
+  ON p.user_id = id""", LAST_CTES)
+def p11(t: Tables) -> DataFrame:
+    return clean.drop_draft_fields(
+        profile.user_profile(t.users, t.levels, t.events, DATA_THROUGH, ["event_id"])
+    )
+
+
 _DEMO = f"""id, {us('date_joined')}, levels_completed, {bit('signed_up')}, {bit('paid_subscription')},
  {bit('english_speaking')}, {', '.join(_DUMMIES)}"""
 

@@ -186,6 +186,24 @@ def m10(t: Tables) -> DataFrame:
     return evaluate.scores(rule_scores(t))
 
 
+@check("m10_accuracy", f"""
+SELECT count(*) AS n, {r6('avg(CASE WHEN y = prediction THEN 1.0 ELSE 0 END)', 'accuracy')} FROM rule""", _RULE)
+def m10_accuracy(t: Tables) -> DataFrame:
+    return evaluate.accuracy(rule_scores(t))
+
+
+@check("m5_draft_four_classes")
+def m5_draft(t: Tables) -> DataFrame:
+    """The draft model: classes by level bins, unweighted, scored by accuracy."""
+    matrix = mx.model_matrix(wide(t, FIRST_CHUNKS), FIRST, FIRST_CHUNKS)
+    rows = training.complete_rows(matrix.select("id", "levels_completed", *FIRST_FEATURES))
+    label = labels.digitize(F.col("levels_completed"), labels.DRAFT_BINS_OF_4)
+    data = stage(rows.withColumn("y", label.cast("int")), "draft")
+    train, test = train_test(data)
+    model = training.fit_weighted_logistic(train, FIRST_FEATURES, balanced=False, max_iter=20)
+    return evaluate.accuracy(training.predict(model, test))
+
+
 @check("m11_confusion_shares", "SELECT tn, fp, fn, tp, " + ", ".join(
     f"round({c}::DOUBLE / (tn + fp + fn + tp), 2) AS {c}_share" for c in ("tn", "fp", "fn", "tp"))
     + " FROM cm", _RULE)

@@ -69,7 +69,7 @@ def train(spark: SparkSession, out: str, family: str) -> None:
         m.threshold: tables.read_matrix(spark, f"{out}/matrices", TRAIN, m.threshold) for m in ch.MODELS
     }
     fitted = scoring.train_points(
-        matrices, FAMILIES[family], folder=f"{out}/models", family=family
+        matrices, FAMILIES[family], ch.MODELS, folder=f"{out}/models", family=family
     )
     scoring.point_scores(fitted).write.mode("overwrite").parquet(f"{out}/reports/train_scores_{family}")
     for threshold, point in fitted.items():
@@ -83,9 +83,11 @@ def _labelled_point(spark: SparkSession, out: str, split: str, model: ch.Model)
 
 
 def score(spark: SparkSession, out: str, family: str, split: str, thresholds: list[int]) -> None:
-    """Predictions, scores, area under the curve and baseline per prediction point."""
+    """Predictions, scores, area under the curve and baseline per fitted prediction point."""
+    report = spark.read.parquet(f"{out}/reports/train_scores_{family}")
+    fitted = {r["model"] for r in report.select("model").collect()}
     for model in ch.MODELS:
-        if model.threshold not in thresholds:
+        if model.threshold not in fitted.intersection(thresholds):
             continue
         data = _labelled_point(spark, out, split, model)
         base = f"{out}/reports/{split}_{model.threshold}_{family}"

@@ -19,12 +19,12 @@ EXPLORATION_COLUMNS = (
     "data_through", "last_level_was_completed", "daygap", "last_level_played",
     "avg_play_time_per_level_s", "last_level_time_s",
 )
-# Earlier list: columns that give the target away, or were never filled.
+# Draft models' list: identifiers, sparse answers, what gives the target away, never filled.
 DRAFT_DROPPED = (
-    "total_play_time", "last_event_date", "last_action", "last_level_name",
-    "active_time_days", "data_through", "activity_gap_days", "level", "last_level_time_s",
-    "daygap", "was_completed", "last_level_started", "hints_clicked_first_six",
-    "hints_used_first_six", "date_joined",
+    "id", "date_joined", "age", "total_play_time", "last_event_date", "last_action",
+    "last_level_name", "active_time_days", "data_through", "activity_gap_days",
+    "last_level_played", "last_level_time_s", "daygap", "last_level_was_completed",
+    "last_level_started", "hints_clicked_first_six", "hints_used_first_six",
 )
 SURVEY_PREFIX = "survey_"
 TARGETS = ("levels_completed", "last_level_started", "last_campaign_started")
@@ -79,6 +79,12 @@ def drop_unmodelled(df: DataFrame) -> DataFrame:
     return df.drop(*EXPLORATION_COLUMNS, *survey)
 
 
+def drop_draft_fields(df: DataFrame) -> DataFrame:
+    """The draft models' drop list; columns that are absent are skipped."""
+    survey = [c for c in df.columns if c.startswith(SURVEY_PREFIX)]
+    return df.drop(INDEX_RESIDUE, *DRAFT_DROPPED, *survey)
+
+
 def drop_present(df: DataFrame, *names: str) -> DataFrame:
     """Drop the named columns that exist."""
     return df.drop(*names)

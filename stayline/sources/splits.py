@@ -7,16 +7,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 TRAIN, TEST = "train", "test"
 
 
-def _share(key: Column, share: float) -> Column:
+def _share(key: Column, share: float, salt: str = "") -> Column:
     """True for about this share of keys, in steps of 1/256, by a stable hash."""
     cut = round(share * 256)
-    first_byte = F.substring(F.md5(key.cast("string")), 1, 2)
+    first_byte = F.substring(F.md5(F.concat(key.cast("string"), F.lit(salt))), 1, 2)
     return F.lit(True) if cut >= 256 else first_byte < F.lit(f"{cut:02x}")
 
 
-def with_split(df: DataFrame, key: str = "id", train: float = 0.75) -> DataFrame:
-    """Add ``split``; a user stays on one side in every table and run."""
-    return df.withColumn("split", F.when(_share(F.col(key), train), TRAIN).otherwise(TEST))
+def with_split(
+    df: DataFrame, key: str = "id", train: float = 0.75, salt: str = ""
+) -> DataFrame:
+    """Add ``split``; a user stays on one side in every table and run.
+
+    A second split of one side needs a salt of its own, or every user falls on that side.
+    """
+    return df.withColumn("split", F.when(_share(F.col(key), train, salt), TRAIN).otherwise(TEST))
 
 
 def random_split(df: DataFrame, seed: int, train: float = 0.75) -> tuple[DataFrame, DataFrame]:

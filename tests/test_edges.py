@@ -299,6 +299,13 @@ def test_split_sides_and_audit(spark):
     assert bad["n_overlap"] == train.count() and bad["n_stray"] > 0 and bad["n_missing"] > 0
 
 
+def test_a_salted_split_is_independent(spark):
+    train = splits.with_split(spark.range(1000)).where(F.col("split") == "train").drop("split")
+    assert splits.with_split(train).where(F.col("split") == "test").count() == 0
+    share = splits.with_split(train, salt="x").where(F.col("split") == "test").count() / train.count()
+    assert 0.2 < share < 0.3
+
+
 def test_halves_are_disjoint_and_complete(spark):
     df = spark.range(500).withColumn("k", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id")))
     a, b = splits.halves(df, "k")

@@ -115,13 +115,11 @@ def test_jobs_end_to_end(spark, logs, tmp_path, monkeypatch):
         job.main(["features", "--data", logs, "--out", out, "--split", split], spark)
     monkeypatch.setattr(job.ch, "MODELS", ch.MODELS[:2])
     monkeypatch.setitem(job.FAMILIES, "forest", lambda df, f: training.fit_forest(df, f, trees=5, max_depth=3))
-    monkeypatch.setattr(
-        job.scoring.train_points, "__defaults__",
-        (ch.MODELS, *job.scoring.train_points.__defaults__[1:]),
-    )
     job.main(["train", "--out", out, "--family", "forest"], spark)
-    job.main(["score", "--out", out, "--family", "forest", "--split", "test", "--thresholds", "10", "15"], spark)
+    job.main(["score", "--out", out, "--family", "forest", "--split", "test"], spark)
     job.main(["describe", "--data", logs, "--out", out], spark)
+    report = spark.read.parquet(f"{out}/reports/train_scores_forest").collect()
+    assert {r["model"] for r in report} == {10, 15}
     scores = spark.read.parquet(f"{out}/reports/test_15_forest/scores").collect()[0]
     held_out = spark.read.parquet(f"{out}/matrices/split=test/model=15")
     assert scores["tn"] + scores["fp"] + scores["fn"] + scores["tp"] == held_out.dropna().count()
