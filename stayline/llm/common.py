@@ -66,3 +66,15 @@ def parts_for(total: int, each: int, least: int = 1) -> int:
 def text_bytes(docs: DataFrame, text: str) -> int:
     """Bytes of all texts: one column read, one row back."""
     return docs.agg(F.sum(F.octet_length(F.col(text))).alias("b")).first()["b"] or 0
+
+
+def keep_bucketed(df: DataFrame, parts: int, column: str, label: str) -> DataFrame:
+    """As ``keep``, dealt into ``parts`` buckets by ``column``: later groupings and joins on
+    that column read the rows where they are."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    with _shuffles_removed(spark):
+        df.repartition(parts, column).write.format("parquet").option("path", path).bucketBy(
+            parts, column).saveAsTable(name)
+    return spark.table(name)

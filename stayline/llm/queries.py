@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stayline.llm import quality_rules
+from stayline.llm import bpe, mixing, quality_rules, simhash, substrings
 from stayline.llm.common import keep, table
 
+#: Where the public tokenizer's file is; see the package's README for the others.
+TOKENIZER = "word_bpe_49k.json"
+#: The production mix: weights by level, the part of all tokens to select, epochs and seed.
+WEIGHTS = {
+    "domain": {"group0": 4, "group1": 3, "group2": 2},
+    "lang": {"en": 6, "de": 2, "fr": 2},
+    "source": {},
+}
+SHARE, EPOCHS, SEED = (3, 5), 2, 20
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,6 +28,30 @@ def query(function: Callable[[SparkSession, str], DataFrame]):
     return function
 
 
+def tokenizer() -> bpe.Bpe:
+    import public_tokenizers
+
+    return bpe.Bpe(public_tokenizers.path(TOKENIZER))
+
+
+def domain() -> Column:
+    """The four groups that the sources' numbers fall into; sources without one are apart."""
+    number = F.regexp_extract(F.coalesce(F.col("source"), F.lit("")), "([0-9]{1,9})$", 1)
+    return F.when(number == "", F.lit("other")).otherwise(
+        F.concat(F.lit("group"), F.pmod(F.try_to_number(number, F.lit("999999999")), F.lit(4)).cast("int").cast("string"))
+    )
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    return mixing.mixed(docs, domain(), WEIGHTS, SHARE, EPOCHS, SEED)
+
+
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs).select("doc_id", domain().alias("domain"), "lang", "source", "copies")
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = quality_rules.with_statistics(table(spark, sf_dir, "documents"))
@@ -25,3 +59,28 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(points).select(
         "doc_id", *quality_rules.COUNTS, "base_failed", "kept"
     )
+
+
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.without_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+@query
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = bpe.there_and_back(docs, tokenizer())
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return done.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
