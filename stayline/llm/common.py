@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import stayline.llm
 from stayline.session import fresh_path
 
+# Task functions travel with the job: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(stayline.llm)
+
 #: Fixed value: a word is a run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
