@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stayline.llm import bpe, chat, mixing, quality_rules, simhash, substrings
+from stayline.llm import balltree, bpe, chat, mixing, quality_rules, simhash, substrings
 from stayline.llm.common import keep, table
 
 #: Where the public tokenizer's file is; see the package's README for the others.
@@ -67,6 +67,30 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = balltree.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return balltree.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op4_top_k"] = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+vectors AS (SELECT vec_id, min(v) AS v FROM usable GROUP BY vec_id),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 @query
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts look like the template's own marks."""
