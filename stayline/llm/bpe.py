@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from stayline.llm.common import free_name
 
@@ -62,17 +63,18 @@ class Bpe:
     """A tokenizer file of the form: NFC, lower case, split by a pattern, byte letters, BPE
     with a suffix on a word's last byte, no decoder."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            self.spec = json.load(file)
+    def __init__(self, spec: dict):
+        self.spec = spec
         steps = [x["type"] for x in self.spec["normalizer"]["normalizers"]]
         split, level = self.spec["pre_tokenizer"]["pretokenizers"]
         plain = steps == ["NFC", "Replace", "Lowercase"] and split["invert"] and not level["use_regex"]
         if not plain or self.spec["decoder"] is not None or not self.spec["model"]["end_of_word_suffix"]:
-            raise ValueError(f"{path} is a tokenizer of another form")
+            raise ValueError("a tokenizer of another form")
 
-    def __getstate__(self):
-        return {"spec": self.spec}
+    @staticmethod
+    def read(path: str) -> Bpe:
+        with open(path, encoding="utf-8") as file:
+            return Bpe(json.load(file))
 
     @cached_property
     def tokens(self) -> list[str]:
@@ -233,18 +235,21 @@ def _mapped(df: DataFrame, column: str, tokenizer: Bpe, fresh: list[tuple[str, s
         F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in names]).alias(row),
         F.col(f"`{column}`").alias("given"),
     )
-    schema = given.select(row).schema
-    for name, kind in fresh:
-        schema = schema.add(name, kind)
+    made = StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in fresh))
+    schema = StructType([given.schema[row], *made])
     arrow = to_arrow_schema(schema)
-    shared = df.sparkSession.sparkContext.broadcast(tokenizer)
+    # A worker's copy also keeps the tables it builds, so its next tasks find them.
+    shared = df.sparkSession.sparkContext.broadcast({"spec": tokenizer.spec})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        if "ready" not in own:
+            own["ready"] = Bpe(own["spec"])
         for whole in batches:
             for at in range(0, whole.num_rows, _BATCH):
                 batch = whole.slice(at, _BATCH)
-                made = [work(shared.value, x.as_py()) for x in batch.column(1)]
-                columns = [pa.array([m[i] for m in made], arrow.field(n).type) for i, n in enumerate(names)]
+                done = [work(own["ready"], x.as_py()) for x in batch.column(1)]
+                columns = [pa.array([d[i] for d in done], arrow.field(n).type) for i, n in enumerate(names)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=arrow)
 
     return given.mapInArrow(run, schema).select(f"{row}.*", *names)

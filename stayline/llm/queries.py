@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stayline.llm import balltree, bpe, chat, mixing, quality_rules, simhash, substrings
+from stayline.llm import balltree, bpe, brown, chat, mixing, quality_rules, simhash, substrings
 from stayline.llm.common import keep, table
 
 #: Where the public tokenizer's file is; see the package's README for the others.
@@ -31,7 +31,7 @@ def query(function: Callable[[SparkSession, str], DataFrame]):
 def tokenizer() -> bpe.Bpe:
     import public_tokenizers
 
-    return bpe.Bpe(public_tokenizers.path(TOKENIZER))
+    return bpe.Bpe.read(public_tokenizers.path(TOKENIZER))
 
 
 def domain() -> Column:
@@ -67,6 +67,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op3_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = balltree.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
