@@ -62,7 +62,7 @@ def pour(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     full = seen.withColumn("full", wide("supply") * wide("open") <= left * wide("weight"))
     # What the first open node sees is what all open nodes share.
     shared = full.withColumns({
-        "rest": F.min(F.when(~F.col("full"), F.col("budget") - F.col("used"))).over(siblings),
+        "rest": F.max(F.when(~F.col("full"), F.col("budget") - F.col("used"))).over(siblings),
         "open": F.max(F.when(~F.col("full"), F.col("open"))).over(siblings),
     })
     share = F.floor(wide("rest") * wide("weight") / wide("open")).cast("long")
