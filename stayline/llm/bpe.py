@@ -177,8 +177,10 @@ class Bpe:
         return _Bounded(self._merged, _FRAGMENTS)
 
     def _encode_word(self, word: str) -> tuple[int, ...]:
-        known = self._known_fragments
-        return tuple(chain.from_iterable(known[x] for x in self.fragments(word.encode())))
+        parts, known = self.fragments(word.encode()), self._known_fragments
+        if len(parts) == 1:  # the word itself is looked up already
+            return self._merged(parts[0])
+        return tuple(chain.from_iterable(known[x] for x in parts))
 
     @cached_property
     def _known_words(self) -> _Bounded:

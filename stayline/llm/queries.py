@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stayline.llm import balltree, bpe, brown, chat, mixing, quality_rules, simhash, substrings
+from stayline.llm import balltree, bpe, brown, chat, kneser_ney, mixing, packing, quality_rules, simhash, substrings
 from stayline.llm.common import keep, table
 
 #: Where the public tokenizer's file is; see the package's README for the others.
@@ -116,6 +116,22 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    trusted = kneser_ney.trusted_ids(table(spark, sf_dir, "labels"))
+    scored = keep(kneser_ney.perplexities(docs, trusted), "scored")
+    return kneser_ney.judged(scored, trusted)
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    own = tokenizer()
+    ids = bpe.encoded(docs, own).select("doc_id", "ids")
+    return packing.packed(ids, vocabulary=len(own.tokens), pad=len(own.tokens) - 1)
+
+
 @query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -21,6 +21,7 @@ words. Repeated rows, other columns and empty tables go through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +37,6 @@ BLOCK_WINDOWS, CELLS = 1 << 19, 1 << 22
 _BYTES_PER_WORD = 6
 _NO_ID = (1 << 63) - 1
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_CACHE_WORDS = 1 << 18
-
-
-class _WordHashes(dict):
-    """XXH64 by word, forgotten when too many are held."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _WordHashes()
 
 
 def _rolled(h: np.ndarray, multiplier: int) -> np.ndarray:
@@ -67,34 +54,30 @@ class _Unit:
 
     def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray):
         ids = [_NO_ID if i is None else i for i in ids.to_pylist()]
-        # Documents by ascending id: the first of equal windows has the least.
-        self.rows = np.argsort(np.array(ids, np.int64), kind="stable")
-        self.ids = np.array(ids, np.int64)[self.rows]
-        texts = texts.to_pylist()
-        self.words = [(texts[r] or b"").split() for r in self.rows.tolist()]
+        self.ids = np.array(ids, np.int64)
+        self.words = [(t or b"").split() for t in texts.to_pylist()]
         sizes = np.array([len(w) for w in self.words], np.int64)
         self.ends = np.cumsum(sizes)
         total = int(sizes.sum())
-        h = np.fromiter((_hashes[w] for words in self.words for w in words), np.uint64, total)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(self.words)), np.uint64, total)
         if total < WINDOW:
             self.a = self.b = np.empty(0, np.uint64)
-            self.start = self.doc = np.empty(0, np.int64)
-        else:
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            whole = np.flatnonzero(doc[WINDOW - 1:] == doc[:total - WINDOW + 1])
-            a = _rolled(h, _M1)[whole]
-            mixed = (h ^ (h >> np.uint64(29))) * np.uint64(_M2)
-            b = _rolled(mixed ^ (mixed >> np.uint64(32)), _M2)[whole]
-            order = np.lexsort((b, a))
-            self.a, self.b, self.start = a[order], b[order], whole[order]
-            self.doc = doc[whole][order]
-        first = np.ones(len(self.a), bool)
+            self.start = self.own = self.first = self.least = self.most = self.group = np.empty(0, np.int64)
+            return
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        whole = np.flatnonzero(doc[WINDOW - 1:] == doc[:total - WINDOW + 1])
+        a = _rolled(h, _M1)[whole]
+        order = np.argsort(a)
+        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(_M2)
+        b = _rolled(mixed ^ (mixed >> np.uint64(32)), _M2)
+        self.start = whole[order]
+        self.a, self.b, self.own = a[order], b[self.start], self.ids[doc[self.start]]
+        first = np.ones(len(a), bool)
         first[1:] = (self.a[1:] != self.a[:-1]) | (self.b[1:] != self.b[:-1])
-        self.first = np.flatnonzero(first)
-        self.group = np.cumsum(first) - 1
-        self.least = self.ids[self.doc[self.first]] if len(self.first) else np.empty(0, np.int64)
-        last = np.append(self.first[1:], len(self.a))[:len(self.first)] - 1
-        self.most = self.ids[self.doc[last]] if len(last) else np.empty(0, np.int64)
+        self.first, self.group = np.flatnonzero(first), np.cumsum(first) - 1
+        # Least and greatest id of the documents that have each window.
+        self.least = np.minimum.reduceat(self.own, self.first) if len(a) else np.empty(0, np.int64)
+        self.most = np.maximum.reduceat(self.own, self.first) if len(a) else np.empty(0, np.int64)
 
     def blocks(self, count: int) -> Iterator[tuple[int, np.ndarray]]:
         """(block, the windows in it) by the high half of the second hash."""
@@ -224,7 +207,7 @@ def _remove(schema: pa.Schema):
             return schema.empty_table()
         unit = _Unit(docs["id"], docs["text"])
         # Inside the unit: later documents lose what an earlier one has.
-        gone = unit.ids[unit.doc] > unit.least[unit.group] if len(unit.a) else np.empty(0, bool)
+        gone = unit.own > unit.least[unit.group]
         if lost.num_rows and len(unit.a):
             lists = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in lost["a"].to_pylist()]))
             at = np.minimum(np.searchsorted(lists, unit.a), len(lists) - 1)
@@ -236,7 +219,7 @@ def _remove(schema: pa.Schema):
         covered = np.cumsum(edges)[:total] > 0
         n_words, n_removed, kept = ([None] * docs.num_rows for _ in range(3))
         begin = 0
-        for row, words, end in zip(unit.rows.tolist(), unit.words, unit.ends.tolist()):
+        for row, (words, end) in enumerate(zip(unit.words, unit.ends.tolist())):
             inside = covered[begin:end]
             n_words[row], n_removed[row] = len(words), int(inside.sum())
             if n_removed[row]:
