@@ -15,7 +15,7 @@ a smaller id. Texts move once, into buckets that all passes read in place.
 
 Defined results: a null text has no words; texts shorter than a window keep all words; a
 null id counts as larger than every id; rows with equal ids do not remove each other's
-words. Repeated rows, other columns and empty tables go through.
+words. Repeated rows and empty tables go through; input columns are carried in ``row``.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from stayline.llm.common import free_name, keep, keep_bucketed, parts_for, text_bytes
+from stayline.llm.common import as_row, keep, keep_bucketed, parts_for, text_bytes
 
 WINDOW = 13
 UNIT_BYTES = 4 << 20
@@ -233,18 +234,18 @@ def _remove(schema: pa.Schema):
     return run
 
 
-def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without ``text``, with ``n_words``, ``n_removed`` and ``kept`` (the kept
-    words joined by one space)."""
+def without_repeats(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None
+) -> DataFrame:
+    """``row`` (the columns ``carry``, default all but ``text``), ``n_words``,
+    ``n_removed`` and ``kept`` (the kept words joined by one space)."""
     size = text_bytes(docs, text)
     units, blocks = parts_for(size, UNIT_BYTES), parts_for(size, BLOCK_WINDOWS * _BYTES_PER_WORD)
-    fresh = ("n_words", "n_removed", "kept")
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, *fresh)]
     key = F.coalesce(F.col(f"`{doc_id}`"), F.xxhash64(f"`{text}`"))
     dealt = keep_bucketed(docs.select(
         F.pmod(F.xxhash64(key), F.lit(units)).cast("int").alias("unit"),
         F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"),
-        F.struct(*others).alias("row"),
+        as_row(docs, [c for c in docs.columns if c != text] if carry is None else carry),
     ), units, "unit", "units")
     texts = dealt.select("unit", "id", "text").groupBy("unit")
     ddl = "block int, unit int, c0 binary, c1 binary"
@@ -254,7 +255,5 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         _candidates(blocks), "block int, unit int, a binary, b binary, ids binary")
     lost = keep(lists.groupBy("block").applyInArrow(_group, "unit int, a binary"), "lost")
     out = dealt.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept", "binary")
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     done = dealt.groupBy("unit").cogroup(lost.groupBy("unit")).applyInArrow(_remove(to_arrow_schema(out)), out)
-    return done.select("row.*", "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+    return done.select("row", "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
