@@ -8,8 +8,9 @@ words that come again are looked up; both look-up tables are bounded.
 
 Defined results: a null text counts as empty and has no ids; texts of any length are
 encoded whole; a special token's string in a text becomes that token, as the library does
-it; ids outside the vocabulary decode to nothing. Repeated rows, other columns and empty
-tables go through.
+it; ids outside the vocabulary decode to nothing. Repeated rows and empty tables go
+through; input columns are carried in ``row``. Characters that newer versions of Unicode
+added may be classed differently than in the library's tables.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from collections.abc import Iterator
 from functools import cached_property
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from stayline.llm.common import free_name
+from stayline.llm.common import as_row
 
 _WORDS, _FRAGMENTS = 1 << 18, 1 << 17
 _SHORT = 48
@@ -46,16 +48,19 @@ def byte_letters() -> list[str]:
 
 
 class _Bounded(dict):
-    """Answers by key, worked out when missing and forgotten when too many are held."""
+    """Answers by key, worked out when missing. When ``most`` are held they become the old
+    ones; those asked for again are taken over, the rest is forgotten."""
 
     def __init__(self, work_out, most: int):
         super().__init__()
-        self.work_out, self.most = work_out, most
+        self.work_out, self.most, self.old = work_out, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        self[key] = value = self.work_out(key)
+        value = self.old.get(key)
+        self[key] = value = self.work_out(key) if value is None else value
         return value
 
 
@@ -85,6 +90,10 @@ class Bpe:
             out[number] = token
         return out
 
+    @cached_property
+    def _gapless(self) -> bool:
+        return all(self.tokens)
+
     @cached_property
     def _start(self) -> tuple[list[int], list[int]]:
         """Id of each byte inside a word and at its end."""
@@ -226,19 +235,25 @@ class Bpe:
 
     def decode(self, ids: list[int]) -> str:
         tokens = self.tokens
-        return " ".join([tokens[i] for i in ids if 0 <= i < len(tokens) and tokens[i]])
+        if ids and not (min(ids) >= 0 and max(ids) < len(tokens) and self._gapless):
+            ids = [i for i in ids if 0 <= i < len(tokens) and tokens[i]]
+        return " ".join(map(tokens.__getitem__, ids))
+
 
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    ends = np.cumsum([0, *map(len, values)])
+    flat = np.fromiter(chain.from_iterable(values), np.int32, int(ends[-1]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), type=kind)
 
-def _mapped(df: DataFrame, column: str, tokenizer: Bpe, fresh: list[tuple[str, str]], work) -> DataFrame:
-    """``df`` with fresh columns that ``work`` makes of one column's values."""
+
+def _mapped(df: DataFrame, value: Column, carry: list[str] | None, tokenizer: Bpe, fresh: list[tuple[str, str]], work) -> DataFrame:
+    """``row`` (see ``as_row``) and fresh columns that ``work`` makes of one value."""
     names = [n for n, _ in fresh]
-    row = free_name(df, "row")
-    given = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in names]).alias(row),
-        F.col(f"`{column}`").alias("given"),
-    )
+    given = df.select(as_row(df, carry), value.alias("given"))
     made = StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in fresh))
-    schema = StructType([given.schema[row], *made])
+    schema = StructType([given.schema["row"], *made])
     arrow = to_arrow_schema(schema)
     # A worker's copy also keeps the tables it builds, so its next tasks find them.
     shared = df.sparkSession.sparkContext.broadcast({"spec": tokenizer.spec})
@@ -251,29 +266,26 @@ def _mapped(df: DataFrame, column: str, tokenizer: Bpe, fresh: list[tuple[str, s
             for at in range(0, whole.num_rows, _BATCH):
                 batch = whole.slice(at, _BATCH)
                 done = [work(own["ready"], x.as_py()) for x in batch.column(1)]
-                columns = [pa.array([d[i] for d in done], arrow.field(n).type) for i, n in enumerate(names)]
+                columns = [_column([d[i] for d in done], arrow.field(n).type) for i, n in enumerate(names)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=arrow)
 
-    return given.mapInArrow(run, schema).select(f"{row}.*", *names)
-
+    return given.mapInArrow(run, schema)
 
-def encoded(docs: DataFrame, tokenizer: Bpe, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of ``text``."""
-    return _mapped(docs, text, tokenizer, [(ids, "array<int>")], lambda t, x: (t.encode(x or ""),))
 
+def encoded(docs: DataFrame, tokenizer: Bpe, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``row`` and the token ``ids`` of ``text``."""
+    return _mapped(docs, F.col(f"`{text}`"), carry, tokenizer, [("ids", "array<int>")], lambda t, x: (t.encode(x or ""),))
 
-def decoded(docs: DataFrame, tokenizer: Bpe, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``docs`` with the text that ``ids`` stand for."""
-    return _mapped(docs, ids, tokenizer, [(text, "string")], lambda t, x: (t.decode(x or []),))
 
+def decoded(docs: DataFrame, tokenizer: Bpe, ids: str = "ids", carry: list[str] | None = None) -> DataFrame:
+    """``row`` and ``decoded``, the text that ``ids`` stand for."""
+    return _mapped(docs, F.col(f"`{ids}`"), carry, tokenizer, [("decoded", "string")], lambda t, x: (t.decode(x or []),))
 
-def there_and_back(docs: DataFrame, tokenizer: Bpe, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with ``ids`` and what they decode to, in one pass."""
 
+def there_and_back(docs: DataFrame, tokenizer: Bpe, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``row``, ``ids`` and what they decode to (``decoded``), in one pass."""
     def work(t: Bpe, x: str | None) -> tuple[list[int], str]:
         ids = t.encode(x or "")
         return ids, t.decode(ids)
 
-    given = docs.withColumnRenamed(text, free_name(docs, "given_text"))
-    name = free_name(docs, "given_text")
-    return _mapped(given, name, tokenizer, [("ids", "array<int>"), ("decoded", "string")], work).drop(name)
+    return _mapped(docs, F.col(f"`{text}`"), carry, tokenizer, [("ids", "array<int>"), ("decoded", "string")], work)

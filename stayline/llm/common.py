@@ -63,6 +63,17 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def as_row(docs: DataFrame, carry: list[str] | None = None) -> Column:
+    """The columns ``carry`` (default: all) as one struct named ``row``.
+
+    Operators hand rows on in this form beside what they add, so no column of the input
+    can clash with theirs.
+    """
+    names = docs.columns if carry is None else carry
+    fields = [F.col(f"`{c}`") for c in names] or [F.lit(None).alias("none")]
+    return F.struct(*fields).alias("row")
+
+
 def parts_for(total: int, each: int, least: int = 1) -> int:
     """How many parts of about ``each`` hold ``total``."""
     return max(least, -(-int(total) // each))

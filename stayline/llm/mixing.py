@@ -16,7 +16,7 @@ so no leaf is ever sorted as a whole and a document needs only its leaf's limit.
 Defined results: null texts have no tokens, a null language or source is named
 ``(none)``; rows with one id in one leaf share their place in the order and are taken
 together; an empty table, or a budget of zero, selects nothing but documents without
-tokens at the start of a leaf's order. Other columns are kept.
+tokens at the start of a leaf's order. Input columns are carried in ``row``.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stayline.llm.common import WORD, free_name, keep
+from stayline.llm.common import WORD, as_row, keep
 
 LEVELS = ("domain", "lang", "source")
 NONE = "(none)"
@@ -122,16 +122,17 @@ def _limits(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
 
 def mixed(
     docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]], share: tuple[int, int],
-    epochs: int, seed: int, text: str = "text", doc_id: str = "doc_id", copies: str = "copies",
+    epochs: int, seed: int, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None,
 ) -> DataFrame:
-    """The selected rows of ``docs`` with ``copies``, the epochs that select each."""
+    """``row`` (see ``as_row``) of each selected document, its ``domain``, and ``copies``, the
+    epochs that select it."""
     keys = {
         "domain": F.coalesce(domain, F.lit(NONE)), "lang": F.coalesce(F.col("lang"), F.lit(NONE)),
         "source": F.coalesce(F.col("source"), F.lit(NONE)),
     }
-    tokens = F.coalesce(F.size(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
+    tokens = F.coalesce(F.size(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
     rows = keep(docs.select(
-        *[c.alias(k) for k, c in keys.items()], F.col(doc_id).alias("id"), tokens.alias("n_tokens")
+        *[c.alias(k) for k, c in keys.items()], F.col(f"`{doc_id}`").alias("id"), tokens.alias("n_tokens")
     ), "tokens")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     given = budgets(leaves, weights, epochs, share)
@@ -141,9 +142,8 @@ def mixed(
     marks = limited.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(LEVELS)], F.col("whole").alias("_whole"), F.col("limit").alias("_limit")
     )
-    row, name = free_name(docs, "row"), F.col("_whole")
-    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), *[c.alias(f"_d{i}") for i, c in enumerate(keys.values())], F.col(doc_id).alias("_id")).join(
-        marks, [F.col(f"_d{i}") == F.col(f"_k{i}") for i in range(3)])
-    more = F.coalesce(_place(seed, name, F.col("_id")) <= F.col("_limit"), F.lit(False)).cast("long")
-    taken = joined.withColumn("_copies", name + more).where("_copies > 0")
-    return taken.select(f"{row}.*", F.col("_copies").alias(copies))
+    named = docs.select(
+        as_row(docs, carry), F.col(f"`{doc_id}`").alias("id"), *[c.alias(f"_d{i}") for i, c in enumerate(keys.values())])
+    joined = named.join(marks, [F.col(f"_d{i}") == F.col(f"_k{i}") for i in range(3)])
+    more = F.coalesce(_place(seed, F.col("_whole"), F.col("id")) <= F.col("_limit"), F.lit(False)).cast("long")
+    return joined.select("row", F.col("_d0").alias("domain"), (F.col("_whole") + more).alias("copies")).where("copies > 0")

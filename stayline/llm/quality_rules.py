@@ -14,14 +14,14 @@ Defined results: a null text counts as empty; a null language or source is a gro
 its own; documents that fail the base rule, and groups of fewer than ``MIN_GROUP``
 documents that pass it, take no part in the estimate, and such small groups are judged by
 the base rule alone. Repeated rows are judged row by row. An empty table gives an empty
-result. Columns of the input with other names are kept as they are.
+result. Input columns are carried in ``row``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stayline.llm.common import WORD, keep
+from stayline.llm.common import WORD, as_row, keep
 
 #: Fixed values of the base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
@@ -75,10 +75,9 @@ def _covered(starts: Column) -> Column:
     return reach["n"]
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the five counts of ``COUNTS`` and ``base_failed``."""
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in (*COUNTS, "base_failed")]
-    given = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+def with_statistics(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``row`` (see ``as_row``), the five counts of ``COUNTS`` and ``base_failed``."""
+    given = docs.select(as_row(docs, carry), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD))
     split = given.select(
         "row", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"), lines.alias("lines"),
@@ -108,35 +107,33 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
-    return longs.select("row.*", *COUNTS, failed.alias("base_failed"))
+    return longs.withColumn("base_failed", failed)
 
 
 def _unit(value: Column) -> Column:
     return F.round(value * UNIT).cast("long")
 
 
-def with_points(counted: DataFrame) -> DataFrame:
-    """``counted`` with the transformed statistics ``x0``, ``x1``, ``x2`` in UNITs."""
+def with_points(counted: DataFrame, keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """``counted`` with its group ``g0``, ``g1`` and the transformed statistics ``x0``,
+    ``x1``, ``x2`` in UNITs."""
     words, chars = F.col("n_words"), F.col("word_chars")
     length = (chars + PSEUDO_WORDS * PSEUDO_LENGTH) / (words + PSEUDO_WORDS)
     symbols = 1 + 100 * F.col("n_symbols") / F.greatest(chars, F.lit(1))
     return counted.withColumns({
-        "x0": _unit(F.log1p(words)), "x1": _unit(length), "x2": _unit(F.log2(symbols)),
+        **{g: F.col("row")[k] for g, k in zip(_GROUP, keys)}, "x0": _unit(F.log1p(words)), "x1": _unit(length), "x2": _unit(F.log2(symbols)),
     })
 
 
-_X = ("x0", "x1", "x2")
+_X, _GROUP = ("x0", "x1", "x2"), ("g0", "g1")
 _PAIRS = tuple((i, j) for i in range(3) for j in range(i, 3))
 
 
-def _joined(points: DataFrame, parameters: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
+def _joined(points: DataFrame, parameters: DataFrame, how: str) -> DataFrame:
     """Rows beside the parameters of their group; null keys meet null keys."""
-    right = parameters.select(
-        *[F.col(f"`{k}`").alias(f"_g{i}") for i, k in enumerate(keys)],
-        *[c for c in parameters.columns if c not in keys],
-    )
-    same = [points[f"`{k}`"].eqNullSafe(right[f"_g{i}"]) for i, k in enumerate(keys)]
-    return points.join(right, same, how).drop(*[f"_g{i}" for i in range(len(keys))])
+    right = parameters.withColumnsRenamed({g: f"of_{g}" for g in _GROUP})
+    same = [points[g].eqNullSafe(right[f"of_{g}"]) for g in _GROUP]
+    return points.join(right, same, how).drop(*[f"of_{g}" for g in _GROUP])
 
 
 def _distance() -> Column:
@@ -166,17 +163,16 @@ def _inverse(cov: dict[tuple[int, int], Column]) -> dict[str, Column]:
     return {f"v{i}{j}": cofactor(i, j) / det for i, j in _PAIRS}
 
 
-def _estimate(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def _estimate(points: DataFrame) -> DataFrame:
     """Centre and inverse covariance per group, from exact integer sums."""
-    names = [F.col(f"`{k}`") for k in keys]
     exact = lambda c: F.sum(c.cast("decimal(20,0)")).cast("double")
-    sums = points.groupBy(*names).agg(
+    sums = points.groupBy(*_GROUP).agg(
         F.count(F.lit(1)).alias("n"),
         *[exact(F.col(x)).alias(f"s{i}") for i, x in enumerate(_X)],
         *[exact(F.col(_X[i]) * F.col(_X[j])).alias(f"s{i}{j}") for i, j in _PAIRS],
     )
     means = sums.select(
-        *names, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(3)],
+        *_GROUP, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(3)],
         *[(F.col(f"s{i}{j}") / F.col("n")).alias(f"q{i}{j}") for i, j in _PAIRS],
     )
     cov = {
@@ -184,61 +180,60 @@ def _estimate(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         for i, j in _PAIRS
     }
     return means.select(
-        *names, "m0", "m1", "m2", *[v.alias(k) for k, v in _inverse(cov).items()]
+        *_GROUP, "m0", "m1", "m2", *[v.alias(k) for k, v in _inverse(cov).items()]
     )
 
 
-def _start(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def _start(points: DataFrame) -> DataFrame:
     """Medians and median deviations, as the first centre and (diagonal) covariance."""
-    names = [F.col(f"`{k}`") for k in keys]
-    centres = points.groupBy(*names).agg(
+    centres = points.groupBy(*_GROUP).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.percentile(F.col(x), 0.5).alias(f"m{i}") for i, x in enumerate(_X)],
     ).where(F.col("n") >= MIN_GROUP)
-    spread = _joined(points, centres, keys, "inner").groupBy(*names, "m0", "m1", "m2").agg(
+    spread = _joined(points, centres, "inner").groupBy(*_GROUP, "m0", "m1", "m2").agg(
         *[F.percentile(F.floor(F.abs(F.col(x) - F.col(f"m{i}"))), 0.5).alias(f"d{i}") for i, x in enumerate(_X)]
     )
     scale = [F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOORS[i])) for i in range(3)]
     return spread.select(
-        *names, "m0", "m1", "m2",
+        *_GROUP, "m0", "m1", "m2",
         *[(1 / (scale[i] * scale[i]) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in _PAIRS],
     )
 
 
-def _at_share(points: DataFrame, keys: tuple[str, ...], share: float) -> DataFrame:
+def _at_share(points: DataFrame, share: float) -> DataFrame:
     """The distance class below which ``share`` of each group lies."""
-    return points.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
+    return points.groupBy(*_GROUP).agg(
         F.ceil(F.percentile(F.col("class"), share)).alias("limit")
     )
 
 
-def estimates(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def estimates(points: DataFrame) -> DataFrame:
     """Per group of enough rows: centre, inverse covariance and scale of the distances.
 
     ``points`` should be a written table, as it is read twice in each of ``STEPS`` steps.
     """
-    fitted = keep(_start(points, keys), "mcd")
+    fitted = keep(_start(points), "mcd")
     for _ in range(STEPS):
-        classed = _joined(points, fitted, keys, "inner").withColumn("class", _class(_distance()))
-        limits = keep(_at_share(classed, keys, CENTRAL), "mcd")
-        central = _joined(classed, limits, keys, "inner").where(F.col("class") <= F.col("limit"))
-        fitted = keep(_estimate(central, keys), "mcd")
-    classed = _joined(points, fitted, keys, "inner").withColumn("class", _class(_distance()))
-    middle = _at_share(classed, keys, 0.5)
+        classed = _joined(points, fitted, "inner").withColumn("class", _class(_distance()))
+        limits = keep(_at_share(classed, CENTRAL), "mcd")
+        central = _joined(classed, limits, "inner").where(F.col("class") <= F.col("limit"))
+        fitted = keep(_estimate(central), "mcd")
+    classed = _joined(points, fitted, "inner").withColumn("class", _class(_distance()))
+    middle = _at_share(classed, 0.5)
     median = F.pow(F.lit(2.0), F.col("limit") / _CLASSES_PER_OCTAVE) - 1
     return keep(
-        _joined(fitted, middle, keys, "inner").withColumn(
+        _joined(fitted, middle, "inner").withColumn(
             "scale", F.least(F.lit(1.0), CHI2_MEDIAN / F.greatest(median, F.lit(CHI2_MEDIAN)))
         ).drop("limit"),
         "mcd",
     )
 
 
-def judge(counted: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """``counted`` (a written table of ``with_points``) with ``distance`` and ``kept``."""
-    passed = counted.where(~F.col("base_failed")).select(*[F.col(f"`{k}`") for k in keys], *_X)
-    fitted = estimates(passed, keys)
-    measured = _joined(counted, fitted, keys, "left").withColumn("distance", _distance() * F.col("scale"))
+def judge(counted: DataFrame) -> DataFrame:
+    """A written table of ``with_points`` as ``row``, counts, ``base_failed``, ``distance``
+    and ``kept``."""
+    passed = counted.where(~F.col("base_failed")).select(*_GROUP, *_X)
+    fitted = estimates(passed)
+    measured = _joined(counted, fitted, "left").withColumn("distance", _distance() * F.col("scale"))
     verdict = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
-    extra = [c for c in fitted.columns if c not in keys]
-    return measured.withColumn("kept", verdict).drop(*extra, *_X)
+    return measured.withColumn("kept", verdict).select("row", *COUNTS, "base_failed", "distance", "kept")

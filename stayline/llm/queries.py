@@ -42,29 +42,30 @@ def domain() -> Column:
     )
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    return mixing.mixed(docs, domain(), WEIGHTS, SHARE, EPOCHS, SEED)
+def mix(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    return mixing.mixed(docs, domain(), WEIGHTS, SHARE, EPOCHS, SEED, carry=carry)
 
 
 @query
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mix(docs).select("doc_id", domain().alias("domain"), "lang", "source", "copies")
+    return mix(docs, ["doc_id", "lang", "source"]).select("row.*", "domain", "copies")
 
 
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = quality_rules.with_statistics(table(spark, sf_dir, "documents"))
-    points = keep(quality_rules.with_points(counted.drop("text")), "statistics")
+    docs = table(spark, sf_dir, "documents")
+    counted = quality_rules.with_statistics(docs, carry=["doc_id", "lang", "source"])
+    points = keep(quality_rules.with_points(counted), "statistics")
     return quality_rules.judge(points).select(
-        "doc_id", *quality_rules.COUNTS, "base_failed", "kept"
+        "row.doc_id", *quality_rules.COUNTS, "base_failed", "kept"
     )
 
 
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(docs).select("row.doc_id", "fingerprint", "component_id")
 
 
 @query
@@ -112,7 +113,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.without_repeats(docs).select(
-        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+        "row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
 
 
@@ -121,23 +122,23 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     trusted = kneser_ney.trusted_ids(table(spark, sf_dir, "labels"))
     scored = keep(kneser_ney.perplexities(docs, trusted), "scored")
-    return kneser_ney.judged(scored, trusted)
+    return kneser_ney.judged(scored, trusted).select("row.*", "n_tokens", "log10_prob", "perplexity", "threshold", "kept")
 
 
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     own = tokenizer()
-    ids = bpe.encoded(docs, own).select("doc_id", "ids")
+    ids = bpe.encoded(docs, own, carry=["doc_id"]).select("row.doc_id", "ids")
     return packing.packed(ids, vocabulary=len(own.tokens), pad=len(own.tokens) - 1)
 
 
 @query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = bpe.there_and_back(docs, tokenizer())
+    done = bpe.there_and_back(docs, tokenizer(), carry=["doc_id"])
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
     return done.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

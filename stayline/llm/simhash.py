@@ -16,8 +16,8 @@ the remaining 24 bits are linked to the least of them. Nothing is capped.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any
 other; repeated rows give repeated results; a null id counts as no id, so it is never a
-component's id unless all ids of the component are null. Other columns are kept. An empty
-table gives an empty result.
+component's id unless all ids of the component are null. An empty table gives an empty
+result. Input columns are carried in ``row``.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stayline.llm.common import free_name, keep
+from stayline.llm.common import as_row, keep
 from stayline.llm.components import component_roots
 
 SEED, SHINGLE, MAX_BITS, BYTES = 42, 3, 3, 8
@@ -59,12 +59,9 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """``docs`` without ``text`` and with the fingerprint as a signed long."""
-    others = [c for c in docs.columns if c != text]
-    given = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{text}`").cast("binary").alias("t")
-    )
+def with_fingerprint(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``row`` (see ``as_row``) and ``f``, the fingerprint as a signed long."""
+    given = docs.select(as_row(docs, carry), F.col(f"`{text}`").cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,8 +69,7 @@ def with_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64))], ["row", "f"])
 
     schema = given.drop("t").schema.add("f", "long")
-    out = given.mapInArrow(run, schema)
-    return out.select("row.*", F.col("f").alias(name))
+    return given.mapInArrow(run, schema)
 
 
 def _posting(f: Column, positions: tuple[int, ...]) -> Column:
@@ -190,23 +186,20 @@ def links_between(fingerprints: DataFrame, long_list: int = LONG_LIST, longest_l
     return links if longest.isEmpty() else links.union(_masked_links(longest))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without ``text``, with ``fingerprint`` (16 hex digits) and ``component_id``,
-    the least id that links reach."""
-    f = free_name(docs, "f")
-    rows = keep(with_fingerprint(docs.drop("fingerprint", "component_id"), text, f), "fingerprints")
-    nodes = keep(
-        rows.groupBy(F.col(f).alias("f")).agg(F.min(f"`{doc_id}`").alias("least")), "nodes"
-    )
+def near_duplicates(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None
+) -> DataFrame:
+    """``row`` (the columns ``carry``, default all but ``text``), ``fingerprint`` (16 hex
+    digits) and ``component_id``, the least id that links reach."""
+    carry = [c for c in docs.columns if c != text] if carry is None else carry
+    rows = keep(with_fingerprint(docs, text, carry), "fingerprints")
+    nodes = keep(rows.groupBy("f").agg(F.min(F.col("row")[doc_id]).alias("least")), "nodes")
     roots = keep(component_roots(links_between(nodes.select("f"))), "roots")
     with_root = nodes.join(roots, F.col("f") == F.col("node"), "left").select(
         "f", F.coalesce("root", "f").alias("root"), "least")
     ids = keep(with_root.groupBy("root").agg(F.min("least").alias("component_id")).select(
         F.col("root").alias("r"), "component_id"), "ids")
     named = keep(with_root.join(ids, F.col("root") == F.col("r")).select(
-        F.col("f").alias("_node"), "component_id"), "named")
-    out = rows.join(named, F.col(f) == F.col("_node"))
-    return out.select(
-        *[F.col(f"`{c}`") for c in rows.columns if c != f],
-        F.lower(F.lpad(F.hex(f), 16, "0")).alias("fingerprint"), "component_id",
-    )
+        F.col("f").alias("node"), "component_id"), "named")
+    hexed = F.lower(F.lpad(F.hex("f"), 16, "0"))
+    return rows.join(named, F.col("f") == F.col("node")).select("row", hexed.alias("fingerprint"), "component_id")

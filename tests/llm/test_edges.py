@@ -1,0 +1,366 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+import corpus_pipeline
+from stayline.llm import (
+    balltree, bpe, brown, chat, components, kneser_ney, mixing, packing, quality_rules, queries, simhash, substrings,
+)
+from stayline.llm.common import keep
+
+_random = random.Random(5)
+VOCABULARY = [f"w{i}" for i in range(400)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCABULARY) for _ in range(n))
+
+
+LONG = " ".join(f"x{i % 7919}y{i}" for i in range(60_000))
+PASSAGE = prose(60, 99)
+TEXTS = [
+    (1, prose(80, 1)), (2, prose(80, 1)), (2, prose(80, 1)), (None, prose(80, 1)), (None, prose(80, 1)),
+    (3, None), (4, ""), (5, " \t\n\x0b\x0c\r "), (6, "one"), (7, "one two"), (8, "ONE TWO"),
+    (9, LONG), (10, f"{prose(30, 2)} {PASSAGE} tail"), (11, f"{prose(40, 3)}\n{PASSAGE}\n"), (None, f"{PASSAGE} {prose(20, 4)}"),
+    (12, "a b c d e " * 30), (13, "line of words\nline of words\n\nother # line $"), (14, "café   no break \U0001f600  x"),
+    (-5, prose(200, 6)), (15, prose(199, 6) + " changed"), (16, "İstanbul ΣΣ <|endoftext|> it's"), (None, None),
+]
+NAMES = ["row", "unit", "id", "f", "g", "kept", "n_words", "copies", "ids", "class", "fingerprint", "copy", "domain",
+         "rid", "x0", "t", "key", "weight", "part", "_id", "block", "level", "cut", "distance", "row_number", "text2"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [
+        (i, t, [None, "en", "de"][k % 3], [None, "src1", "src2"][k % 2 + (k % 5 == 0)], *[f"{n}{k}" for n in NAMES])
+        for k, (i, t) in enumerate(TEXTS)
+    ]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in NAMES)
+    return spark.createDataFrame(rows, schema)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def by(rows):
+    return sorted(rows, key=repr)
+
+
+def carried(df, docs):
+    """The given rows come back whole under their own names."""
+    back = df.select("row.*")
+    wanted = [c for c in docs.columns if c in back.columns]
+    assert by(map(tuple, back.select(*[f"`{c}`" for c in wanted]).collect())) == by(
+        map(tuple, docs.select(*[f"`{c}`" for c in wanted]).collect()))
+    assert len(wanted) >= len(docs.columns) - 1
+
+
+def test_simhash(spark, docs, none):
+    got = simhash.near_duplicates(docs)
+    carried(got, docs)
+    rows = got.select("row.doc_id", "fingerprint", "component_id").collect()
+    assert by(map(tuple, rows)) == by(brute.components(TEXTS))
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_long_posting_lists_give_the_same_components(spark):
+    centre, prints = 0x0123456789ABCDEF, {0}
+    for _ in range(500):
+        prints.add(centre ^ sum(1 << b for b in _random.sample(range(64), _random.randint(0, 5))))
+    rows = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "f long")
+    listed = sorted(prints)
+    expected = {a: {a} for a in listed}
+    for i, a in enumerate(listed):
+        for b in listed[:i]:
+            if (a ^ b).bit_count() <= 3 and expected[a] is not expected[b]:
+                both = expected[a] | expected[b]
+                for x in both:
+                    expected[x] = both
+    wanted = {frozenset(g) for g in expected.values() if len(g) > 1}
+    for long, longest in ((1024, 8192), (20, 8192), (20, 10)):
+        roots = components.component_roots(keep(simhash.links_between(rows, long, longest), "links")).collect()
+        groups = {}
+        for r in roots:
+            groups.setdefault(r.root, set()).add(r.node & (1 << 64) - 1)
+        assert {frozenset(g) for g in groups.values()} == wanted
+
+
+def test_components_of_a_chain_and_of_nothing(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (70, 71)], "a long, b long")
+    roots = {r.node: r.root for r in components.component_roots(chain).collect()}
+    assert roots == {**{i: 0 for i in range(61)}, 70: 70, 71: 70}
+    assert components.component_roots(chain.limit(0)).count() == 0
+
+
+def test_substrings(spark, docs, none):
+    got = substrings.without_repeats(docs)
+    carried(got, docs)
+    rows = got.select("row.doc_id", "n_words", "n_removed", "kept").collect()
+    assert by(map(tuple, rows)) == by(brute.without_repeats(TEXTS))
+    assert substrings.without_repeats(none).count() == 0
+
+
+def test_substrings_over_many_units_and_blocks(spark, docs, monkeypatch):
+    """A crowded sketch overestimates more, which changes no result."""
+    monkeypatch.setattr(substrings, "UNIT_BYTES", 4096)
+    monkeypatch.setattr(substrings, "BLOCK_WINDOWS", 512)
+    monkeypatch.setattr(substrings, "CELLS", 1 << 10)
+    rows = substrings.without_repeats(docs).select("row.doc_id", "n_words", "n_removed", "kept").collect()
+    assert by(map(tuple, rows)) == by(brute.without_repeats(TEXTS))
+
+
+def test_quality_rules(spark, docs, none):
+    def judged(df):
+        return quality_rules.judge(keep(quality_rules.with_points(quality_rules.with_statistics(df)), "points"))
+
+    got = judged(docs)
+    carried(got, docs)
+    rows = got.select("row.text", *quality_rules.COUNTS, "base_failed", "kept").collect()
+    for r in rows:
+        assert tuple(r)[1:6] == brute.counts(r.text)
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+        assert r.kept == (not r.base_failed)  # groups this small are judged by the base rule
+    assert judged(none).count() == 0
+
+
+def test_outliers_go_and_equal_rows_stay(spark):
+    """A group of ordinary texts with a few strange ones, and a group of one repeated row."""
+    plain = [(i, prose(50 + i % 90, i), "en", "a") for i in range(120)]
+    strange = [(200 + i, prose(60, i).replace(" ", " ### $$$ "), "en", "a") for i in range(6)]
+    equal = [(300, prose(50, 7), None, "b")] * 40
+    rows = spark.createDataFrame(plain + strange + equal, "doc_id long, text string, lang string, source string")
+    points = keep(quality_rules.with_points(quality_rules.with_statistics(rows)), "points")
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(points).select("row.doc_id", "kept").collect()}
+    assert {i for i, k in kept.items() if not k} == {i for i, *_ in strange}
+
+
+def test_mixing(spark, docs, none):
+    weights = {"domain": {}, "lang": {"en": 3}, "source": {"src1": 2}}
+    for share, epochs in (((1, 2), 2), ((3, 1), 2), ((0, 1), 1), ((9, 10), 1)):
+        domain = F.when(F.col("source").isNull(), F.lit("x")).otherwise(F.lit("y"))
+        got = mixing.mixed(docs, domain, weights, share, epochs, seed=3)
+        given = docs.collect()
+        rows = [(r.doc_id, r.text, r.lang, r.source) for r in given]
+        taken = brute.copies(rows, weights, lambda s: "x" if s is None else "y", share, epochs, 3)
+        expected = [(r.row, n) for r, n in zip(given, taken) if n]
+        assert by((r.row, r.copies) for r in got.select("row.row", "copies").collect()) == by(expected)
+    assert mixing.mixed(none, F.lit("x"), weights, (1, 2), 2, 3).count() == 0
+
+
+def test_shortage_goes_to_siblings_before_ancestors(spark):
+    leaves = spark.createDataFrame([
+        ("a", "en", "s1", 10), ("a", "en", "s2", 1000), ("a", "de", "s3", 1000), ("b", "en", "s4", 5), ("b", "de", "s5", 0),
+    ], "domain string, lang string, source string, tokens long")
+    given = {r.source: r.given for r in mixing.budgets(leaves, {"domain": {"b": 3}}, 1, (1, 5)).collect()}
+    # 403 tokens: b can take 5 of its three quarters, so a has 398, 199 for each language,
+    # and what s1 lacks stays in its language.
+    assert given == {"s1": 10, "s2": 189, "s3": 199, "s4": 5, "s5": 0}
+
+
+def test_bpe(spark, docs, none):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    library, own = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER)), queries.tokenizer()
+    got = bpe.there_and_back(docs, own)
+    carried(got, docs)
+    for r in got.select("row.text", "ids", "decoded").collect():
+        assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids
+        assert r.decoded == library.decode(r.ids, skip_special_tokens=False)
+    back = bpe.decoded(bpe.encoded(docs, own).select("ids"), own)
+    assert by(r.decoded for r in back.collect()) == by(r.decoded for r in got.collect())
+    assert bpe.there_and_back(none, own).count() == 0
+    assert own.decode([-1, 10**6, 0]) == own.decode([0])
+
+
+def test_bpe_fragments_and_long_words():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    library, own = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER)), queries.tokenizer()
+    words = ["".join(_random.choice("theanü漢!#Ж") for _ in range(_random.randint(1, 200))) for _ in range(300)]
+    cut = 0
+    for w in words + ["ab" * 5000, "!" * 999]:
+        assert own.encode(w) == library.encode(w, add_special_tokens=False).ids
+        parts = own.fragments(w.encode())
+        assert b"".join(p for p, _ in parts) == w.encode()
+        cut += len(parts) > 1
+    assert cut
+
+
+def test_packing(spark, none):
+    rows = [(1, list(range(25))), (None, [7] * 9), (2, []), (3, None), (4, [1]), (4, [1]), (5, [2] * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    packed = keep(packing.packed(docs, 100, pad=99, length=10, held_tokens=40), "packed")
+    found = by((r.doc_id, r.start, r.ids) for r in packing.unpacked(packed, 100).collect())
+    expected = [(1, 0, list(range(10))), (1, 10, list(range(10, 20))), (1, 20, list(range(20, 25))), (None, 0, [7] * 9),
+                (4, 0, [1]), (4, 0, [1]), (5, 0, [2] * 10)]
+    assert found == by(expected)
+    assert packing.packed(docs.limit(0), 100, 99).count() == 0
+
+
+def test_best_fit_equals_a_plain_search():
+    for _ in range(200):
+        length = _random.randint(1, 40)
+        sizes = [_random.randint(1, length) for _ in range(_random.randint(0, 60))]
+        rows, left = packing.best_fit(sizes, length), []
+        for size in sorted(sizes, reverse=True):
+            fits = [r for r in left if r >= size]
+            if fits:
+                left.remove(min(fits))
+                left.append(min(fits) - size)
+            else:
+                left.append(length - size)
+        assert sorted(length - sum(sizes[i] for i in r) for r in rows) == sorted(left)
+        assert sorted(i for r in rows for i in r) == list(range(len(sizes)))
+
+
+def test_brown(spark, docs, none):
+    rows = brown.scores(docs).collect()
+    expected = brute.unigrams(TEXTS)
+    key = lambda r: (repr(r[0]), *map(float, r[1:4]), round(r[5], 6))
+    assert sorted(map(key, rows)) == sorted(map(key, expected))
+    assert all(r.train_tokens == expected[0][4] and math.isfinite(r.score) and r.score <= 0 for r in rows)
+    assert brown.scores(none).count() == 0
+
+
+def test_exchange_finds_planted_classes():
+    """Words of two kinds that only follow the other kind."""
+    counts = np.zeros((22, 22))
+    for i in range(20):
+        for j in range(20):
+            counts[i, j] = 5 * (i % 2 != j % 2)
+    of = brown.exchange(counts, 2, classes=2, sweeps=20)
+    assert len({of[i] for i in range(0, 20, 2)}) == 1 and len(set(of)) == 2
+
+
+def test_transitions_are_probabilities():
+    counts = np.array([[_random.randint(0, 3) for _ in range(27)]]).reshape(3, 3, 3)
+    counts[1] = 0
+    p = brown.transitions(counts)
+    assert np.allclose(p.sum(axis=-1), 1) and (p > 0).all()
+
+
+def test_kneser_ney(spark, docs, none):
+    trusted = spark.createDataFrame([(i, 1, 0) for i in (1, 2, 10, 11, 99)] + [(12, 1, 1), (13, 0, 0), (None, 1, 0), (14, None, None)],
+                                    "doc_id long, quality int, toxic int")
+    trusted = kneser_ney.trusted_ids(trusted)
+    got = kneser_ney.perplexities(docs, trusted)
+    carried(got, docs)
+    for r in got.select("row.text", "n_tokens", "perplexity", "log10_prob").collect():
+        assert r.n_tokens == len(brute.words(r.text)) + 1 and r.log10_prob < 0 and math.isfinite(r.perplexity)
+    judged = kneser_ney.judged(keep(got, "scored"), trusted).collect()
+    assert len(judged) == len(TEXTS) and all(r.kept is not None for r in judged)
+    empty = kneser_ney.perplexities(none, trusted)
+    assert kneser_ney.judged(keep(empty, "scored"), trusted).count() == 0
+    untrained = kneser_ney.judged(keep(kneser_ney.perplexities(docs, trusted.limit(0)), "scored"), trusted.limit(0))
+    assert untrained.where("kept").count() == len(TEXTS)
+
+
+def test_kneser_ney_weights_are_probabilities(spark):
+    """By hand: P(w) of all words, and P(w | v) of those seen after v with the rest."""
+    rows = spark.createDataFrame([("a b a c a b",), ("b a b",), ("c a",)], "text string")
+    table, unknown, begin = kneser_ney.weights(rows.select(F.col("text").cast("binary").alias("text")))
+    assert table.where("order = 1").count() == 4  # a, b, c and the end
+    assert unknown < 0 and begin <= 0
+    texts = spark.createDataFrame([(t,) for t in ("", "a", "b", "c", "zz")], "text string").withColumn("doc_id", F.lit(None).cast("long"))
+    trained = spark.createDataFrame([(1, "a b a c a b"), (2, "b a b"), (3, "c a")], "doc_id long, text string")
+    both = trained.union(texts.select("doc_id", "text"))
+    got = kneser_ney.perplexities(both, trained.select("doc_id"), carry=["doc_id", "text"])
+    p = {r.text: 10 ** r.log10_prob for r in got.where("row.doc_id is null").select("row.text", "log10_prob").collect()}
+    assert 0 < sum(p.values()) < 1  # five of all possible texts
+    assert p["zz"] < min(p["a"], p["b"], p["c"])
+
+
+def test_chat(spark):
+    rows = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 1, "assistant", "yo"), (1, None, "system", None),
+        (None, 0, None, "x"), (None, 1, "assistant", ""), (2, 5, "tool", "</s>\\"),
+    ]
+    frame = spark.createDataFrame([(*r, "z", "z") for r in rows], "conv_id long, turn long, role string, text string, part string, spans string")
+    got = {r.conv_id: r for r in chat.digests(chat.formatted(frame)).collect()}
+    assert {k: (r.n_turns, r.loss_chars) for k, r in got.items()} == {1: (4, 4), None: (2, 0), 2: (1, 0)}
+    assert got[1].turns_sha256 == brute.sha("system\n\nuser\nhi\nassistant\nyo\nassistant\nyo\n")
+    assert got[2].turns_sha256 == brute.sha("tool\n</s>\\\n")
+    assert chat.digests(chat.formatted(frame.limit(0))).count() == 0
+
+
+def test_one_conversation_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART_TURNS", 7)
+    rows = spark.range(0, 5000, 1, 8).select(
+        F.lit(3).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    parts = keep(chat.formatted(rows), "parts")
+    assert parts.count() > 5000 // 7
+    (got,) = chat.digests(parts).collect()
+    turns = "".join(f"{'assistant' if i % 2 else 'user'}\nt{i}\n" for i in range(5000))
+    assert (got.n_turns, got.turns_sha256) == (5000, brute.sha(turns))
+    assert got.loss_sha256 == brute.sha("".join(f"t{i}" for i in range(1, 5000, 2)))
+
+
+def test_top_k(spark):
+    r = random.Random(1)
+    rows = [(i, [float(r.randint(-3, 3)) / 256 for _ in range(4)]) for i in range(300)]
+    rows += [(300 + i, [0.01, 0.01, 0.01, 0.01]) for i in range(80)]  # ties
+    rows += [(500, None), (501, [1.0, None, 1.0, 1.0]), (502, [1.0, float("nan"), 1.0, 1.0]), (503, [float("inf"), 1.0, 1.0, 1.0]),
+             (None, [9.0, 9.0, 9.0, 9.0]), (504, [5.0]), (550, [6.0]), (7, [0.5, 0.5, 0.5, 0.5])]
+    frame = spark.createDataFrame([(*x, "z") for x in rows], "vec_id long, embedding array<double>, rank string")
+    usable = {}
+    for i, v in rows:
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
+            whole = [math.floor(256 * x) for x in v]
+            usable[i] = min(usable.get(i, whole), whole)
+    expected = []
+    for q in (i for i in usable if i % 50 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(usable[q], v)), i) for i, v in usable.items() if i != q and len(v) == len(usable[q]))
+        expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
+    whole = balltree.whole_vectors(frame, "vec_id", "embedding")
+    got = balltree.top_k(whole, F.col("vec_id") % 50 == 0).collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+    assert balltree.top_k(balltree.whole_vectors(frame.limit(0), "vec_id", "embedding"), F.lit(True)).count() == 0
+
+
+def test_trees_prune_and_stay_exact(monkeypatch):
+    r = np.random.default_rng(2)
+    vectors = np.floor(r.normal(size=(1000, 6)) * 50)
+    tree = balltree.build(np.arange(1000), vectors, leaf=16)
+    queries_ = vectors[:40]
+    found, scores, hit = balltree.search(tree, np.arange(40), queries_, 5, np.full(40, -np.inf))
+    products = queries_ @ vectors.T
+    products[np.arange(40), np.arange(40)] = -np.inf
+    best = np.lexsort((np.broadcast_to(np.arange(1000), products.shape), -products), axis=1)[:, :5]
+    assert (found == best).all() and hit.all()
+    huge = np.floor(vectors[:50] * 2.0**40)
+    found, scores, _ = balltree.search(balltree.build(np.arange(50), huge, 8), np.arange(50), huge, 3, np.full(50, -np.inf))
+    exact = [[sum(int(a) * int(b) for a, b in zip(x, y)) for y in huge] for x in huge]
+    for q in range(50):
+        order = sorted((i for i in range(50) if i != q), key=lambda i: (-exact[q][i], i))[:3]
+        assert found[q].tolist() == order and [int(s) for s in scores[q]] == [exact[q][i] for i in order]
+
+
+def test_pipeline_stages(spark, docs, none, tmp_path):
+    """Every stage takes such tables and hands on the columns it got."""
+    for df in (docs, none):
+        now = df
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            now = keep(stage(spark, now, ""), "stage")
+            if k < 4:
+                assert now.columns == docs.columns
+        assert now.columns[:len(docs.columns)] == docs.columns and len(now.columns) == len(docs.columns) + 1
+
+
+def test_one_of_each_group_stays(spark, docs):
+    stayed = corpus_pipeline.near_copies(spark, docs, "").select("doc_id", "text").collect()
+    rows = brute.components(TEXTS)
+    groups = {(c, f if c is None else None) for _, f, c in rows}
+    assert len(stayed) == len(groups)
+    assert {r.doc_id for r in stayed if r.doc_id is not None} == {c for c, _ in groups if c is not None}
