@@ -15,46 +15,43 @@ from stayline.llm.common import free_name, keep, numbered
 ORACLE_SQL = None
 
 
-def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in like.columns])
-
-
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     points = keep(quality_rules.with_points(quality_rules.with_statistics(docs)), "statistics")
-    return _columns(quality_rules.judge(points).where("kept"), docs)
+    return quality_rules.judge(points).where("kept").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the least id stays (of rows with one id,
-    one); rows without an id stay if their group has no id at all, and then one of them."""
-    row = free_name(docs, "row_number")
-    rows = keep(numbered(docs, row), "rows")
-    named = keep(simhash.near_duplicates(rows.select("doc_id", "text", row)), "named")
-    # The fingerprint names groups without any id.
-    group = named.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("g"))
-    first = group.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"))
-    chosen = first.select(F.col(f"first.{row}").alias("chosen"))
-    return _columns(rows.join(chosen, F.col(row) == F.col("chosen"), "left_semi"), docs)
+    one). A group without any id is one of equal fingerprints, and one row of it stays."""
+    number = free_name(docs, "row_number")
+    rows = keep(numbered(docs, number), "rows")
+    named = keep(simhash.near_duplicates(rows, carry=["doc_id", number]), "named")
+    alone = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
+    place = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.col("row")[number].alias("chosen"))
+    first = named.groupBy("component_id", alone.alias("alone")).agg(F.min(place).alias("first"))
+    chosen = first.select(F.col("first.chosen").alias("chosen"))
+    return rows.join(chosen, F.col(f"`{number}`") == F.col("chosen"), "left_semi").drop(number)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go from texts; texts without any stay as they are."""
-    given = free_name(docs, "given_text")
-    done = substrings.without_repeats(docs.withColumn(given, F.col("text")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(given))
-    return _columns(done.withColumn("text", text), docs)
+    done = substrings.without_repeats(docs, carry=docs.columns)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
+    columns = [text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
+    return done.select(*columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by target weights; one that two epochs select comes twice."""
     taken = queries.mix(docs)
-    return _columns(taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their whole texts."""
-    return bpe.encoded(docs, queries.tokenizer())
+    done = bpe.encoded(docs, queries.tokenizer())
+    return done.select("row.*", F.col("ids").alias(free_name(docs, "ids")))
 
 
 STAGES = [
