@@ -254,7 +254,7 @@ def test_kneser_ney(spark, docs, none):
     trusted = spark.createDataFrame([(i, 1, 0) for i in (1, 2, 10, 11, 99)] + [(12, 1, 1), (13, 0, 0), (None, 1, 0), (14, None, None)],
                                     "doc_id long, quality int, toxic int")
     trusted = kneser_ney.trusted_ids(trusted)
-    got = kneser_ney.perplexities(docs, trusted)
+    got = kneser_ney.perplexities(docs, trusted, carry=docs.columns)
     carried(got, docs)
     for r in got.select("row.text", "n_tokens", "perplexity", "log10_prob").collect():
         assert r.n_tokens == len(brute.words(r.text)) + 1 and r.log10_prob < 0 and math.isfinite(r.perplexity)
