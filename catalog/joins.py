@@ -18,10 +18,9 @@ _NAMES = ", ".join(f"'{n}'" for n in OPENING_LEVELS)
 @check("j1_attach_to_users", """
 SELECT id, levels_completed, total_play_time FROM us
 LEFT JOIN (SELECT user_id, CAST(sum(playtime) AS BIGINT) AS total_play_time
-           FROM lv WHERE level = 'level-13-1' GROUP BY user_id) ON user_id = id""")
+           FROM lv GROUP BY user_id) ON user_id = id""")
 def j1(t: Tables) -> DataFrame:
-    some = clean.named_levels(t.levels, ["level-13-1"])
-    return lookup.attach(t.users.select("id", "levels_completed"), lookup.play_time(some))
+    return lookup.attach(t.users.select("id", "levels_completed"), lookup.play_time(t.levels))
 
 
 @check("j2_event_num", "SELECT event_id, user_id, level, level_num FROM evn", staged=True)
@@ -98,15 +97,12 @@ def f8(t: Tables) -> DataFrame:
 
 @check("j7_inner_aggregates", f"""
 SELECT a.user_id, total_play_time, {us('last_done')} FROM
- (SELECT user_id, CAST(sum(playtime) AS BIGINT) AS total_play_time FROM lv WHERE practice GROUP BY user_id) a
- JOIN (SELECT user_id, max(date_completed) AS last_done FROM lv WHERE code_language = 'lua' GROUP BY user_id) b
+ (SELECT user_id, CAST(sum(playtime) AS BIGINT) AS total_play_time FROM lv GROUP BY user_id) a
+ JOIN (SELECT user_id, max(created) AS last_done FROM ev WHERE event_name = 'Saw Victory' GROUP BY user_id) b
  ON a.user_id = b.user_id""")
 def j7(t: Tables) -> DataFrame:
-    played = lookup.play_time(clean.flagged(t.levels, "practice"))
-    done = t.levels.where(F.col("code_language") == "lua").groupBy("user_id").agg(
-        F.max("date_completed").alias("last_done")
-    )
-    return played.join(done, "user_id")
+    wins = clean.named_events(t.events, ch.VICTORY).withColumnRenamed("created", "last_done")
+    return lookup.both(lookup.play_time(t.levels), lookup.last_of(wins, "last_done"))
 
 
 @check("a1_play_time", """
@@ -236,14 +232,14 @@ def a12(t: Tables) -> DataFrame:
     return lookup.opening_levels(t.levels, OPENING_LEVELS)
 
 
-_AUDITED = ("id", "levels_completed", "country", "age")
+_AUDITED = ("id", "date_joined", "levels_completed", "signed_up", "paid_subscription", "country", "age")
 
 
 @check("a13_null_audit", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, count({c}) AS filled, "
     f"CAST(count(*) > count({c}) AS INT) AS any_null FROM us" for c in _AUDITED))
 def a13(t: Tables) -> DataFrame:
-    return clean.null_audit(t.users.select(*_AUDITED))
+    return clean.null_audit(t.users)
 
 
 @check("a14_profile", " UNION ALL ".join(
@@ -252,16 +248,19 @@ def a13(t: Tables) -> DataFrame:
     + ", ".join(r6(f"quantile_cont({c}::DOUBLE, {q})", n)
                 for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)))
     + f", {r6(f'max({c})', 'max')} FROM {table}"
-    for c, table in (("playtime", "lv"), ("user_id", "lv"))))
+    for c, table in (("playtime", "lvn"), ("user_id", "lvn"), ("level_num", "lvn"), ("id", "us"),
+                     ("levels_completed", "us"))))
 def a14(t: Tables) -> DataFrame:
-    return fq.profile(t.levels, ["playtime", "user_id"])
+    """All numeric columns of the attempts and of the users."""
+    attempts = fq.profile(t.numbered, ["playtime", "user_id", "level_num"])
+    return attempts.unionByName(fq.profile(t.users, ["id", "levels_completed"]))
 
 
 @check("a14_shape", """
-SELECT count(*) AS n_rows, 3 AS n_columns, count(id) AS filled_id, count(country) AS filled_country,
-       count(age) AS filled_age FROM us""")
+SELECT count(*) AS n_rows, 7 AS n_columns, """ + ", ".join(f"count({c}) AS filled_{c}" for c in _AUDITED) + """
+FROM us""")
 def a14_shape(t: Tables) -> DataFrame:
-    return fq.table_shape(t.users.select("id", "country", "age"))
+    return fq.table_shape(t.users)
 
 
 @check("a15_histogram", f"""

@@ -85,24 +85,29 @@ def p10(t: Tables) -> DataFrame:
     return training.one_feature(first_data(t), NUMERIC[0])
 
 
+def _exact(f: str) -> str:
+    """A feature before rounding: measured ones from their table, flags from the matrix."""
+    return f"feat.{f.replace('_chunk_5', '')}::DOUBLE" if f in NUMERIC else f"CAST(dat.{f} AS INT)::DOUBLE"
+
+
 @check("m3_scaler_statistics", " UNION ALL ".join(
     f"SELECT '{f}' AS feature, {r6(f'avg({f})', 'mean')}, {r6(f'stddev_samp({f})', 'std')}, "
-    f"{r6(f'stddev_pop({f})', 'std_pop')} FROM exact" for f in NUMERIC), _DATA + f""",
+    f"{r6(f'stddev_pop({f})', 'std_pop')} FROM exact" for f in FIRST_FEATURES), _DATA + f""",
 exact AS (
-  SELECT {', '.join(f"feat.{f.replace('_chunk_5', '')} AS {f}" for f in NUMERIC)}
+  SELECT {', '.join(f"{_exact(f)} AS {f}" for f in FIRST_FEATURES)}
   FROM dat JOIN feat ON feat.user_id = dat.id AND feat.chunk = 5)""")
 def m3(t: Tables) -> DataFrame:
-    return training.scaler_statistics(first_data(t), NUMERIC)
+    return training.scaler_statistics(first_data(t), FIRST_FEATURES)
 
 
 @check("m4_scale_by_self", f"""
-SELECT user_id AS id, {', '.join(r6(f'(x_{i} - avg(x_{i}) OVER ()) / stddev_pop(x_{i}) OVER ()', f)
-                                 for i, f in enumerate(NUMERIC))}
-FROM (SELECT user_id, {', '.join(f"feat.{f.replace('_chunk_5', '')}::DOUBLE AS x_{i}"
-                                 for i, f in enumerate(NUMERIC))}
+SELECT user_id AS id, {', '.join(
+    r6(f'(x_{i} - avg(x_{i}) OVER ()) / CASE WHEN stddev_pop(x_{i}) OVER () = 0 THEN 1 ELSE stddev_pop(x_{i}) OVER () END', f)
+    for i, f in enumerate(FIRST_FEATURES))}
+FROM (SELECT feat.user_id, {', '.join(f"{_exact(f)} AS x_{i}" for i, f in enumerate(FIRST_FEATURES))}
       FROM dat JOIN feat ON feat.user_id = dat.id AND feat.chunk = 5)""", _DATA)
 def m4(t: Tables) -> DataFrame:
-    return training.scale_by_self(first_data(t).select("id", *NUMERIC), NUMERIC)
+    return training.scale_by_self(first_data(t).select("id", *FIRST_FEATURES), FIRST_FEATURES)
 
 
 @check("m5_class_weights", f"""

@@ -1,8 +1,8 @@
 """Command line jobs: features, train, score, whatif and reports.
 
-    spark-submit stayline/job.py features --data s3://logs/march --out s3://retention/march --split train
-    spark-submit stayline/job.py train    --out s3://retention/march --family forest
-    spark-submit stayline/job.py score    --out s3://retention/march --family forest --split test
+    spark-submit stayline/job.py features --data <data> --out <out> --split train
+    spark-submit stayline/job.py train    --out <out> --family forest
+    spark-submit stayline/job.py score    --out <out> --family forest --split test
 
 ``--data`` holds users.csv, levels.csv, events.csv (files or folders) and
 campaign_list.csv; ``--out`` receives ``matrices/``, ``models/`` and ``reports/``.

@@ -76,14 +76,11 @@ def assign_chunks(df: DataFrame, chunks: Sequence[Chunk], number: str = "level_n
 
 
 def chunk_spec(levels_numbered: DataFrame, chunks: Sequence[Chunk] = CHUNKS) -> DataFrame:
-    """Level attempts per chunk, beside the chunk's range."""
-    low = F.create_map(*[F.lit(x) for c in chunks for x in (c.upper, c.low)])
-    high = F.create_map(*[F.lit(x) for c in chunks for x in (c.upper, c.high)])
-    return (
-        assign_chunks(levels_numbered, chunks)
-        .groupBy("chunk").agg(F.count("*").alias("n_levels"))
-        .select("chunk", low[F.col("chunk")].alias("lo"), high[F.col("chunk")].alias("hi"), "n_levels")
-    )
+    """Level attempts per chunk, beside the chunk's range; chunks without attempts too."""
+    counts = assign_chunks(levels_numbered, chunks).groupBy("chunk").agg(F.count("*").alias("n_levels"))
+    ranges = levels_numbered.sparkSession.createDataFrame(
+        [(c.upper, c.low, c.high) for c in chunks], "chunk int, lo int, hi int")
+    return ranges.join(counts, "chunk", "left").select("chunk", "lo", "hi", F.coalesce("n_levels", F.lit(0)).alias("n_levels"))
 
 
 def chunk_bounds(

@@ -12,20 +12,22 @@ from stayline.functions import people
 from stayline.operators.skew import spread_join
 from stayline.sources.schema import INDEX_RESIDUE
 
-# Columns computed for exploration only; dropped before modelling.
-EXPLORATION_COLUMNS = (
-    "last_event_date", "avg_num_days_per_level", "last_action", "active_time_days",
-    "total_play_time", "last_level_was_practice", "last_level_name", "activity_gap_days",
-    "data_through", "last_level_was_completed", "daygap", "last_level_played",
-    "avg_play_time_per_level_s", "last_level_time_s",
+# Columns that the steps of a user profile add for exploration; none is modelled.
+PLAY_TIME = ("total_play_time",)
+LAST_EVENT = ("last_event_date", "last_action", "last_level_name")
+ACTIVE_DAYS = ("active_time_days",)
+ACTIVITY_GAP = ("data_through", "activity_gap_days")
+LAST_ATTEMPT = (
+    "last_level_played", "last_level_time_s", "last_level_was_practice", "last_level_was_completed",
 )
-# Draft models' list: identifiers, sparse answers, what gives the target away, never filled.
-DRAFT_DROPPED = (
-    "id", "date_joined", "age", "total_play_time", "last_event_date", "last_action",
-    "last_level_name", "active_time_days", "data_through", "activity_gap_days",
-    "last_level_played", "last_level_time_s", "daygap", "last_level_was_completed",
-    "last_level_started", "hints_clicked_first_six", "hints_used_first_six",
+RATES = ("avg_play_time_per_level_s", "daygap", "avg_num_days_per_level")
+EXPLORATION_COLUMNS = (*PLAY_TIME, *LAST_EVENT, *ACTIVE_DAYS, *ACTIVITY_GAP, *LAST_ATTEMPT, *RATES)
+# Exploration columns that the draft models keep, and what else they drop.
+DRAFT_KEPT = ("last_level_was_practice", "avg_play_time_per_level_s", "avg_num_days_per_level")
+DRAFT_ALSO_DROPPED = (
+    "id", "date_joined", "age", "last_level_started", "hints_clicked_first_six", "hints_used_first_six",
 )
+DRAFT_DROPPED = (*(c for c in EXPLORATION_COLUMNS if c not in DRAFT_KEPT), *DRAFT_ALSO_DROPPED)
 SURVEY_PREFIX = "survey_"
 TARGETS = ("levels_completed", "last_level_started", "last_campaign_started")
 DEMOGRAPHICS = ("english_speaking", *people.COUNTRY_DUMMIES, *people.AGE_DUMMIES)
@@ -91,7 +93,7 @@ def drop_present(df: DataFrame, *names: str) -> DataFrame:
 
 
 def drop_countries(df: DataFrame) -> DataFrame:
-    return df.drop(*(c for c in df.columns if c.startswith("country_")))
+    return df.drop(*people.COUNTRY_DUMMIES)
 
 
 def drop_ages(df: DataFrame) -> DataFrame:

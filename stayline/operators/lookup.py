@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stayline.operators import clean
 from stayline.operators.skew import spread_join
@@ -25,27 +25,30 @@ def latest(
 ) -> DataFrame:
     """The user's last row by ``created``: (user_id, created, columns).
 
-    ``ties="one"`` keeps the greatest tiebreak among equal times by a map-side
-    aggregate. ``ties="all"`` keeps every distinct row at the last time; the join back
-    runs on (user, time).
+    The last time per user is a map-side hash aggregate; the join back to the rows at
+    that time runs on (user, time), so only those few meet an ordering. ``ties="one"``
+    keeps the greatest tiebreak among them, and then the greatest returned columns;
+    ``ties="all"`` keeps every distinct one. Rows without a time are not the last.
     """
-    if ties == "one":
-        order = F.struct("created", *(tiebreak or columns))
-        row = F.max_by(F.struct("created", *columns), order)
-        return df.groupBy("user_id").agg(row.alias("_row")).select("user_id", "_row.*")
-    if ties != "all":
+    if ties not in ("one", "all"):
         raise ValueError("ties must be 'one' or 'all'")
     last = df.groupBy("user_id").agg(F.max("created").alias("created"))
-    return df.select("user_id", "created", *columns).join(last, ["user_id", "created"], "left_semi").distinct()
+    wanted = list(dict.fromkeys(["user_id", "created", *columns, *tiebreak]))
+    at_last = df.select(*wanted).join(last, ["user_id", "created"], "left_semi")
+    if ties == "all":
+        return at_last.select("user_id", "created", *columns).distinct()
+    row = F.max(F.struct(*dict.fromkeys(["created", *tiebreak, *columns]))).alias("_row")
+    return at_last.groupBy("user_id").agg(row).select("user_id", "_row.created", *[f"_row.{c}" for c in columns])
 
 
 def with_campaign(df: DataFrame, campaigns: DataFrame, level: str, name: str = "campaign",
                   default: str | None = OTHER_CAMPAIGN) -> DataFrame:
     """Add the campaign of a level; levels outside the list get the default.
 
-    The list joins without a hint: Spark broadcasts it when it is small enough.
+    A level listed under several campaigns counts for the first by name, so no row
+    doubles. The list joins without a hint: Spark broadcasts it when it is small enough.
     """
-    dim = campaigns.select(F.col("level").alias(level), F.col("campaign").alias(name))
+    dim = campaigns.groupBy(F.col("level").alias(level)).agg(F.min("campaign").alias(name))
     joined = df.join(dim, level, "left")
     if default is not None:
         joined = joined.withColumn(name, F.coalesce(name, F.lit(default)))
@@ -66,8 +69,28 @@ def play_time(levels: DataFrame) -> DataFrame:
     return levels.groupBy("user_id").agg(F.sum("playtime").alias("total_play_time"))
 
 
+def last_of(df: DataFrame, column: str) -> DataFrame:
+    """The greatest value of one column per user."""
+    return df.groupBy("user_id").agg(F.max(column).alias(column))
+
+
+def both(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Users in both per-user frames, with the columns of each."""
+    return first.join(second, "user_id")
+
+
 def column_maxima(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Independent maxima per user; they need not come from one row."""
+    """Independent maxima per user; they need not come from one row.
+
+    Texts are first reduced to the distinct ones per user, a hash aggregate as the other
+    maxima are; only those few are then compared.
+    """
+    texts = [c for c in columns if df.schema[c].dataType == T.StringType()]
+    others = [c for c in columns if c not in texts]
+    if texts and others:
+        df = df.groupBy("user_id", *texts).agg(*[F.max(c).alias(c) for c in others])
+    elif texts:
+        df = df.select("user_id", *texts).distinct()
     return df.groupBy("user_id").agg(*[F.max(c).alias(f"max_{c}") for c in columns])
 
 

@@ -243,30 +243,42 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     )
 
 
-def feature_weights(model: PipelineModel) -> list[tuple[str, float]]:
-    """Feature names with coefficients (positive class) or importances."""
+def class_weights_of_features(model: PipelineModel) -> list[tuple[int, str, float]]:
+    """(class, feature, coefficient or importance). Two-class models and importances have
+    one entry per feature, under class 1; others one per class and feature."""
     names = model.stages[0].getInputCols()
     last = model.stages[-1]
     if hasattr(last, "featureImportances"):
-        values = last.featureImportances.toArray()
+        rows = {1: last.featureImportances.toArray()}
     else:
-        rows = last.coefficientMatrix.toArray()
+        matrix = last.coefficientMatrix.toArray()
         # Two symmetric rows in the multinomial form, one in the binomial.
-        values = rows[-1] - rows[0] if len(rows) == 2 else rows[0]
-    return [(n, float(v)) for n, v in zip(names, values, strict=True)]
+        rows = {1: matrix[-1] - matrix[0]} if len(matrix) == 2 else (
+            {1: matrix[0]} if len(matrix) == 1 else dict(enumerate(matrix)))
+    return [(c, n, float(v)) for c, values in rows.items() for n, v in zip(names, values, strict=True)]
+
+
+def feature_weights(model: PipelineModel) -> list[tuple[str, float]]:
+    """Feature names with the coefficients of a two-class model, or with importances."""
+    weights = class_weights_of_features(model)
+    if len({c for c, _, _ in weights}) > 1:
+        raise ValueError("more than two classes: see class_weights_of_features")
+    return [(n, v) for _, n, v in weights]
 
 
 def rank_features(weights: DataFrame) -> DataFrame:
-    """Order (feature, weight) by absolute weight, as numbers, at 4 decimals."""
-    rounded = F.round("weight", 4)
+    """Order (feature, weight), within each ``class`` if there is one, by absolute weight,
+    as numbers, at 4 decimals."""
+    rounded, by = F.round("weight", 4), [c for c in ("class",) if c in weights.columns]
     return weights.select(
-        "feature", rounded.alias("weight"), F.abs(rounded).alias("abs_weight")
-    ).orderBy(F.col("abs_weight").desc(), "feature")
+        *by, "feature", rounded.alias("weight"), F.abs(rounded).alias("abs_weight")
+    ).orderBy(*by, F.col("abs_weight").desc(), "feature")
 
 
 def ranked_weights(spark, model: PipelineModel) -> DataFrame:
-    """A model's ranked features; one row per feature."""
-    return rank_features(spark.createDataFrame(feature_weights(model), "feature string, weight double"))
+    """A model's ranked features; one row per class and feature, see above."""
+    return rank_features(spark.createDataFrame(
+        class_weights_of_features(model), "class int, feature string, weight double"))
 
 
 def one_feature(df: DataFrame, feature: str) -> DataFrame:

@@ -12,7 +12,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Splits the partitions a hot user leaves on the log side of a join.
+    # For joins of two plain shuffles; logs meet aggregates through operators.skew.
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 

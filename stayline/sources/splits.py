@@ -62,8 +62,9 @@ def overlap(first: DataFrame, second: DataFrame, key: str = "id") -> DataFrame:
 
 
 def uncovered(full: DataFrame, *parts: DataFrame, key: str = "id") -> DataFrame:
-    """Keys of the full table that no part holds."""
+    """Rows of the full table, by key, whose key no part holds."""
     rest = full.select(key)
     for part in parts:
-        rest = rest.exceptAll(part.select(key).distinct())
+        held = part.select(F.col(key).alias("_held"))
+        rest = rest.join(held, rest[key].eqNullSafe(held["_held"]), "left_anti")
     return rest
