@@ -26,16 +26,19 @@ RAW_LEVELS = {
     "Practice": ("practice", "boolean"),
 }
 RAW_CAMPAIGNS = {"Campaign": ("campaign", "string"), "Level": ("level", "string")}
+# Columns whose text is a time; they stay text until cleaning.
+TIMES = ("date_joined", "created", "date_completed")
 INDEX_RESIDUE = "Unnamed: 0"
 CORRUPT = "_corrupt_record"
+# Event lines have no header of their own; their typed columns by our names.
+RAW_EVENTS = {"created": ("created", "string"), "user_id": ("user_id", "bigint")}
 
 
 def event_schema(payload: int = 4) -> T.StructType:
     """Positional event columns: four used ones and the payload."""
     names = ["created", "user_id", "event_name", "level"]
     names += [f"raw_event{i + 1}" for i in range(payload)]
-    kinds = {"user_id": T.LongType()}
-    return T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
 def survey_name(header: str) -> str:
