@@ -5,6 +5,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import stayline.llm
@@ -50,6 +51,18 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a key per row that is the same in every plan that reads it: its file and
+    its place there, or, where ``df`` is not read from files, a number that is written."""
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        keyed = df.withColumn(name, place)
+        keyed.schema  # resolves the names
+        return keyed
+    except AnalysisException:
+        return keep(numbered(df, name), "rows")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it (case ignored)."""
     taken = {c.lower() for c in df.columns}

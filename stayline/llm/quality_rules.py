@@ -231,7 +231,9 @@ def estimates(points: DataFrame) -> DataFrame:
 
 def judge(counted: DataFrame) -> DataFrame:
     """A written table of ``with_points`` as ``row``, counts, ``base_failed``, ``distance``
-    and ``kept``."""
+    and ``kept``. It has to be written: a filter on the verdict would else be worked out
+    inside the scan, from the text anew for every statistic.
+    """
     passed = counted.where(~F.col("base_failed")).select(*_GROUP, *_X)
     fitted = estimates(passed)
     measured = _joined(counted, fitted, "left").withColumn("distance", _distance() * F.col("scale"))

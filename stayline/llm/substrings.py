@@ -202,11 +202,11 @@ def _group(lists: pa.Table) -> pa.Table:
     return _table(_LOST, rows)
 
 
-def _remove(schema: pa.Schema):
+def _remove(schema: pa.Schema, as_given: bool):
     def run(docs: pa.Table, lost: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        unit = _Unit(docs["id"], docs["text"])
+        unit, texts = _Unit(docs["id"], docs["text"]), docs["text"].to_pylist()
         # Inside the unit: later documents lose what an earlier one has.
         gone = unit.own > unit.least[unit.group]
         if lost.num_rows and len(unit.a):
@@ -225,7 +225,8 @@ def _remove(schema: pa.Schema):
             n_words[row], n_removed[row] = len(words), int(inside.sum())
             if n_removed[row]:
                 words = [words[i] for i in np.flatnonzero(~inside).tolist()]
-            kept[row], begin = b" ".join(words), end
+            whole = as_given and not n_removed[row]
+            kept[row], begin = texts[row] if whole else b" ".join(words), end
         return pa.table([
             docs["row"].combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
             pa.array(kept, pa.binary()),
@@ -235,10 +236,12 @@ def _remove(schema: pa.Schema):
 
 
 def without_repeats(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None,
+    as_given: bool = False,
 ) -> DataFrame:
     """``row`` (the columns ``carry``, default all but ``text``), ``n_words``,
-    ``n_removed`` and ``kept`` (the kept words joined by one space)."""
+    ``n_removed`` and ``kept`` (the kept words joined by one space, or, ``as_given``, the
+    text itself where nothing is removed)."""
     size = text_bytes(docs, text)
     units, blocks = parts_for(size, UNIT_BYTES), parts_for(size, BLOCK_WINDOWS * _BYTES_PER_WORD)
     key = F.coalesce(F.col(f"`{doc_id}`"), F.xxhash64(f"`{text}`"))
@@ -255,5 +258,5 @@ def without_repeats(
         _candidates(blocks), "block int, unit int, a binary, b binary, ids binary")
     lost = keep(lists.groupBy("block").applyInArrow(_group, "unit int, a binary"), "lost")
     out = dealt.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept", "binary")
-    done = dealt.groupBy("unit").cogroup(lost.groupBy("unit")).applyInArrow(_remove(to_arrow_schema(out)), out)
+    done = dealt.groupBy("unit").cogroup(lost.groupBy("unit")).applyInArrow(_remove(to_arrow_schema(out), as_given), out)
     return done.select("row", "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
