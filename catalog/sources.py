@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from catalog.adapter import Tables
 from catalog.base import bit, check, us
 from stayline.operators.clean import clean_events, clean_levels, clean_users
-from stayline.session import fresh_path
+from stayline.session import fresh_path, stage
 from stayline.sources import csv, splits, tables
 from stayline.sources.schema import RAW_CAMPAIGNS, RAW_LEVELS, RAW_USERS
 
@@ -157,12 +157,13 @@ def s8(t: Tables) -> DataFrame:
     return splits.with_split(t.users).select("id", "split")
 
 
-@check("s8_random_split")
+@check("s8_random_split", """
+SELECT count(*) AS n_full, 0 AS n_overlap, 0 AS n_missing, 0 AS n_stray FROM us""")
 def s8_random(t: Tables) -> DataFrame:
-    train, test = splits.random_split(t.users.select("id"), seed=7)
-    return train.withColumn("split", F.lit("train")).unionByName(
-        test.withColumn("split", F.lit("test"))
-    )
+    """A seeded split is complete and disjoint."""
+    users = stage(t.users.select("id"), "ids")
+    train, test = splits.random_split(users, seed=7)
+    return splits.split_audit(users, train, test).drop("n_train", "n_test")
 
 
 @check("s9_event_halves", """

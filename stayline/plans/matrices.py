@@ -172,6 +172,16 @@ def standalone_matrix(wide: DataFrame, model: ch.Model = ch.MODEL_13,
     return model_file(wide, model, chunks)
 
 
+def standalone_features(model: ch.Model = ch.MODEL_13, chunks: Sequence[ch.Chunk] = (ch.CHUNK_6,)) -> list[str]:
+    """Feature columns of the stand-alone matrix, in order."""
+    own = [c.upper for c in model.chunks(chunks)]
+    newest = max(own)
+    return [
+        *BASE_FEATURES, *_chunk_block(own), *[chunk_column(s, newest) for s in LANGUAGE_SHARES],
+        chunk_column(LOGINS, newest),
+    ]
+
+
 def model_matrices_by_joins(
     files: dict[int, DataFrame], models: Sequence[ch.Model] = ch.MODELS,
     chunks: Sequence[ch.Chunk] = ch.CHUNKS,

@@ -7,14 +7,15 @@ Training reads one matrix many times. Pass a frame read from a written table
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from statistics import fmean
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stayline.functions.elapsed import ratio
@@ -117,7 +118,7 @@ class Tuned:
 
 
 def fit_weighted_logistic(
-    train: DataFrame, features: Sequence[str], balanced: bool = True, max_iter: int = 100
+    train: DataFrame, features: Sequence[str], balanced: bool = True, max_iter: int = 1000
 ) -> PipelineModel:
     """Multinomial logistic regression with balanced class weights.
 
@@ -141,13 +142,26 @@ def _lasso(c: float, n: int, max_iter: int) -> LogisticRegression:
     )
 
 
-def _search(estimator, grid, df, folds: int, parallelism: int):
-    """Cross-validate on accuracy with the user folds of the frame."""
+def _fold_scores(candidates: Sequence, prepare: list, df: DataFrame, folds: int, parallelism: int) -> list[float]:
+    """Mean held-out accuracy of each estimator over the user folds of the frame.
+
+    ``prepare`` (assembler, scaler) is fitted once per fold, not once per estimator, and
+    nothing is refitted on all rows. A fold that leaves one class, or holds nobody, counts
+    for none.
+    """
     evaluator = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
-    return CrossValidator(
-        estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds,
-        foldCol="fold", parallelism=parallelism, seed=SEED,
-    ).fit(df)
+    found: list[list[float]] = [[] for _ in candidates]
+    for fold in range(folds):
+        inside, outside = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
+        if outside.isEmpty() or inside.select("y").distinct().count() < 2:
+            continue
+        ready = Pipeline(stages=prepare).fit(inside)
+        train, held = (ready.transform(x).select("y", "features") for x in (inside, outside))
+        with ThreadPoolExecutor(parallelism) as pool:
+            scores = pool.map(lambda e: evaluator.evaluate(e.fit(train).transform(held)), candidates)
+            for values, score in zip(found, scores):
+                values.append(score)
+    return [fmean(values) if values else 0.0 for values in found]
 
 
 def _best(metrics: Sequence[float]) -> int:
@@ -166,16 +180,15 @@ def tune_lasso(
     n = train.count()
     # Strengths are scaled by the rows a fold trains on.
     fold_rows = max(int(n * (folds - 1) / folds), 1)
-    lr = _lasso(1.0, n, max_iter)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * fold_rows) for c in grid_c]).build()
-    pipeline = Pipeline(stages=[*feature_stages(features, scale=True), lr])
-    found = _search(pipeline, grid, with_folds(train, folds), folds, parallelism)
-    best = _best(found.avgMetrics)
+    candidates = [_lasso(c, fold_rows, max_iter) for c in grid_c]
+    prepare = feature_stages(features, scale=True)
+    found = _fold_scores(candidates, prepare, with_folds(train, folds), folds, parallelism)
+    best = _best(found)
     final = Pipeline(
         stages=[*feature_stages(features, scale=True), _lasso(grid_c[best], n, max_iter)]
     ).fit(train)
-    search = [{"params": {"C": c}, "score": s} for c, s in zip(grid_c, found.avgMetrics, strict=True)]
-    return Tuned(final, {"C": grid_c[best]}, found.avgMetrics[best], search)
+    search = [{"params": {"C": c}, "score": s} for c, s in zip(grid_c, found, strict=True)]
+    return Tuned(final, {"C": grid_c[best]}, found[best], search)
 
 
 def tune_forest(
@@ -190,28 +203,21 @@ def tune_forest(
     parallelism: int = 4,
 ) -> Tuned:
     """Random forest tuned on features per split and leaf size, refitted with more trees."""
-    forest = RandomForestClassifier(
-        labelCol="y", numTrees=search_trees, maxDepth=max_depth, seed=SEED
-    )
-    grid = (
-        ParamGridBuilder()
-        .addGrid(forest.featureSubsetStrategy, list(subset_grid))
-        .addGrid(forest.minInstancesPerNode, list(leaf_grid))
-        .build()
-    )
-    # Assembled once: trees need no scaling, so nothing is fitted before the forest.
-    assembler = feature_stages(features, scale=False)[0]
-    assembled = with_folds(assembler.transform(train), folds).select("y", "features", "fold")
-    found = _search(forest, grid, assembled, folds, parallelism)
-    best = _best(found.avgMetrics)
-    settings = [
-        {"max_features": g[forest.featureSubsetStrategy], "min_samples_leaf": g[forest.minInstancesPerNode]}
-        for g in grid
-    ]
-    final = forest.copy(grid[best]).setNumTrees(final_trees)
-    model = Pipeline(stages=[assembler, final]).fit(train)
-    search = [{"params": p, "score": s} for p, s in zip(settings, found.avgMetrics, strict=True)]
-    return Tuned(model, settings[best], found.avgMetrics[best], search)
+    settings = [{"max_features": f, "min_samples_leaf": m} for f in subset_grid for m in leaf_grid]
+
+    def forest(setting: dict, trees: int) -> RandomForestClassifier:
+        return RandomForestClassifier(
+            labelCol="y", numTrees=trees, maxDepth=max_depth, seed=SEED,
+            featureSubsetStrategy=setting["max_features"], minInstancesPerNode=setting["min_samples_leaf"],
+        )
+
+    prepare = feature_stages(features, scale=False)
+    candidates = [forest(s, search_trees) for s in settings]
+    found = _fold_scores(candidates, prepare, with_folds(train, folds), folds, parallelism)
+    best = _best(found)
+    model = Pipeline(stages=[*prepare, forest(settings[best], final_trees)]).fit(train)
+    search = [{"params": p, "score": s} for p, s in zip(settings, found, strict=True)]
+    return Tuned(model, settings[best], found[best], search)
 
 
 def fit_forest(
@@ -243,6 +249,38 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     )
 
 
+def steepest(model: PipelineModel, train: DataFrame) -> DataFrame:
+    """One row: by how much the fitted logistic model misses its optimality conditions.
+
+    For every coefficient the weighted loss, averaged, has a derivative that a ridge term
+    must balance, and that under an L1 term is at most the penalty, with the sign that
+    shrinks. One pass sums the derivatives; ``miss`` is the greatest that is left.
+    """
+    last = model.stages[-1]
+    penalty, share = last.getRegParam(), last.getElasticNetParam()
+    matrix = last.coefficientMatrix.toArray()
+    weight = F.col("weight") if "weight" in train.columns else F.lit(1.0)
+    ready = PipelineModel(model.stages[:-1]).transform(train.withColumn("weight", weight))
+    rows = last.transform(ready.select("y", "weight", "features")).select(
+        "y", "weight", vector_to_array("features").alias("x"), vector_to_array("probability").alias("p"))
+    # The binomial form has one row of coefficients, for class 1.
+    classes = range(len(matrix)) if len(matrix) > 1 else [1]
+    cells = F.array(*[
+        F.struct(F.lit(k).alias("k"), (F.col("weight") * (F.col("p")[c] - (F.col("y") == c).cast("double"))).alias("e"))
+        for k, c in enumerate(classes)
+    ])
+    long = rows.select("weight", "x", F.explode(cells).alias("c")).select(
+        "weight", "c.k", "c.e", F.posexplode("x").alias("j", "x"))
+    slopes = long.groupBy("k", "j").agg((F.sum(F.col("e") * F.col("x")) / F.sum("weight")).alias("slope"))
+    fitted = train.sparkSession.createDataFrame(
+        [(k, j, float(v)) for k, row in enumerate(matrix) for j, v in enumerate(row)], "k int, j int, v double")
+    ridge, lasso = penalty * (1 - share), penalty * share
+    slope = F.col("slope") + ridge * F.col("v")
+    miss = F.when(F.col("v") == 0, F.greatest(F.abs(slope) - lasso, F.lit(0.0))).otherwise(
+        F.abs(slope + lasso * F.signum("v")))
+    return slopes.join(fitted, ["k", "j"]).agg(F.max(miss).alias("miss"))
+
+
 def class_weights_of_features(model: PipelineModel) -> list[tuple[int, str, float]]:
     """(class, feature, coefficient or importance). Two-class models and importances have
     one entry per feature, under class 1; others one per class and feature."""
