@@ -121,6 +121,14 @@ def c9(t: Tables) -> DataFrame:
     return ch.chunk_features(t.events, t.numbered)
 
 
+@check("c9_chunk_block_hot", f"""
+SELECT user_id, chunk, {us('date_started')}, {us('date_completed')}, victories,
+       {', '.join(r6(f, f) for f in ch.CHUNK_FEATURES)} FROM uc""", staged=True)
+def c9_hot(t: Tables) -> DataFrame:
+    """With every user above the limit, so the whole log is salted."""
+    return ch.chunk_features(t.events, t.numbered, hot_rows=20)
+
+
 @check("c10_history_block", f"""
 SELECT user_id, chunk, {', '.join(r6(s, s) for s in mx.LANGUAGE_SHARES)}, logins FROM feat""", staged=True)
 def c10(t: Tables) -> DataFrame:

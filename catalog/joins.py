@@ -28,6 +28,12 @@ def j2(t: Tables) -> DataFrame:
     return tag_events(t.events, t.numbered).select("event_id", "user_id", "level", "level_num")
 
 
+@check("j2_event_num_hot", "SELECT event_id, user_id, level, level_num FROM evn", staged=True)
+def j2_hot(t: Tables) -> DataFrame:
+    """With so low a limit that every level is hot, so all of the log is salted."""
+    return tag_events(t.events, t.numbered, hot_rows=3).select("event_id", "user_id", "level", "level_num")
+
+
 # Attempts of one fourteen-day stretch under one name repeat, as replayed levels do.
 _REPLAYED = """
 rep AS (SELECT user_id, created, 'replay-' || (level_num % 4) AS level, level_num FROM lvn),
@@ -283,6 +289,14 @@ def w1_orders(t: Tables) -> DataFrame:
     return number_levels(t.order_attempts, ["attempt_id"]).select("attempt_id", "level_num")
 
 
+@check("w1_level_number_hot", """
+SELECT o_orderkey AS attempt_id, row_number() OVER (
+  PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS level_num FROM orders""")
+def w1_hot(t: Tables) -> DataFrame:
+    """All users above the limit: numbers are carried from slot to slot."""
+    return number_levels(t.order_attempts, ["attempt_id"], hot_rows=2).select("attempt_id", "level_num")
+
+
 @check("w1_level_number_by_range", """
 SELECT o_orderkey AS attempt_id, row_number() OVER (
   PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS level_num FROM orders""")
@@ -295,6 +309,11 @@ SELECT event_id, {r6("((epoch_us(created) - epoch_us(prev)) // 1000000)::DOUBLE
   SELECT event_id, ts AS created, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)"""
 
 
+@check("w2_event_gaps_hot", _GAPS)
+def w2_hot(t: Tables) -> DataFrame:
+    return event_gaps(t.plain_events, ["event_id"], hot_rows=10).select("event_id", "gap_hours")
+
+
 @check("w2_event_gaps_by_range", _GAPS)
 def w2_by_range(t: Tables) -> DataFrame:
     return event_gaps(t.plain_events, ["event_id"], by_range=True).select("event_id", "gap_hours")

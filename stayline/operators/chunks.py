@@ -151,6 +151,7 @@ def chunk_features(
     chunks: Sequence[Chunk] = CHUNKS,
     wrap_days: bool = True,
     bounds: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per (user, chunk): bounds, victories, average time and six rates.
 
@@ -170,7 +171,7 @@ def chunk_features(
     rates = {**EVENT_RATES, PRACTICE: PRACTICE_RATE}
     span = ("date_started", "date_completed", "victories")
     counted = (
-        within_bounds(facts, bounds)
+        within_bounds(facts, bounds, hot_rows=hot_rows)
         .groupBy("user_id", "chunk")
         .agg(
             *[F.min(c).alias(c) for c in span],

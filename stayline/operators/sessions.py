@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from stayline.functions.elapsed import HOUR, elapsed_hours, time_slot
 from stayline.operators.ordered import previous_time
+from stayline.operators.skew import HOT_ROWS
 
 
 def event_gaps(
-    events: DataFrame, tiebreak: Sequence[str] = ("event_name", "level"), by_range: bool = False
+    events: DataFrame, tiebreak: Sequence[str] = ("event_name", "level"), by_range: bool = False,
+    slot: int = HOUR // 6, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``gap_hours`` to the user's preceding event; null for the first."""
     return (
-        previous_time(events, ["user_id"], "created", tiebreak, "_previous", by_range=by_range)
+        previous_time(events, ["user_id"], "created", tiebreak, "_previous", slot=slot, by_range=by_range,
+                      hot_rows=hot_rows)
         .withColumn("gap_hours", elapsed_hours(F.col("_previous"), F.col("created")))
         .drop("_previous")
     )

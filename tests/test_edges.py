@@ -355,3 +355,56 @@ def test_hot_user_is_dealt_to_many_partitions(spark):
             spark.conf.set(k, v)
     assert sum(sizes) == 4000
     assert max(sizes) < 2000
+
+
+def test_numbers_with_a_point_and_values_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "levels.csv").write_text(
+        "User Id,Created,Level,Date Completed,Playtime (s),Code Language,Practice\n"
+        "1,2024-01-01 00:00:00,a,,13.0,lua,True\n"
+        "2,2024-01-01 00:00:00,a,2024-01-01 00:00:05,,lua,False\n"
+        "3,2024-01-01 00:00:00,a,,13.5,lua,False\n"
+        "4,soon,a,,1,lua,False\n"
+        "9007199254740993,2024-01-01 00:00:00,a,,1,lua,maybe\n"
+        "9007199254740993,2024-01-01 00:00:00,a,,1,lua,True\n"
+    )
+    path = str(tmp_path / "levels.csv")
+    assert rows(csv.read_levels(spark, path).select("user_id", "playtime").fillna(-1)) == [
+        (1, 13), (2, -1), (9007199254740993, 1)]
+    assert rows(csv.read_rejected_levels(spark, path).select("User Id")) == [("3",), ("4",), ("9007199254740993",)]
+
+
+def test_bad_event_times_and_users_are_quarantined(spark, tmp_path):
+    (tmp_path / "events.csv").write_text(
+        "h1,h2,h3,h4,h5,h6,h7,h8\n"
+        "2024-01-01 00:00:00,1,ok,l,a,b,c,d\nnever,2,bad time,l,a,b,c,d\n2024-01-01 00:00:00,x,bad user,l,a,b,c,d\n")
+    path = str(tmp_path / "events.csv")
+    assert rows(csv.read_events(spark, path).select("user_id")) == [(1,)]
+    assert csv.read_rejected_events(spark, path).count() == 2
+
+
+def test_uncovered_keys_may_repeat(spark):
+    full = spark.createDataFrame([(1,), (1,), (2,), (None,)], "id long")
+    part = spark.createDataFrame([(1,), (None,)], "id long")
+    assert rows(splits.uncovered(full, part)) == [(2,)]
+
+
+def test_only_the_country_block_goes(spark):
+    df = spark.createDataFrame([(1, 0, 0, 0)], "id long, country_us int, country_russia int, country_other_country int")
+    assert clean.drop_countries(df).columns == ["id", "country_us"]
+
+
+def test_a_level_of_two_campaigns_doubles_nobody(spark):
+    levels = spark.createDataFrame([(1, "a"), (2, "b")], "user_id long, level string")
+    campaigns = spark.createDataFrame([("forest", "a"), ("dungeon", "a")], "campaign string, level string")
+    assert rows(lookup.with_campaign(levels, campaigns, "level")) == [(1, "a", "dungeon"), (2, "b", "other")]
+
+
+def test_a_burst_inside_one_slot(spark):
+    """One user with all attempts in one second: slots cannot part them, ranges can."""
+    burst = spark.range(0, 500, 1, 4).select(
+        F.lit(1).cast("long").alias("user_id"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created"),
+        F.format_string("l%04d", F.col("id")).alias("level"))
+    for by_range in (False, True):
+        numbered = number_levels(burst, by_range=by_range, hot_rows=10)
+        assert rows(numbered.select("level_num")) == [(i,) for i in range(1, 501)]
+        assert numbered.where(F.col("level") == "l0499").first()["level_num"] == 500

@@ -116,18 +116,27 @@ def test_jobs_end_to_end(spark, logs, tmp_path, monkeypatch):
     monkeypatch.setattr(job.ch, "MODELS", ch.MODELS[:2])
     monkeypatch.setitem(job.FAMILIES, "forest", lambda df, f: training.fit_forest(df, f, trees=5, max_depth=3))
     job.main(["train", "--out", out, "--family", "forest"], spark)
-    job.main(["score", "--out", out, "--family", "forest", "--split", "test"], spark)
+    monkeypatch.setitem(job.FAMILIES, "lasso", lambda df, f: training.tune_lasso(df, f, (1.0,), folds=2).model)
+    job.main(["train", "--out", out, "--family", "lasso"], spark)
+    job.main(["score", "--out", out, "--family", "forest", "lasso", "--split", "test"], spark)
     job.main(["describe", "--data", logs, "--out", out], spark)
     report = spark.read.parquet(f"{out}/reports/train_scores_forest").collect()
-    assert {r["model"] for r in report} == {10, 15}
+    assert {(r["model"], r["side"], r["fitted"]) for r in report} == {
+        (m, side, True) for m in (10, 15, 13, 1312) for side in ("train", "test")}
+    assert all(r["auc"] is not None and r["baseline_accuracy"] > 0 for r in report)
+    assert spark.read.parquet(f"{out}/reports/test_10_lasso/scores").count() == 1
+    assert spark.read.parquet(f"{out}/rejected/levels").count() == 0
     scores = spark.read.parquet(f"{out}/reports/test_15_forest/scores").collect()[0]
     held_out = spark.read.parquet(f"{out}/matrices/split=test/model=15")
     assert scores["tn"] + scores["fp"] + scores["fn"] + scores["tp"] == held_out.dropna().count()
     train_ids = spark.read.parquet(f"{out}/matrices/split=train/model=15").select("id")
     assert train_ids.intersect(held_out.select("id")).count() == 0
-    counts = job.what_if(spark, out, "forest", "test", 15, {
+    counts = job.what_if(spark, out, "forest", "test", [10, 15], {
         "double": [{"feature": "rate_started_level_chunk_5", "op": "times", "value": 2.0}]})
-    assert {r["scenario"] for r in counts.collect()} == {"unchanged", "double"}
-    assert spark.read.parquet(f"{out}/reports/drop_off").count() > 0
+    assert {(r["model"], r["scenario"]) for r in counts.collect()} == {
+        (m, s) for m in (10, 15) for s in ("unchanged", "double")}
+    assert spark.read.parquet(f"{out}/reports/what_if_test_forest").count() == 4
+    for name in ("drop_off", "worst_drops", "inactivity", "levels_distribution", "language_mix", "latest_activity"):
+        assert spark.read.parquet(f"{out}/reports/{name}").count() > 0
     alone = spark.read.parquet(f"{out}/matrices/split=test/model=13")
     assert "share_lua_chunk_6" in alone.columns
