@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stayline.llm import balltree, bpe, brown, chat, kneser_ney, mixing, packing, quality_rules, simhash, substrings
+from stayline.llm import balltree, bpe, brown, chat, kneser_ney, mixing, oracles, packing, quality_rules, simhash, substrings
 from stayline.llm.common import keep, table
 
 #: Where the public tokenizer's file is; see the package's README for the others.
@@ -20,7 +20,11 @@ WEIGHTS = {
 SHARE, EPOCHS, SEED = (3, 5), 2, 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mixing": oracles.mixing(WEIGHTS, SHARE, EPOCHS, SEED),
+    "op5_chat": oracles.CHAT,
+    "op6_substring_dedup": oracles.SUBSTRINGS,
+}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]):
