@@ -19,6 +19,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 from itertools import chain
@@ -32,7 +33,7 @@ from pyspark.sql.types import StructType
 
 from stayline.llm.common import as_row
 
-_WORDS, _FRAGMENTS = 1 << 18, 1 << 17
+_WORDS, _FRAGMENTS = 1 << 19, 1 << 17
 _SHORT = 48
 _BATCH = 512
 _ID_BITS = 24
@@ -185,11 +186,12 @@ class Bpe:
     def _known_fragments(self) -> _Bounded:
         return _Bounded(self._merged, _FRAGMENTS)
 
-    def _encode_word(self, word: str) -> tuple[int, ...]:
+    def _encode_word(self, word: str) -> bytes:
+        """The ids as 32-bit numbers: compact to hold, and quick to join."""
         parts, known = self.fragments(word.encode()), self._known_fragments
         if len(parts) == 1:  # the word itself is looked up already
-            return self._merged(parts[0])
-        return tuple(chain.from_iterable(known[x] for x in parts))
+            return array("i", self._merged(parts[0])).tobytes()
+        return array("i", chain.from_iterable(known[x] for x in parts)).tobytes()
 
     @cached_property
     def _known_words(self) -> _Bounded:
@@ -214,7 +216,7 @@ class Bpe:
         longest = sorted(ids, key=len, reverse=True)
         return regex.compile("(" + "|".join(map(regex.escape, longest)) + ")"), ids
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
         try:
             text.encode("latin-1")  # such texts are in NFC
             pattern = self._narrow_pattern
@@ -222,16 +224,18 @@ class Bpe:
             # Each character is lower-cased by itself: no final form of sigma.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
             pattern = self._pattern
-        return list(chain.from_iterable(map(self._known_words.__getitem__, pattern.findall(text.lower()))))
+        return b"".join(map(self._known_words.__getitem__, pattern.findall(text.lower())))
 
-    def encode(self, text: str) -> list[int]:
+    def encode_array(self, text: str) -> np.ndarray:
         pattern, special = self._special
-        if not any(x in text for x in special):
-            return self._plain(text)
-        pieces = pattern.split(text)  # ordinary, special, ordinary, ...
-        return list(chain.from_iterable(
-            [special[x]] if i % 2 else self._plain(x) for i, x in enumerate(pieces)
-        ))
+        data = self._plain(text) if not any(x in text for x in special) else b"".join(
+            # Ordinary, special, ordinary, ...
+            array("i", [special[x]]).tobytes() if i % 2 else self._plain(x) for i, x in enumerate(pattern.split(text))
+        )
+        return np.frombuffer(data, np.int32)
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_array(text).tolist()
 
     def decode(self, ids: list[int]) -> str:
         tokens = self.tokens
@@ -244,7 +248,7 @@ def _column(values: list, kind: pa.DataType) -> pa.Array:
     if not pa.types.is_list(kind):
         return pa.array(values, kind)
     ends = np.cumsum([0, *map(len, values)])
-    flat = np.fromiter(chain.from_iterable(values), np.int32, int(ends[-1]))
+    flat = np.concatenate([np.empty(0, np.int32), *values])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), type=kind)
 
 
@@ -274,7 +278,7 @@ def _mapped(df: DataFrame, value: Column, carry: list[str] | None, tokenizer: Bp
 
 def encoded(docs: DataFrame, tokenizer: Bpe, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``row`` and the token ``ids`` of ``text``."""
-    return _mapped(docs, F.col(f"`{text}`"), carry, tokenizer, [("ids", "array<int>")], lambda t, x: (t.encode(x or ""),))
+    return _mapped(docs, F.col(f"`{text}`"), carry, tokenizer, [("ids", "array<int>")], lambda t, x: (t.encode_array(x or ""),))
 
 
 def decoded(docs: DataFrame, tokenizer: Bpe, ids: str = "ids", carry: list[str] | None = None) -> DataFrame:
@@ -284,8 +288,8 @@ def decoded(docs: DataFrame, tokenizer: Bpe, ids: str = "ids", carry: list[str]
 
 def there_and_back(docs: DataFrame, tokenizer: Bpe, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``row``, ``ids`` and what they decode to (``decoded``), in one pass."""
-    def work(t: Bpe, x: str | None) -> tuple[list[int], str]:
-        ids = t.encode(x or "")
-        return ids, t.decode(ids)
+    def work(t: Bpe, x: str | None) -> tuple[np.ndarray, str]:
+        ids = t.encode_array(x or "")
+        return ids, t.decode(ids.tolist())
 
     return _mapped(docs, F.col(f"`{text}`"), carry, tokenizer, [("ids", "array<int>"), ("decoded", "string")], work)

@@ -24,6 +24,7 @@ ORACLES: dict[str, str] = {
     "op1_mixing": oracles.mixing(WEIGHTS, SHARE, EPOCHS, SEED),
     "op5_chat": oracles.CHAT,
     "op6_substring_dedup": oracles.SUBSTRINGS,
+    "op7_quality_rules": oracles.quality_rules(),
 }
 
 
