@@ -281,6 +281,19 @@ def test_kneser_ney_weights_are_probabilities(spark):
     assert p["zz"] < min(p["a"], p["b"], p["c"])
 
 
+def test_thresholds_are_quantiles_of_texts_set_apart(spark):
+    """A language of few texts is judged by all of them, one of many by its own."""
+    ids = [r.id for r in spark.range(8000).where(kneser_ney._apart(F.col("id"))).collect()]
+    rows = [((i, "en" if k % 10 else "de"), 10 * 1.003 ** k) for k, i in enumerate(ids)]
+    scored = spark.createDataFrame(rows, "row struct<doc_id: long, lang: string>, perplexity double")
+    trusted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    got = kneser_ney.judged(keep(scored, "scored"), trusted).collect()
+    by_lang = {r.row.lang: r.threshold for r in got}
+    for lang, wanted in (("de", [p for _, p in rows]), ("en", [p for (_, x), p in rows if x == "en"])):
+        assert math.isclose(by_lang[lang], np.quantile(wanted, kneser_ney.QUANTILE), rel_tol=0.003)
+    assert 0 < sum(not r.kept for r in got) <= 0.002 * len(got)
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 1, "assistant", "yo"), (1, None, "system", None),

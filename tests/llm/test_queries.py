@@ -101,6 +101,13 @@ def test_kneser_ney_tells_trusted_text_from_junk(spark):
     assert got.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
 
 
+def test_kneser_ney_leaves_little_junk(spark):
+    folder = SF.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 0").select("doc_id")
+    junk = queries.QUERIES["op8_kneser_ney"](spark, folder).join(labels, "doc_id").select("kept").collect()
+    assert sum(r.kept for r in junk) <= 0.2 * len(junk)
+
+
 def test_packing_is_lossless(spark, docs):
     own, pieces, used = queries.tokenizer(), defaultdict(list), 0
     rows = result(spark, "op9_packing")
