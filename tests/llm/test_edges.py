@@ -281,6 +281,22 @@ def test_kneser_ney_weights_are_probabilities(spark):
     assert p["zz"] < min(p["a"], p["b"], p["c"])
 
 
+def test_long_texts_and_large_languages_leave_room_in_the_sample(spark, monkeypatch):
+    def texts(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+        return sorted(bytes(r.text).decode() for r in kneser_ney.sample(docs, docs.select("doc_id"), "text", "doc_id").collect())
+
+    ids = [r.id for r in spark.range(200).where(~kneser_ney._apart(F.col("id"))).collect()]
+    long, short = [(i, "en", prose(300, i)) for i in ids[:20]], [(i, "en", prose(5, i)) for i in ids[20:40]]
+    monkeypatch.setattr(kneser_ney, "TRAIN_TOKENS", 200)
+    assert texts(long + short) == sorted(t for *_, t in short)
+    assert texts(long[:1]) == [long[0][2]]
+    monkeypatch.setattr(kneser_ney, "TRAIN_DOCS", 20)
+    few = [(i, "de", f"wort {i}") for i in ids[40:43]]
+    got = texts([(i, "en", f"word {i}") for i in ids[43:]] + few)
+    assert len(got) == 20 and {t for *_, t in few} <= set(got)
+
+
 def test_thresholds_are_quantiles_of_texts_set_apart(spark):
     """A language of few texts is judged by all of them, one of many by its own."""
     ids = [r.id for r in spark.range(8000).where(kneser_ney._apart(F.col("id"))).collect()]
