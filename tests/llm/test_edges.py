@@ -233,6 +233,19 @@ def test_brown(spark, docs, none):
     assert brown.scores(none).count() == 0
 
 
+def test_held_out_texts_leave_training_scores_as_they_were(spark):
+    rows = [(i, prose(40, i)) for i in range(60)]
+    spoken = " ".join(f"new{k} w1 w2" for k in range(30))
+    def trained(texts):
+        got = brown.scores(spark.createDataFrame(texts, "doc_id long, text string")).where("not held_out").collect()
+        return {r.doc_id: r for r in got}
+
+    before = trained(rows)
+    after = trained([(i, f"{spoken} " * 20 if brute.held_out(i) else t) for i, t in rows])
+    assert 0 < len(before) < len(rows) and before.keys() == after.keys()
+    assert all(math.isclose(before[i].score, after[i].score, rel_tol=1e-12) for i in before)
+
+
 def test_exchange_finds_planted_classes():
     """Words of two kinds that only follow the other kind."""
     counts = np.zeros((22, 22))
