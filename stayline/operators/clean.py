@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stayline.functions import people
+from stayline.operators.chunks import LANGUAGES
 from stayline.operators.skew import spread_join
 from stayline.sources.schema import INDEX_RESIDUE
 
@@ -151,6 +152,10 @@ def age_dummies(users: DataFrame) -> DataFrame:
     return with_dummies(users, "age", people.AGE_VOCABULARY, "age")
 
 
+def language_dummies(users: DataFrame) -> DataFrame:
+    return with_dummies(users, "code_language", LANGUAGES, "code_language")
+
+
 def majority(share: Column, cut: float = 0.5) -> Column:
     """A share as a flag; a missing share is false."""
     return F.coalesce(share > F.lit(cut), F.lit(False))

@@ -408,3 +408,11 @@ def test_a_burst_inside_one_slot(spark):
         numbered = number_levels(burst, by_range=by_range, hot_rows=10)
         assert rows(numbered.select("level_num")) == [(i,) for i in range(1, 501)]
         assert numbered.where(F.col("level") == "l0499").first()["level_num"] == 500
+
+
+def test_language_dummies_have_a_fixed_vocabulary(spark):
+    rows = spark.createDataFrame([(1, "python"), (2, "java"), (3, "perl"), (4, None)], "id long, code_language string")
+    got = clean.language_dummies(rows)
+    assert got.columns == ["id", *[f"code_language_{x}" for x in ch.LANGUAGES]]
+    ones = {r.id: [c for c in got.columns[1:] if r[c]] for r in got.collect()}
+    assert ones == {1: ["code_language_python"], 2: ["code_language_java"], 3: [], 4: []}
