@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stayline.llm.chat import CONTROLS
+from stayline.llm.licenses import SLACK, words_of
 from stayline.llm.mixing import LEVELS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -184,3 +185,82 @@ SELECT p.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
        NOT base_failed AND coalesce(({distance}) * scale, 0.0) <= {q.CUTOFF} AS kept
 FROM points p LEFT JOIN scaled f ON {same}
 """
+
+
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = r"regexp_extract_all(" + _FOLDED + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _rows(rows: list[tuple]) -> str:
+    shown = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows)
+
+
+def licenses(templates: list, phrases: dict[str, str]) -> str:
+    """The scan without an index: every phrase is looked for at every word."""
+    every = list(enumerate(templates))
+    spelled = [(t, i, j, w) for t, one in every for i, (_, p) in enumerate(one.phrases) for j, w in enumerate(p)]
+    begun = [(t, i, q, len(p), len(one.phrases)) for t, one in every for i, (q, p) in enumerate(one.phrases)]
+    texts = [(t, one.label, one.phrase_at(q), q, w) for t, one in every for q, w in enumerate(one.words)]
+    based = [(i, label, j, w) for i, (p, label) in enumerate(phrases.items()) for j, w in enumerate(words_of(p))]
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS w FROM documents),
+placed AS (SELECT k, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS pos FROM d),
+text_words AS (SELECT * FROM (VALUES {_rows(texts)}) AS x(t, label, phrase, q, w)),
+hits AS MATERIALIZED (SELECT * FROM placed WHERE w IN (SELECT w FROM text_words)),
+idf AS (
+  SELECT w, CAST(1 + greatest(floor(1000 * ln((2 * (SELECT count(*) FROM d) + 2) / (2 * df + 1))), 0) AS BIGINT) AS weight
+  FROM (SELECT w, count(DISTINCT k) AS df FROM hits GROUP BY w)),
+phrase_words AS (SELECT * FROM (VALUES {_rows(spelled)}) AS x(t, phrase, j, w)),
+begun AS (SELECT * FROM (VALUES {_rows(begun)}) AS x(t, phrase, q, length, phrases)),
+starts AS (
+  SELECT k, t, phrase, pos - j AS start FROM hits JOIN phrase_words USING (w)
+  GROUP BY k, t, phrase, pos - j
+  HAVING count(*) = (SELECT length FROM begun b WHERE b.t = phrase_words.t AND b.phrase = phrase_words.phrase)),
+shifts AS (SELECT k, t, phrase, phrases, start - q AS shift FROM starts JOIN begun USING (t, phrase)),
+firsts AS (SELECT k, t, phrases, shift AS off FROM shifts WHERE phrase = 0),
+near AS (
+  SELECT f.k, f.t, f.off, s.phrase, arg_min(s.shift, abs(s.shift - f.off) * 1000000 + (s.shift - f.off)) AS shift
+  FROM firsts f JOIN shifts s ON s.k = f.k AND s.t = f.t AND (s.phrase > 0 OR s.shift = f.off) AND abs(s.shift - f.off) <= {SLACK}
+  GROUP BY ALL),
+whole AS (SELECT k, t, off FROM near JOIN firsts USING (k, t, off) GROUP BY k, t, off HAVING count(*) = max(phrases)),
+met AS (
+  SELECT whole.k, whole.t, whole.off, sum(weight) AS met
+  FROM whole JOIN near USING (k, t, off) JOIN text_words x ON x.t = near.t AND x.phrase = near.phrase
+  JOIN hits ON hits.k = whole.k AND hits.w = x.w AND hits.pos = near.shift + x.q JOIN idf ON idf.w = x.w
+  GROUP BY ALL),
+total AS (SELECT t, label, sum(coalesce(weight, 0)) AS total FROM text_words LEFT JOIN idf USING (w) GROUP BY t, label),
+found AS (SELECT k, list(DISTINCT label) AS more, max(CAST(met AS DOUBLE) / CAST(total AS DOUBLE)) AS score FROM met JOIN total USING (t) GROUP BY k),
+base_words AS (SELECT * FROM (VALUES {_rows(based)}) AS x(p, label, j, w)),
+places AS (
+  SELECT k, label, pos - j AS start FROM hits JOIN base_words b USING (w) GROUP BY k, label, p, pos - j
+  HAVING count(*) = (SELECT count(*) FROM base_words c WHERE c.p = b.p)),
+base AS (SELECT k, count(*) AS n, min(start) AS a, max(start) AS z, list(DISTINCT label) AS labels FROM places GROUP BY k)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(a AS BIGINT) AS first_word,
+       CAST(z AS BIGINT) AS last_word, array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(more, [])))), ',') AS labels,
+       coalesce(score, 0) AS score
+FROM d LEFT JOIN base USING (k) LEFT JOIN found USING (k)
+"""
+
+
+REVERSED_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS w FROM documents),
+items AS (SELECT row_number() OVER () AS i, item_id, list_distinct({_TERMS}) AS w FROM benchmark),
+asked AS (SELECT i, unnest(w) AS term FROM items),
+sizes AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS total, CAST(sum(len(w)) AS BIGINT) AS length FROM d),
+counts AS (
+  SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM asked) GROUP BY k, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * total + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), sizes),
+parts AS (
+  SELECT k, term, weights.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(d.w) * total) // length))) AS part
+  FROM counts JOIN d USING (k) JOIN weights USING (term), sizes),
+scored AS (SELECT i, k, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN parts USING (term) GROUP BY i, k),
+ranked AS (
+  SELECT i, doc_id, score, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank
+  FROM scored JOIN d USING (k) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN items USING (i) WHERE rank <= 10
+"""

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stayline.llm import balltree, bpe, brown, chat, kneser_ney, mixing, oracles, packing, quality_rules, simhash, substrings
+from stayline.llm import (
+    balltree, bpe, brown, chat, kneser_ney, licenses, mixing, oracles, packing, quality_rules, reversed_search, simhash,
+    substrings, whitening,
+)
 from stayline.llm.common import keep, table
 
 #: Where the public tokenizer's file is; see the package's README for the others.
@@ -25,6 +28,8 @@ ORACLES: dict[str, str] = {
     "op5_chat": oracles.CHAT,
     "op6_substring_dedup": oracles.SUBSTRINGS,
     "op7_quality_rules": oracles.quality_rules(),
+    "op11_licenses": oracles.licenses(licenses.with_phrases(licenses.TEMPLATES, licenses.PHRASES), licenses.PHRASES),
+    "op12_reversed_search": oracles.REVERSED_SEARCH,
 }
 
 
@@ -147,3 +152,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = licenses.scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return done.select(
+        "row.doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+@query
+def op12_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reversed_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, fitted = whitening.whiten(table(spark, sf_dir, "embeddings"), "embedding", carry=["vec_id"])
+    return whitening.by_component(done, fitted).select(
+        "row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
