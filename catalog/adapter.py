@@ -159,3 +159,16 @@ class Tables:
             (F.col("o_orderstatus") != "P").alias("done"),
             F.col("o_orderkey").alias("attempt_id"),
         )
+
+    @cached_property
+    def burst_attempts(self) -> DataFrame:
+        """Orders as attempts where user 0 makes a third of all within one second, and a
+        tenth of those at one instant."""
+        key = F.col("o_orderkey")
+        micros = F.when(key % 30 == 0, 500_000).otherwise(key * 7919 % 1_000_000)
+        burst = F.timestamp_micros(F.lit(1_704_067_200_000_000).cast("long") + micros)
+        return self.raw("orders").select(
+            F.when(key % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("o_custkey")).alias("user_id"),
+            F.when(key % 3 == 0, burst).otherwise(F.col("o_orderdate").cast("timestamp")).alias("created"),
+            key.alias("attempt_id"),
+        )

@@ -304,6 +304,30 @@ def w1_by_range(t: Tables) -> DataFrame:
     return number_levels(t.order_attempts, ["attempt_id"], by_range=True).select("attempt_id", "level_num")
 
 
+_BURST = """
+bursts AS (
+  SELECT o_orderkey AS attempt_id, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS user_id,
+         CASE WHEN o_orderkey % 3 = 0 THEN 1704067200000000 + CASE WHEN o_orderkey % 30 = 0 THEN 500000 ELSE o_orderkey * 7919 % 1000000 END
+              ELSE epoch_us(CAST(o_orderdate AS TIMESTAMP)) END AS instant
+  FROM orders)"""
+#: So low that the burst is hot, and its one instant heavy, at every size of the tables.
+_BURST_ROWS = 40
+
+
+@check("w1_level_number_burst", """
+SELECT attempt_id, row_number() OVER (PARTITION BY user_id ORDER BY instant, attempt_id) AS level_num FROM bursts""", _BURST)
+def w1_burst(t: Tables) -> DataFrame:
+    """A third of all attempts within one second of one user: slots follow the burst."""
+    return number_levels(t.burst_attempts, ["attempt_id"], hot_rows=_BURST_ROWS).select("attempt_id", "level_num")
+
+
+@check("w2_event_gaps_burst", f"""
+SELECT attempt_id, {r6("((instant - lag(instant) OVER (PARTITION BY user_id ORDER BY instant, attempt_id)) // 1000000)::DOUBLE / 3600", 'gap_hours')}
+FROM bursts""", _BURST)
+def w2_burst(t: Tables) -> DataFrame:
+    return event_gaps(t.burst_attempts, ["attempt_id"], hot_rows=_BURST_ROWS).select("attempt_id", "gap_hours")
+
+
 _GAPS = f"""
 SELECT event_id, {r6("((epoch_us(created) - epoch_us(prev)) // 1000000)::DOUBLE / 3600", 'gap_hours')} FROM (
   SELECT event_id, ts AS created, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)"""

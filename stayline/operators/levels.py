@@ -6,14 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stayline.functions.elapsed import HOUR
 from stayline.operators.ordered import running_total
 from stayline.operators.skew import HOT_ROWS, spread_join
 
 
 def number_levels(
     levels: DataFrame, tiebreak: Sequence[str] = ("level",), by_range: bool = False,
-    slot: int = HOUR, hot_rows: int = HOT_ROWS,
+    slot: int | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``level_num``: 1-based order of the attempt among the user's attempts.
 

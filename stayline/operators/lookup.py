@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stayline.operators import clean
+from stayline.operators.packed import greatest
 from stayline.operators.skew import spread_join
 
 OTHER_CAMPAIGN = "other"
@@ -25,20 +26,21 @@ def latest(
 ) -> DataFrame:
     """The user's last row by ``created``: (user_id, created, columns).
 
-    The last time per user is a map-side hash aggregate; the join back to the rows at
-    that time runs on (user, time), so only those few meet an ordering. ``ties="one"``
-    keeps the greatest tiebreak among them, and then the greatest returned columns;
-    ``ties="all"`` keeps every distinct one. Rows without a time are not the last.
+    ``ties="one"`` keeps the greatest tiebreak among rows of the last time, and then the
+    greatest returned columns: one packed number per user (see ``operators.packed``), so
+    the log is neither moved nor sorted. ``ties="all"`` keeps every distinct row of the
+    last time; only rows at that time meet, by a join on (user, time). Rows without a time
+    are not the last.
     """
     if ties not in ("one", "all"):
         raise ValueError("ties must be 'one' or 'all'")
+    if ties == "one":
+        order = list(dict.fromkeys(["created", *tiebreak, *columns]))
+        timed = df.where(F.col("user_id").isNotNull() & F.col("created").isNotNull())
+        return greatest(timed, ["user_id"], order).select("user_id", "created", *columns)
     last = df.groupBy("user_id").agg(F.max("created").alias("created"))
-    wanted = list(dict.fromkeys(["user_id", "created", *columns, *tiebreak]))
-    at_last = df.select(*wanted).join(last, ["user_id", "created"], "left_semi")
-    if ties == "all":
-        return at_last.select("user_id", "created", *columns).distinct()
-    row = F.max(F.struct(*dict.fromkeys(["created", *tiebreak, *columns]))).alias("_row")
-    return at_last.groupBy("user_id").agg(row).select("user_id", "_row.created", *[f"_row.{c}" for c in columns])
+    at_last = df.select("user_id", "created", *columns).join(last, ["user_id", "created"], "left_semi")
+    return at_last.distinct()
 
 
 def with_campaign(df: DataFrame, campaigns: DataFrame, level: str, name: str = "campaign",

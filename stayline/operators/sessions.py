@@ -13,7 +13,7 @@ from stayline.operators.skew import HOT_ROWS
 
 def event_gaps(
     events: DataFrame, tiebreak: Sequence[str] = ("event_name", "level"), by_range: bool = False,
-    slot: int = HOUR // 6, hot_rows: int = HOT_ROWS,
+    slot: int | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``gap_hours`` to the user's preceding event; null for the first."""
     return (

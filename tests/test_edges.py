@@ -1,14 +1,16 @@
 """Hand-written rows for the rules where engines or readings differ."""
 
-from datetime import datetime as dt
+import random
+from datetime import date, datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
 
 from stayline.functions import labels, people
 from stayline.functions.elapsed import active_days, elapsed_days
-from stayline.operators import chunks as ch, clean, evaluate, frequency as fq, lookup
+from stayline.operators import chunks as ch, clean, evaluate, frequency as fq, lookup, ordered, packed
 from stayline.operators.levels import number_levels, tag_events
+from stayline.operators.lookup import latest
 from stayline.operators.ordered import previous_time, running_total
 from stayline.operators.skew import hot_keys, spread_join
 from stayline.operators.sessions import count_logins, event_gaps, login_starts
@@ -154,13 +156,63 @@ def test_ordered_slots_equal_a_plain_window(spark):
     df = spark.createDataFrame(data, "k long, t timestamp, i long")
     order = "over (partition by k order by t, i"
     plain = rows(df.selectExpr("i", f"count(*) {order} rows unbounded preceding)", f"lag(t) {order})"))
-    for ways in ({}, {"hot_rows": 100}, {"by_range": True}):
+    for ways in ({}, {"hot_rows": 100}, {"hot_rows": 10}, {"hot_rows": 100, "slot": 3600}, {"by_range": True}):
         both = running_total(df, ["k"], "t", ["i"], "n", **ways).join(
             previous_time(df, ["k"], "t", ["i"], "p", **ways).select("i", "p"), "i"
         )
         assert rows(both.select("i", "n", "p")) == plain
 
 
+def test_slots_follow_a_burst(spark):
+    """One user with all rows within a second, a third of them at one instant."""
+    second = spark.range(9000).selectExpr(
+        "7L k", "timestamp_micros(1704067200000000 + if(id % 3 = 0, 250000, id * 7919 % 1000000)) t", "id i")
+    cut, carried = ordered._cut(second, ["k"], "t", ["i"], None, False, hot_rows=500)
+    sizes = [r["count"] for r in cut.groupBy("_slot").count().collect()]
+    assert carried and sum(sizes) == 9000
+    assert len(sizes) >= 18 and max(sizes) <= 1000
+    _, carried = ordered._cut(second, ["k"], "t", ["i"], None, False, hot_rows=10_000)
+    assert not carried
+
+
+def test_binary_search_counts_cuts(spark):
+    df = spark.range(-2, 40).selectExpr("id v", "array(0L, 3L, 3L, 10L, 20L, 21L, 33L) cuts")
+    got = ordered._counted_below(df, "cuts", "v", 7, "n").selectExpr("v", "n").collect()
+    assert all(r.n == sum(c <= r.v for c in (0, 3, 3, 10, 20, 21, 33)) for r in got)
+
+
+PACKED = "k int, created timestamp, t string, b boolean, n long, d date"
+
+
+@pytest.mark.parametrize("columns", [["created", "t", "b", "n", "d"], ["n", "created", "d", "t"], ["t"], ["n", "wide"], ["x", "t"], ["wide", "n", "created", "wide2"]])
+@pytest.mark.parametrize("size", [0, 1, 200])
+def test_packed_rows_order_as_structs(spark, columns, size):
+    r = random.Random(size)
+    data = [(r.choice([None, 1, 2, 3]), r.choice([None, at(1, r.randint(0, 9))]), r.choice([None, "a", "b", "", "é"]),
+             r.choice([None, True, False]), r.choice([None, -5, 2**40, 7]), r.choice([None, date(1960, 1, 1), date(2030, 1, 1)]))
+            for _ in range(size)]
+    df = spark.createDataFrame(data, PACKED).repartition(3).selectExpr("*", "n * 3000000 wide", "n * -2000000 wide2", "n / 2 x")
+    got = packed.greatest(df, ["k"], columns)
+    plain = df.groupBy("k").agg(F.max(F.struct(*columns)).alias("s")).select("k", *[f"s.{c}" for c in columns])
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_last_rows_neither_move_nor_sort_the_log(spark, tmp_path):
+    spark.range(2000).selectExpr("id % 50 user_id", "timestamp_seconds(id) created", "concat('e', id % 7) event_name",
+                                 "concat('l', id % 90) level").write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = latest(log, ["event_name", "level"], ["event_name", "level"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(user_id" in line]
+    above = plan.splitlines()[plan.splitlines().index(moved[0]) + 1]
+    assert len(moved) == 1 and "partial_max" in above
+
+
 def test_hot_keys_are_those_over_the_limit(spark):
     df = spark.createDataFrame([(1,)] * 30 + [(2,)] * 10 + [(None,)] * 50, "k long")
     assert rows(hot_keys(df, ["k"], 20)) == [(1, 30)]
