@@ -142,12 +142,9 @@ class Tables:
         return self._log.where(n <= 19).select(campaign.alias("campaign"), "level").distinct()
 
     def staged(self) -> Tables:
-        """The same tables read back from written files, for jobs that read them many times."""
-        copy = Tables(self.spark, self.folder)
-        copy._log = stage(self._log, "log")
-        copy.levels = stage(copy.levels, "levels")
-        copy.numbered = stage(copy.numbered, "numbered")
-        return copy
+        """The same tables read back from written files, for jobs that read them many times.
+        Each is written when it is first asked for."""
+        return _Staged(self.spark, self.folder)
 
     @cached_property
     def order_attempts(self) -> DataFrame:
@@ -172,3 +169,17 @@ class Tables:
             F.when(key % 3 == 0, burst).otherwise(F.col("o_orderdate").cast("timestamp")).alias("created"),
             key.alias("attempt_id"),
         )
+
+
+class _Staged(Tables):
+    @cached_property
+    def _log(self) -> DataFrame:
+        return stage(Tables._log.func(self), "log")
+
+    @cached_property
+    def levels(self) -> DataFrame:
+        return stage(Tables.levels.func(self), "levels")
+
+    @cached_property
+    def numbered(self) -> DataFrame:
+        return stage(Tables.numbered.func(self), "numbered")

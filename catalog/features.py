@@ -58,7 +58,7 @@ SELECT id, total_play_time, {us('last_event_date')}, last_action, last_level_nam
            'avg_num_days_per_level')}
 FROM us LEFT JOIN lastev e ON e.user_id = id LEFT JOIN lasttry l ON l.user_id = id
 LEFT JOIN (SELECT user_id, CAST(sum(playtime) AS BIGINT) AS total_play_time FROM lv GROUP BY user_id) p
-  ON p.user_id = id""", LAST_CTES)
+  ON p.user_id = id""", LAST_CTES, staged=True)
 def c5(t: Tables) -> DataFrame:
     return profile.user_profile(t.users, t.levels, t.events, DATA_THROUGH, ["event_id"]).drop(
         "date_joined", "levels_completed", "signed_up", "paid_subscription", "country", "age",

@@ -66,6 +66,18 @@ def j4(t: Tables) -> DataFrame:
     return lookup.latest(t.events, ["event_name"], ["event_id"])
 
 
+@check("j4_latest_packed", f"""
+SELECT user_id, {us('created')}, event_name, level FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', created) DESC,
+                               event_name DESC, level DESC NULLS LAST) AS rn
+  FROM (SELECT user_id, date_trunc('day', created) AS created, event_name, level FROM ev))
+WHERE rn = 1""", staged=True)
+def j4_packed(t: Tables) -> DataFrame:
+    """By whole days, so that many rows tie and the texts decide; packed at any size."""
+    by_day = t.events.withColumn("created", F.date_trunc("day", "created"))
+    return lookup.latest(by_day, ["event_name", "level"], ["event_name", "level"], pack=True)
+
+
 @check("j4_latest_ties", f"""
 SELECT DISTINCT user_id, {us('day', 'created')}, code_language FROM (
   SELECT *, rank() OVER (PARTITION BY user_id ORDER BY day DESC) AS rk

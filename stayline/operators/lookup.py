@@ -23,12 +23,13 @@ def latest(
     columns: Sequence[str],
     tiebreak: Sequence[str] = (),
     ties: str = "one",
+    pack: bool | None = None,
 ) -> DataFrame:
     """The user's last row by ``created``: (user_id, created, columns).
 
     ``ties="one"`` keeps the greatest tiebreak among rows of the last time, and then the
-    greatest returned columns: one packed number per user (see ``operators.packed``), so
-    the log is neither moved nor sorted. ``ties="all"`` keeps every distinct row of the
+    greatest returned columns: a map-side maximum per user, so the log is not moved, and
+    a large one (or with ``pack``) not sorted either, see ``operators.packed``. ``ties="all"`` keeps every distinct row of the
     last time; only rows at that time meet, by a join on (user, time). Rows without a time
     are not the last.
     """
@@ -37,7 +38,7 @@ def latest(
     if ties == "one":
         order = list(dict.fromkeys(["created", *tiebreak, *columns]))
         timed = df.where(F.col("user_id").isNotNull() & F.col("created").isNotNull())
-        return greatest(timed, ["user_id"], order).select("user_id", "created", *columns)
+        return greatest(timed, ["user_id"], order, pack).select("user_id", "created", *columns)
     last = df.groupBy("user_id").agg(F.max("created").alias("created"))
     at_last = df.select("user_id", "created", *columns).join(last, ["user_id", "created"], "left_semi")
     return at_last.distinct()

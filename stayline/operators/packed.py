@@ -9,7 +9,9 @@ map-side part, so a task sends one number per user and no row of the log moves o
 sorted. The digits of the few results are then read back.
 
 One pass before it finds the ranges and the texts. Its groups are the distinct texts, so
-it shuffles about as many rows as there are texts.
+it shuffles about as many rows as there are texts. A log that one task sorts at once is
+not worth a second pass: below ``WORTH`` bytes, by Spark's own estimate, the struct is
+taken, which moves no rows either. Results are the same.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from stayline.session import stage
 
+#: Estimated bytes of the columns read from which on packing pays for its first pass.
+WORTH = 1 << 30
 #: Most texts, and most characters in all, of a column's dictionary, which is broadcast.
 TEXTS, CHARACTERS = 1 << 18, 1 << 24
 #: Numbers that one long holds.
@@ -165,14 +169,22 @@ def _dictionary(groups: DataFrame, name: str) -> DataFrame:
     return texts.withColumn("place", (F.row_number().over(Window.orderBy("text")) - 1).cast("long"))
 
 
-def greatest(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def _estimated_bytes(df: DataFrame) -> int:
+    """What Spark expects the rows to hold; unknown sources count as very large."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def greatest(df: DataFrame, keys: Sequence[str], columns: Sequence[str], pack: bool | None = None) -> DataFrame:
     """(keys, columns) of the row per key that is greatest in the order of ``columns``.
 
-    Where the columns cannot be packed, the maximum of their struct takes over: a sort in
+    ``pack`` decides between the packed number and the struct; None goes by the size of
+    the input. Where the columns cannot be packed the struct is taken anyway: a sort in
     each task instead of a hash table, but still a map-side aggregate that moves no rows.
     """
     wanted = df.select(*keys, *columns)
-    fitting = packing(wanted, columns)
+    if pack is None:
+        pack = _estimated_bytes(wanted) >= WORTH
+    fitting = packing(wanted, columns) if pack else None
     if fitting is None:
         row = F.max(F.struct(*columns)).alias("_row")
         return wanted.groupBy(*keys).agg(row).select(*keys, *[f"_row.{c}" for c in columns])

@@ -192,7 +192,7 @@ def test_packed_rows_order_as_structs(spark, columns, size):
              r.choice([None, True, False]), r.choice([None, -5, 2**40, 7]), r.choice([None, date(1960, 1, 1), date(2030, 1, 1)]))
             for _ in range(size)]
     df = spark.createDataFrame(data, PACKED).repartition(3).selectExpr("*", "n * 3000000 wide", "n * -2000000 wide2", "n / 2 x")
-    got = packed.greatest(df, ["k"], columns)
+    got = packed.greatest(df, ["k"], columns, pack=True)
     plain = df.groupBy("k").agg(F.max(F.struct(*columns)).alias("s")).select("k", *[f"s.{c}" for c in columns])
     assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
 
@@ -204,13 +204,15 @@ def test_last_rows_neither_move_nor_sort_the_log(spark, tmp_path):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        plan = latest(log, ["event_name", "level"], ["event_name", "level"])._jdf.queryExecution().executedPlan().toString()
+        plans = [latest(log, ["event_name", "level"], ["event_name", "level"], pack=p)._jdf.queryExecution().executedPlan()
+                 .toString().splitlines() for p in (True, None)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
-    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(user_id" in line]
-    above = plan.splitlines()[plan.splitlines().index(moved[0]) + 1]
-    assert len(moved) == 1 and "partial_max" in above
+    for plan in plans:
+        moved = [k for k, line in enumerate(plan) if "Exchange hashpartitioning(user_id" in line]
+        assert len(moved) == 1 and "partial_max" in plan[moved[0] + 1]
+        assert not any("SortMergeJoin" in line for line in plan)
+    assert not any("Sort" in line for line in plans[0] if "user_id" in line)
 
 
 def test_hot_keys_are_those_over_the_limit(spark):
