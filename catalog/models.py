@@ -17,10 +17,10 @@ from catalog.base import check, r6
 from catalog.features import matrix_sql, wide
 from stayline.functions import labels
 from stayline.operators import chunks as ch, evaluate
-from stayline.plans import matrices as mx, profile, scoring, training
+from stayline.plans import matrices as mx, path, profile, scoring, training, trees
 from stayline.plans.scoring import Change
 from stayline.session import fresh_path, stage
-from stayline.sources.splits import TEST, TRAIN, with_split
+from stayline.sources.splits import TEST, TRAIN, with_class_folds, with_class_split, with_split
 
 FIRST = TEST_MODELS[0]
 FIRST_CHUNKS = TEST_CHUNKS[:1]
@@ -136,11 +136,6 @@ def _solved(model, train: DataFrame) -> bool:
     return training.steepest(model, train).first()["miss"] < SOLVED
 
 
-def _rows_in_range(scored: DataFrame) -> DataFrame:
-    inside = F.col("score").between(0, 1) & F.col("prediction").isin(0, 1)
-    return scored.agg(F.count("*").alias("n"), F.sum("y").alias("positives"), F.count_if(inside).alias("in_range"))
-
-
 @check("m5_multinomial", _HELD_ROWS % "1 AS solved", _DATA)
 def m5(t: Tables) -> DataFrame:
     train, test = train_test(first_data(t))
@@ -158,16 +153,54 @@ def m6(t: Tables) -> DataFrame:
         F.count("*").alias("n"), F.sum("y").alias("positives"), F.lit(_solved(model, train)).alias("solved"))
 
 
-@check("m7_forest_grid", _HELD_ROWS % "count(*) AS in_range", _DATA)
+_CLASS_FOLDS = f"""
+tr AS (SELECT id, y, (row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS VARCHAR)), id) - 1) % 5 AS fold
+       FROM dat WHERE NOT ({_HELD}))"""
+
+
+@check("m6_class_folds", "SELECT id, y, fold FROM tr", f"{_DATA},{_CLASS_FOLDS}")
+def m6_folds(t: Tables) -> DataFrame:
+    """The folds of the searches: every class dealt evenly."""
+    return with_class_folds(train_test(first_data(t))[0].select("id", "y"), training.FOLDS)
+
+
+@check("m6_lasso_path", "SELECT c, k AS fold, n, held, 1 AS solved FROM (" + " UNION ALL ".join(
+    f"SELECT {k} AS k, count(*) FILTER (WHERE fold <> {k}) AS n, count(*) FILTER (WHERE fold = {k}) AS held, "
+    f"count(DISTINCT y) FILTER (WHERE fold <> {k}) AS classes FROM tr" for k in range(training.FOLDS))
+    + ") CROSS JOIN (VALUES " + ", ".join(f"({c}::DOUBLE)" for c in training.LASSO_C) + ") AS g(c) WHERE classes > 1",
+    f"{_DATA},{_CLASS_FOLDS}")
+def m6_path(t: Tables) -> DataFrame:
+    """All 35 fits of the search, in shared passes: each meets its optimality conditions."""
+    train = with_class_folds(train_test(first_data(t))[0], training.FOLDS)
+    found = path.lasso_path(train, FIRST_FEATURES, training.LASSO_C, training.FOLDS)
+    rows = [(f.c, f.fold, f.rows, f.held, f.solved) for f in found.fits]
+    return t.spark.createDataFrame(rows, "c double, fold int, n long, held long, solved boolean")
+
+
+@check("s8_class_split", """
+SELECT id, y, CASE WHEN rk <= round(0.75 * n) THEN 'train' ELSE 'test' END AS split
+FROM (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS VARCHAR)), id) AS rk,
+             count(*) OVER (PARTITION BY y) AS n FROM dat)""", _DATA)
+def s8_class_split(t: Tables) -> DataFrame:
+    return with_class_split(first_data(t).select("id", "y"))
+
+
+def _recomputed(model, scored: DataFrame) -> DataFrame:
+    """Rows, positives, and the rows whose class and score the nodes alone repeat."""
+    nodes = stage(trees.nodes(scored.sparkSession, model), "nodes")
+    again = trees.scored(scored.withColumnsRenamed({"prediction": "p", "score": "s"}), nodes, FIRST_FEATURES)
+    same = (F.col("prediction") == F.col("p")) & (F.abs(F.col("score") - F.col("s")) < 1e-9)
+    return again.agg(F.count("*").alias("n"), F.sum("y").alias("positives"), F.count_if(same).alias("same"))
+
+
+@check("m7_forest_grid", _HELD_ROWS % "count(*) AS same", _DATA)
 def m7(t: Tables) -> DataFrame:
-    _, scored = _held_out(t, lambda df, f: training.tune_forest(df, f).model)
-    return _rows_in_range(scored)
+    return _recomputed(*_held_out(t, lambda df, f: training.tune_forest(df, f).model))
 
 
-@check("m8_forest", _HELD_ROWS % "count(*) AS in_range", _DATA)
+@check("m8_forest", _HELD_ROWS % "count(*) AS same", _DATA)
 def m8(t: Tables) -> DataFrame:
-    _, scored = _held_out(t, partial(training.fit_forest, balanced=True))
-    return _rows_in_range(scored)
+    return _recomputed(*_held_out(t, partial(training.fit_forest, balanced=True)))
 
 
 @check("m9_grid_report", "SELECT * FROM (VALUES " + ", ".join(
@@ -178,6 +211,16 @@ def m9(t: Tables) -> DataFrame:
     return report.select("params", F.col("score").between(0, 1).alias("in_range"))
 
 
+@check("m9_forest_report", "SELECT params, 1 AS in_range FROM (VALUES " + ", ".join(
+    f"('max_features={f}, min_samples_leaf={m}')" for f in training.FOREST_FEATURES for m in training.FOREST_LEAVES)
+    + ") AS tried(params)")
+def m9_forest(t: Tables) -> DataFrame:
+    """Every setting of the forest grid, searched with few trees and two folds."""
+    train, _ = train_test(first_data(t))
+    tuned = training.tune_forest(train, FIRST_FEATURES, search_trees=10, final_trees=10, folds=2)
+    return tuned.report(t.spark).select("params", F.col("score").between(0, 1).alias("in_range"))
+
+
 # A fixed rule stands in for a model, so that every metric has a SQL form.
 _RULE = """
 rule AS (SELECT id, CASE WHEN levels_completed >= 13 THEN 1 ELSE 0 END AS y,
@@ -250,20 +293,29 @@ def m13(t: Tables) -> DataFrame:
     return evaluate.majority_scores(rule_scores(t))
 
 
-@check("m14_ranked_features", "SELECT 1 AS class, unnest([" + ", ".join(f"'{f}'" for f in FIRST_FEATURES) + "]) AS feature")
+@check("m14_ranked_features", "SELECT 1 AS class, 1 AS same, unnest([" + ", ".join(f"'{f}'" for f in FIRST_FEATURES) + "]) AS feature")
 def m14(t: Tables) -> DataFrame:
+    """Ranked importances, and whether the sums over the nodes give the same."""
     model, _ = _held_out(t, training.fit_forest)
-    return training.ranked_weights(t.spark, model).where("abs_weight >= 0").select("class", "feature")
+    again = trees.importances(stage(trees.nodes(t.spark, model), "nodes"), FIRST_FEATURES)
+    both = training.ranked_weights(t.spark, model).join(again.withColumnRenamed("weight", "recomputed"), "feature")
+    same = (F.col("abs_weight") == F.abs("weight")) & (F.abs(F.col("weight") - F.col("recomputed")) <= 0.5001e-4)
+    return both.select("class", "feature", same.alias("same"))
 
 
-@check("m15_random_control", """
-SELECT CAST(sum(y) AS BIGINT) AS positives, count(*) - CAST(sum(y) AS BIGINT) AS negatives, 1 AS near_half FROM dat""", _DATA)
+@check("m15_random_control", f"""
+SELECT CAST(p AS BIGINT) AS positives, CAST(n AS BIGINT) AS negatives,
+       {r6('abs((ranks - p * (p + 1) / 2.0) / (p::DOUBLE * n) - 0.5)', 'off_half')}
+FROM (SELECT sum(y) AS p, sum(1 - y) AS n, sum(CASE WHEN y = 1 THEN rk ELSE 0 END) AS ranks FROM (
+  SELECT y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rk
+  FROM (SELECT y, substr(md5(CAST(id AS VARCHAR) || ':{training.SEED}'), 1, 8) AS x FROM dat)))""", _DATA)
 def m15(t: Tables) -> DataFrame:
-    """A model of one random feature, on all rows: its area stays within 0.3 of a half."""
+    """A model of one random feature, on all rows. It can only turn the feature's order
+    round or keep it, so its area is as far from a half as the feature's own."""
     rows = stage(training.random_control(first_data(t)), "control")
     model = training.fit_weighted_logistic(train_test(rows)[0], ["random"])
     return evaluate.area_under_roc(training.predict(model, rows)).select(
-        "positives", "negatives", F.col("auc").between(0.2, 0.8).alias("near_half"))
+        "positives", "negatives", F.round(F.abs(F.col("auc") - 0.5), 6).alias("off_half"))
 
 
 def _point_ctes() -> str:
@@ -347,12 +399,20 @@ def m17(t: Tables) -> DataFrame:
 
 
 @check("m17_scenario_counts", f"""
-SELECT scenario, n, 1 AS in_range FROM (VALUES ('unchanged'), {', '.join(f"('{n}')" for n in SCENARIOS)}) AS s(scenario)
+SELECT scenario, n, n AS same, 1 AS fewer FROM (VALUES ('unchanged'), {', '.join(f"('{n}')" for n in SCENARIOS)}) AS s(scenario)
 CROSS JOIN (SELECT count(*) AS n FROM dat WHERE {_HELD})""", _DATA)
 def m17_counts(t: Tables) -> DataFrame:
+    """Scenarios by the trees they can move, against scoring every changed row anew."""
     train, test = train_test(first_data(t))
-    counts = scoring.scenario_counts(training.fit_forest(train, FIRST_FEATURES), test, SCENARIOS)
-    return counts.select("scenario", "n", F.col("continuing").between(0, F.col("n")).alias("in_range"))
+    model = training.fit_forest(train, FIRST_FEATURES)
+    nodes = stage(trees.nodes(t.spark, model), "nodes")
+    quick = trees.scored_scenarios(test, nodes, FIRST_FEATURES, SCENARIOS).select(
+        "scenario", "id", F.col("prediction").alias("p"), F.col("score").alias("s"), "rescored")
+    full = training.predict(model, scoring.with_scenarios(test, SCENARIOS)).select("scenario", "id", "prediction", "score")
+    same = (F.col("prediction") == F.col("p")) & (F.abs(F.col("score") - F.col("s")) < 1e-9)
+    fewer = (F.col("scenario") == scoring.UNCHANGED) | (F.max("rescored") < model.stages[-1].getNumTrees)
+    return quick.join(full, ["scenario", "id"]).groupBy("scenario").agg(
+        F.count("*").alias("n"), F.count_if(same).alias("same"), fewer.alias("fewer"))
 
 
 @check("m18_all_points", f"""

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from stayline.functions.elapsed import ratio
 from stayline.functions.labels import continues
 from stayline.operators.clean import complete_rows
+from stayline.plans.path import lasso_path
+from stayline.sources.splits import with_class_folds
 
 # Tuning grids.
 LASSO_C = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
@@ -53,11 +55,6 @@ def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
     return counts.withColumn("weight", ratio(total, number * F.col("n")))
 
 
-def with_folds(df: DataFrame, folds: int = FOLDS, key: str = "id") -> DataFrame:
-    """Add a reproducible fold number per user."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
-
-
 def feature_stages(features: Sequence[str], scale: bool) -> list:
     """Assembler, and a scaler whose statistics stay with the saved model."""
     target = "assembled" if scale else "features"
@@ -174,21 +171,17 @@ def tune_lasso(
     grid_c: Sequence[float] = LASSO_C,
     folds: int = FOLDS,
     max_iter: int = 100,
-    parallelism: int = 4,
 ) -> Tuned:
-    """L1 logistic regression, strength chosen by cross-validation, refitted on all rows."""
-    n = train.count()
-    # Strengths are scaled by the rows a fold trains on.
-    fold_rows = max(int(n * (folds - 1) / folds), 1)
-    candidates = [_lasso(c, fold_rows, max_iter) for c in grid_c]
-    prepare = feature_stages(features, scale=True)
-    found = _fold_scores(candidates, prepare, with_folds(train, folds), folds, parallelism)
-    best = _best(found)
+    """L1 logistic regression, strength chosen by cross-validation over folds of even
+    classes, all fits in shared passes, and refitted on all rows."""
+    found = lasso_path(with_class_folds(train, folds), features, grid_c, folds)
+    scores = [found.accuracy(c) for c in grid_c]
+    best = _best(scores)
     final = Pipeline(
-        stages=[*feature_stages(features, scale=True), _lasso(grid_c[best], n, max_iter)]
+        stages=[*feature_stages(features, scale=True), _lasso(grid_c[best], train.count(), max_iter)]
     ).fit(train)
-    search = [{"params": {"C": c}, "score": s} for c, s in zip(grid_c, found, strict=True)]
-    return Tuned(final, {"C": grid_c[best]}, found[best], search)
+    search = [{"params": {"C": c}, "score": s} for c, s in zip(grid_c, scores, strict=True)]
+    return Tuned(final, {"C": grid_c[best]}, scores[best], search)
 
 
 def tune_forest(
@@ -213,7 +206,7 @@ def tune_forest(
 
     prepare = feature_stages(features, scale=False)
     candidates = [forest(s, search_trees) for s in settings]
-    found = _fold_scores(candidates, prepare, with_folds(train, folds), folds, parallelism)
+    found = _fold_scores(candidates, prepare, with_class_folds(train, folds), folds, parallelism)
     best = _best(found)
     model = Pipeline(stages=[*prepare, forest(settings[best], final_trees)]).fit(train)
     search = [{"params": p, "score": s} for p, s in zip(settings, found, strict=True)]
@@ -236,8 +229,10 @@ def fit_forest(
 
 
 def random_control(df: DataFrame, seed: int = SEED) -> DataFrame:
-    """The labels beside one random feature, for a control model."""
-    return df.select("id", "y", F.rand(seed).alias("random"))
+    """The labels beside one random feature, for a control model. It is drawn from the id,
+    so it does not depend on how rows are dealt to tasks."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), 1, 8)
+    return df.select("id", "y", (F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 32))).alias("random"))
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TRAIN, TEST = "train", "test"
 
@@ -24,6 +24,47 @@ def with_split(
     return df.withColumn("split", F.when(_share(F.col(key), train, salt), TRAIN).otherwise(TEST))
 
 
+#: Rows of one slice of the hash range, ranked by one task.
+SLICE_ROWS = 100_000
+
+
+def class_ranks(df: DataFrame, label: str, key: str = "id", salt: str = "", slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Add ``_rank``, from 0, of each row among those of its class by a hash of the key, and
+    ``_size``, the rows of the class.
+
+    The hash range is cut into slices of about ``slice_rows`` rows. Rows before a slice are
+    known from counts per slice, so a class is never sorted as a whole, however large. Rows
+    of one key go by all other columns; a null label is a class, a null key hashes as text.
+    """
+    digits, total = 1, df.count()
+    while 16**digits * slice_rows < total:
+        digits += 1
+    rest = [c for c in df.columns if c not in (key, label)]
+    text = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(salt))
+    placed = df.withColumn("_place", F.md5(text)).withColumn("_slice", F.substring("_place", 1, digits))
+    counts = placed.groupBy(F.col(label).alias("_class"), F.col("_slice").alias("_of")).agg(F.count("*").alias("_n"))
+    within = Window.partitionBy("_class")
+    before = F.sum("_n").over(within.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
+    sums = counts.select("_class", "_of", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(within).alias("_size"))
+    inside = F.row_number().over(Window.partitionBy(label, "_slice").orderBy("_place", key, *rest)) - 1
+    ranked = placed.withColumn("_inside", inside)
+    joined = ranked.join(sums, ranked[label].eqNullSafe(sums["_class"]) & (ranked["_slice"] == sums["_of"]))
+    return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).alias("_rank"), "_size")
+
+
+def with_class_folds(df: DataFrame, folds: int, label: str = "y", key: str = "id", salt: str = "") -> DataFrame:
+    """Add ``fold``: every class is dealt evenly, so its folds differ by one row at most."""
+    ranked = class_ranks(df, label, key, salt)
+    return ranked.select(*df.columns, (F.col("_rank") % folds).cast("int").alias("fold"))
+
+
+def with_class_split(df: DataFrame, label: str = "y", key: str = "id", train: float = 0.75, salt: str = "") -> DataFrame:
+    """Add ``split``: of every class the given share, to the nearest row, is for training."""
+    ranked = class_ranks(df, label, key, salt)
+    first = F.col("_rank") < F.round(F.col("_size") * F.lit(float(train)))
+    return ranked.select(*df.columns, F.when(first, TRAIN).otherwise(TEST).alias("split"))
+
+
 def random_split(df: DataFrame, seed: int, train: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """Seeded row split; use the hash split where rows of a user must stay together."""
     first, second = df.randomSplit([train, 1.0 - train], seed)

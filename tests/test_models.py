@@ -5,9 +5,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from stayline.operators import evaluate
-from stayline.plans import scoring, training
+from stayline.plans import path, scoring, training, trees
 from stayline.plans.scoring import Change
 from stayline.session import stage
+from stayline.sources import splits
 
 # tn, fp, fn, tp and the published accuracy, precision, recall, F1.
 PUBLISHED = [
@@ -124,7 +125,85 @@ def test_scenarios_move_the_prediction(planted, forest):
     assert n["none"] == 0 and n["all"] == planted.count() and n["same"] == n["unchanged"]
 
 
-def test_folds_are_reproducible(planted):
-    first = training.with_folds(planted, 5)
-    assert first.select("fold").distinct().count() == 5
-    assert first.exceptAll(training.with_folds(planted, 5)).count() == 0
+def test_folds_deal_every_class_evenly(planted):
+    first = splits.with_class_folds(planted, 5)
+    counts = [[r["count"] for r in first.where(F.col("y") == y).groupBy("fold").count().collect()] for y in (0, 1)]
+    assert all(len(c) == 5 and max(c) - min(c) <= 1 for c in counts)
+    assert first.exceptAll(splits.with_class_folds(planted, 5)).count() == 0
+    assert first.exceptAll(splits.with_class_folds(planted.repartition(7), 5)).count() == 0
+
+
+@pytest.mark.parametrize("slice_rows", [1, 7, 100_000])
+def test_class_ranks_equal_a_window(spark, slice_rows):
+    rows = [(k % 90, [None, 0, 1, 1][k % 4], f"r{k}") for k in range(300)] + [(None, 1, "a"), (None, 1, "b")]
+    df = spark.createDataFrame(rows, "id int, y int, v string").repartition(4)
+    order = "order by md5(concat(coalesce(string(id), ''), 's')), id, v"
+    plain = df.selectExpr("*", f"row_number() over (partition by y {order}) - 1L r", "count(*) over (partition by y) n")
+    got = splits.class_ranks(df, "y", salt="s", slice_rows=slice_rows)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, plain.collect())))
+    assert splits.class_ranks(df.limit(0), "y").count() == 0
+
+
+def test_split_takes_the_share_of_every_class(spark):
+    df = spark.range(1000).selectExpr("id", "if(id % 10 = 0, 1, 0) y")
+    sides = {(r.y, r.split): r["count"] for r in splits.with_class_split(df).groupBy("y", "split").count().collect()}
+    assert sides == {(0, "train"): 675, (0, "test"): 225, (1, "train"): 75, (1, "test"): 25}
+
+
+def test_path_is_optimal_and_equals_single_fits(planted):
+    folded = splits.with_class_folds(planted.withColumn("flat", F.lit(2.0)), 5)
+    found = path.lasso_path(folded, [*FEATURES, "flat"], training.LASSO_C, 5)
+    assert len(found.fits) == 35 and all(f.solved for f in found.fits)
+    assert found.passes < 35
+    assert all(f.coefficients[2] == 0 for f in found.fits)
+    whole = path.lasso_path(folded, FEATURES, (0.05, 10.0), 5, held_out=False)
+    for fit in whole.fits:
+        single = training.Pipeline(stages=[*training.feature_stages(FEATURES, True), training._lasso(fit.c, fit.rows, 500)]).fit(planted)
+        assert single.stages[-1].coefficients.toArray() == pytest.approx(fit.coefficients, rel=0.01, abs=1e-3)
+        assert single.stages[-1].intercept == pytest.approx(fit.intercept, rel=0.01, abs=1e-3)
+    one = found.fits[4]
+    held = folded.where(F.col("fold") == one.fold)
+    assert one.held == held.count() and one.right > 0.7 * one.held
+
+
+def test_path_leaves_out_folds_of_one_class(spark):
+    df = spark.createDataFrame([(0, 0, 1.0), (0, 0, 2.0), (1, 1, 3.0), (1, 1, 4.0)], "y int, fold int, a double")
+    found = path.lasso_path(df, ["a"], (1.0,), 2)
+    assert found.fits == [] and found.accuracy(1.0) == 0.0
+
+
+def test_nodes_repeat_scores_and_importances(spark, planted, forest):
+    nodes = stage(trees.nodes(spark, forest), "nodes")
+    assert nodes.select("tree").distinct().count() == 10 and trees.depth(nodes) <= 4
+    ours = {r.id: (r.prediction, r.score) for r in trees.scored(planted, nodes, FEATURES).collect()}
+    for r in training.predict(forest, planted).collect():
+        assert ours[r.id][0] == r.prediction and ours[r.id][1] == pytest.approx(r.score, abs=1e-12)
+    weights = {r.feature: r.weight for r in trees.importances(nodes, FEATURES).collect()}
+    assert weights == pytest.approx(dict(training.feature_weights(forest)), abs=1e-12)
+
+
+def test_a_forest_of_leaves(spark):
+    flat = spark.range(20).selectExpr("id", "int(id % 4 = 0) y", "1.0D signal", "2.0D noise")
+    model = training.fit_forest(flat, FEATURES, trees=3)
+    nodes = trees.nodes(spark, model)
+    assert trees.depth(nodes) == 0
+    assert {r.weight for r in trees.importances(nodes, FEATURES).collect()} == {0.0}
+    expected = [r.score for r in training.predict(model, flat).collect()]
+    assert [r.score for r in trees.scored(flat, nodes, FEATURES).collect()] == pytest.approx(expected)
+
+
+def test_scenarios_walk_only_trees_they_can_move(spark, planted):
+    model = training.fit_forest(planted, FEATURES, trees=12, max_depth=1)
+    nodes = stage(trees.nodes(spark, model), "nodes")
+    scenarios = {"s": [Change("signal", "times", 0.7)], "n": [Change("noise", "set", 0.1)], "both": [
+        Change("signal", "mean"), Change("noise", "times", 2.0)]}
+    index = {f: {r.tree for r in trees.feature_trees(nodes).collect() if r.feature == f} for f in FEATURES}
+    quick = trees.scored_scenarios(planted, nodes, FEATURES, scenarios)
+    walked = {r.scenario: r.rescored for r in quick.select("scenario", "rescored").distinct().collect()}
+    assert walked == {"unchanged": 12, "s": len(index["signal"]), "n": len(index["noise"]), "both": len(index["signal"] | index["noise"])}
+    assert len(index["noise"]) < 12
+    full = training.predict(model, scoring.with_scenarios(planted, scenarios))
+    both = quick.select("scenario", "id", "prediction", "score").exceptAll(full.select("scenario", "id", "prediction", "score"))
+    assert both.count() == 0
+    counts = {r.scenario: r.continuing for r in trees.scenario_counts(planted, nodes, FEATURES, scenarios).collect()}
+    assert counts == {r.scenario: r.continuing for r in scoring.scenario_counts(model, planted, scenarios).collect()}
