@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from catalog.adapter import DATA_THROUGH, OPENING_LEVELS, Tables
 from catalog.base import check, days, r6, us
 from catalog.joins import _COUNTS
+from stayline.operators import frequency as fq
 from stayline.plans import reports
 
 _NAMES = ", ".join(f"'{n}'" for n in OPENING_LEVELS)
@@ -77,6 +78,44 @@ def e4_histogram(t: Tables) -> DataFrame:
     return reports.inactivity(t.levels, DATA_THROUGH, 10, 0, 150)
 
 
+def growing_sql(table: str, column: str, bins: int, fine: int) -> str:
+    """The least power of two, not below the widest cell, that needs ``bins`` bins at most."""
+    count = "floor(hi / pow(2, p)) - floor(lo / pow(2, p)) + 1"
+    return f"""
+SELECT CAST(floor(x / w) - floor(lo / w) + 1 AS INT) AS bin, {r6('floor(x / w) * w', 'bin_from')},
+       {r6('floor(x / w) * w + w', 'bin_to')}, count(*) AS n
+FROM (SELECT {column}::DOUBLE AS x FROM {table}) LEFT JOIN (
+  SELECT lo, pow(2, min(p)) AS w FROM (
+    SELECT lo, hi, unnest(range(-40, 60)) AS p,
+           list_max(list_filter(range(-40, 60), lambda e: pow(2, e) <= greatest(abs(lo), abs(hi)))) AS octave
+    FROM (SELECT min({column})::DOUBLE AS lo, max({column})::DOUBLE AS hi FROM {table}))
+  WHERE p >= octave - {fine} AND {count} <= {bins} GROUP BY lo) ON x IS NOT NULL
+GROUP BY ALL"""
+
+
+@check("e4_inactivity_growing", growing_sql("gaps", "days_gap", 12, 5), _GAPS)
+def e4_growing(t: Tables) -> DataFrame:
+    return reports.inactivity(t.levels, DATA_THROUGH, 12)
+
+
+@check("e5_levels_growing", growing_sql("us", "levels_completed", 10, 5))
+def e5_growing(t: Tables) -> DataFrame:
+    return reports.levels_distribution(t.users, 10)
+
+
+@check("e5_levels_outside", """
+SELECT CASE WHEN levels_completed < 10 THEN 0 WHEN levels_completed > 15 THEN 6 ELSE least(levels_completed - 9, 5) END AS bin,
+       CASE WHEN bin > 0 THEN (9 + bin)::DOUBLE END AS bin_from, CASE WHEN bin < 6 THEN (10 + bin)::DOUBLE END AS bin_to, count(*) AS n
+FROM us GROUP BY ALL""")
+def e5_outside(t: Tables) -> DataFrame:
+    return reports.levels_distribution(t.users, 5, 10, 15, outside=True)
+
+
+@check("a15_value_growing", growing_sql("events", "value", 40, 7))
+def a15_growing(t: Tables) -> DataFrame:
+    return fq.growing_histogram(t.raw("events"), "value", 40)
+
+
 @check("e5_levels_all", histogram_sql("us", "levels_completed", 10, 6, 30))
 def e5(t: Tables) -> DataFrame:
     return reports.levels_distribution(t.users, 10, 6, 30)

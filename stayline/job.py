@@ -14,6 +14,7 @@ from __future__ import annotations
 import argparse
 import json
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -146,8 +147,12 @@ def what_if(
     return spark.read.parquet(path)
 
 
-def describe(spark: SparkSession, data: str, out: str, payload: int = 4, through: str | None = None) -> None:
-    """All descriptive reports; ``through`` is the day the data was pulled."""
+def describe(
+    spark: SparkSession, data: str, out: str, payload: int = 4, through: str | None = None, bins: int = 50,
+    mix_levels: Sequence[int] = (60,),
+) -> None:
+    """All descriptive reports; ``through`` is the day the data was pulled. Histograms cover
+    all values, in at most ``bins`` bins; ``mix_levels`` are the ordinals whose mix is told."""
     users = stage(clean_users(csv.read_users(spark, f"{data}/users.csv")), "users")
     levels = stage(clean_levels(csv.read_levels(spark, f"{data}/levels.csv")), "levels")
     events = clean_events(csv.read_events(spark, f"{data}/events.csv", payload))
@@ -162,11 +167,12 @@ def describe(spark: SparkSession, data: str, out: str, payload: int = 4, through
         "level_popularity": reports.level_popularity(levels, campaigns),
         "unpaid_popularity": reports.unpaid_popularity(users, levels, campaigns),
         "days_since_last": reports.days_since_last(levels, day),
-        "inactivity": reports.inactivity(levels, day, bins=50, low=0, high=365),
-        "levels_distribution": reports.levels_distribution(users, bins=50, low=0, high=1000),
+        "inactivity": reports.inactivity(levels, day, bins),
+        "levels_distribution": reports.levels_distribution(users, bins),
         "country_shares": reports.country_shares(users),
         "age_shares": reports.age_shares(users),
-        "level_mix": reports.level_mix(numbered, 60),
+        "level_mix": reduce(DataFrame.unionByName, [
+            reports.level_mix(numbered, n).withColumn("level_num", F.lit(n)) for n in mix_levels]),
         "language_mix": reports.language_mix(levels, opening),
         "latest_activity": reports.latest_activity(users, events),
     }
@@ -185,6 +191,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     parser.add_argument("--payload", type=int, default=4, help="payload columns per event line")
     parser.add_argument("--thresholds", type=int, nargs="*", default=None, help="default: all points")
     parser.add_argument("--through", help="day of the data pull, for inactivity")
+    parser.add_argument("--bins", type=int, default=50, help="most bins of a described histogram")
+    parser.add_argument("--mix-levels", type=int, nargs="+", default=[60], help="ordinals whose level mix is described")
     parser.add_argument("--scenarios", help='JSON: {"name": [{"feature": .., "op": .., "value": ..}]}')
     args = parser.parse_args(argv)
     spark = configure(spark or SparkSession.builder.appName("stayline").getOrCreate())
@@ -195,7 +203,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         "score": lambda: score(spark, args.out, args.family, args.split, keys),
         "whatif": lambda: [
             what_if(spark, args.out, family, args.split, keys, json.loads(args.scenarios)) for family in args.family],
-        "describe": lambda: describe(spark, args.data, args.out, args.payload, args.through),
+        "describe": lambda: describe(
+            spark, args.data, args.out, args.payload, args.through, args.bins, args.mix_levels),
     }
     steps[args.step]()
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stayline.functions.elapsed import ratio
 from stayline.operators.ordered import sum_below
+from stayline.session import stage
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -102,15 +103,62 @@ def first_rows(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def histogram(df: DataFrame, column: str, bins: int, low: float, high: float) -> DataFrame:
-    """Rows per equal-width bin; values outside the range go, the top edge is in the last bin."""
+def histogram(df: DataFrame, column: str, bins: int, low: float, high: float, outside: bool = False) -> DataFrame:
+    """Rows per equal-width bin; the top edge is in the last bin.
+
+    Values outside the range go, or with ``outside`` are counted too: below it in bin 0,
+    above it in bin ``bins`` + 1, which have one edge each, and nulls and NaN in a null bin.
+    """
     x = F.col(column).cast("double")
     low, high = F.lit(float(low)), F.lit(float(high))
     number = F.least(F.width_bucket(x, low, high, F.lit(bins)), F.lit(bins)).cast("int")
+    if outside:
+        number = F.when(x.isNull() | F.isnan(x), None).when(x < low, 0).when(x > high, bins + 1).otherwise(number)
     width = (high - low) / F.lit(float(bins))
-    return (
-        df.where(x.between(low, high))
-        .groupBy(number.alias("bin")).agg(F.count("*").alias("n"))
-        .select("bin", (low + width * (F.col("bin") - 1)).alias("bin_from"),
-                (low + width * F.col("bin")).alias("bin_to"), "n")
-    )
+    counts = (df if outside else df.where(x.between(low, high))).groupBy(number.alias("bin")).agg(F.count("*").alias("n"))
+    bin_ = F.col("bin")
+    return counts.select(
+        "bin", F.when(bin_ > 0, low + width * (bin_ - 1)).alias("bin_from"),
+        F.when(bin_ <= bins, low + width * bin_).alias("bin_to"), "n")
+
+
+def _octave(size: Column) -> Column:
+    """The power of two at or below a size above zero; set right where the logarithm rounds."""
+    guess = F.floor(F.log2(size))
+    return F.when(F.pow(F.lit(2.0), guess) > size, guess - 1).when(
+        F.pow(F.lit(2.0), guess + 1) <= size, guess + 1).otherwise(guess)
+
+
+def growing_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
+    """Rows per equal-width bin over whatever range the values have, in one pass.
+
+    Bins start at multiples of a width that is a power of two. The pass counts in cells
+    that are narrow where values are small: each octave has the same number of them, at
+    least twice ``bins``. Cells of all octaves nest in the bins of any such width as wide
+    as the widest cell, so the width is chosen afterwards, from the counts: the least one
+    that needs no more than ``bins`` bins. Counts merge by addition, whatever the order,
+    and their number depends on the octaves and not on the rows.
+
+    Every row is counted: nulls, NaN and infinite values in a null bin.
+    """
+    fine = max(bins - 1, 1).bit_length() + 1
+    x = F.col("x")
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    width = F.pow(F.lit(2.0), F.greatest(_octave(F.abs(x)), F.lit(-1000)) - fine)
+    cell = F.when(~finite, None).when(x == 0, F.lit(0.0)).otherwise(F.floor(x / width) * width)
+    cells = df.select(F.col(column).cast("double").alias("x")).groupBy(cell.alias("at")).agg(
+        F.count("*").alias("n"), F.min(F.when(finite, x)).alias("least"), F.max(F.when(finite, x)).alias("most"))
+    # A few thousand rows at most.
+    cells = stage(cells, "cells")
+    ends = cells.agg(F.min("least").alias("low"), F.max("most").alias("high"))
+    size = F.greatest(F.abs("low"), F.abs("high"))
+    powers = F.sequence(F.when(size > 0, F.greatest(_octave(size), F.lit(-1000)) - fine).otherwise(F.lit(0)).cast("int"), F.lit(1024))
+    two = lambda p: F.pow(F.lit(2.0), p)
+    needed = lambda p: F.floor(F.col("high") / two(p)) - F.floor(F.col("low") / two(p)) + 1
+    chosen = ends.where(F.col("low").isNotNull()).select(
+        two(F.get(F.filter(powers, lambda p: needed(p) <= max(bins, 2)), F.lit(0))).alias("width"), "low")
+    joined = cells.join(F.broadcast(chosen), F.col("at").isNotNull(), "left")
+    number = F.floor(F.col("at") / F.col("width")) - F.floor(F.col("low") / F.col("width")) + 1
+    start = F.floor(F.col("at") / F.col("width")) * F.col("width")
+    return joined.groupBy(number.cast("int").alias("bin"), start.alias("bin_from"), (start + F.col("width")).alias("bin_to")).agg(
+        F.sum("n").alias("n"))

@@ -76,15 +76,24 @@ def days_since_last(levels: DataFrame, today: datetime | str) -> DataFrame:
     )
 
 
-def inactivity(levels: DataFrame, today: datetime | str, bins: int, low: float, high: float) -> DataFrame:
-    return fq.histogram(days_since_last(levels, today), "days_gap", bins, low, high)
+def _histogram(df: DataFrame, column: str, bins: int, low: float | None, high: float | None, outside: bool) -> DataFrame:
+    if low is None or high is None:
+        return fq.growing_histogram(df, column, bins)
+    return fq.histogram(df, column, bins, low, high, outside)
 
 
-def levels_distribution(users: DataFrame, bins: int, low: float, high: float,
-                        over: int | None = None, signed_up_only: bool = False) -> DataFrame:
+def inactivity(levels: DataFrame, today: datetime | str, bins: int, low: float | None = None,
+               high: float | None = None, outside: bool = False) -> DataFrame:
+    """Users by days since their last attempt; without a range, over all there are."""
+    return _histogram(days_since_last(levels, today), "days_gap", bins, low, high, outside)
+
+
+def levels_distribution(users: DataFrame, bins: int, low: float | None = None, high: float | None = None,
+                        over: int | None = None, signed_up_only: bool = False, outside: bool = False) -> DataFrame:
+    """Users by levels completed; without a range, over all there are."""
     if over is not None:
         users = clean.over_levels(users, over, signed_up_only)
-    return fq.histogram(users, "levels_completed", bins, low, high)
+    return _histogram(users, "levels_completed", bins, low, high, outside)
 
 
 def country_shares(users: DataFrame, over: int = 300) -> DataFrame:

@@ -470,3 +470,26 @@ def test_language_dummies_have_a_fixed_vocabulary(spark):
     assert got.columns == ["id", *[f"code_language_{x}" for x in ch.LANGUAGES]]
     ones = {r.id: [c for c in got.columns[1:] if r[c]] for r in got.collect()}
     assert ones == {1: ["code_language_python"], 2: ["code_language_java"], 3: [], 4: []}
+
+
+@pytest.mark.parametrize("values,bins,width", [
+    ([0.0, 1, 2, 3, 400], 50, 16.0), ([5.0] * 9, 4, 0.5), ([-3.0, -1, 0, 8], 6, 4.0), ([0.0], 3, 1.0), ([8.0, 7.999999, 16, 4, 2], 9, 2.0),
+    ([2.0**40, 1e-9], 10, 2.0**37), ([-1e300, 1e300, None, float("nan"), float("inf")], 10, None)])
+def test_histograms_grow_to_the_values(spark, values, bins, width):
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in [*values, None]], "v double").repartition(3)
+    got = fq.growing_histogram(df, "v", bins).collect()
+    assert sum(r.n for r in got) == len(values) + 1
+    filled = [r for r in got if r.bin is not None]
+    assert all(1 <= r.bin <= max(bins, 2) for r in filled) and len({r.bin for r in filled}) == len(filled)
+    plain = [v for v in values if v is not None and abs(v) < float("inf")]
+    for r in filled:
+        assert r.n == sum(r.bin_from <= v < r.bin_to for v in plain)
+        assert width is None or r.bin_to - r.bin_from == width
+    assert fq.growing_histogram(df.limit(0), "v", bins).count() == 0
+
+
+def test_histogram_counts_what_lies_outside(spark):
+    df = spark.createDataFrame([(v,) for v in (-5.0, 0.0, 5.0, 10.0, 11.0, None, float("nan"))], "v double")
+    got = fq.histogram(df, "v", 2, 0, 10, outside=True).collect()
+    assert {r.bin: (r.bin_from, r.bin_to, r.n) for r in got} == {
+        0: (None, 0.0, 1), 1: (0.0, 5.0, 1), 2: (5.0, 10.0, 2), 3: (10.0, None, 1), None: (None, None, 2)}
