@@ -18,7 +18,8 @@ from stayline.session import configure, stage
 
 DATA_THROUGH = "2024-02-15"
 OPENING_LEVELS = tuple(f"level-{i}" for i in range(1, 7))
-# Users reach 26 levels at most here, so the third prediction point sits at 18.
+# Users of the event log reach 26 levels at most, so there the third prediction point sits
+# at 18; all points as they are run over the long histories.
 TEST_MODELS = (Model(10, 0, 5), Model(15, 5, 10), Model(18, 10, 15))
 TEST_CHUNKS = (Chunk(5, 0, 5), Chunk(10, 5, 10), Chunk(15, 10, 15))
 
@@ -38,17 +39,43 @@ def _level_name(ordinal: Column, user: Column) -> Column:
 
 @dataclass
 class Tables:
-    """The derived tables of one scale factor."""
+    """The derived tables of one scale factor.
+
+    With ``long`` the event log is made of order lines instead, which gives users about a
+    hundred levels each, so that every prediction point has users of both classes.
+    """
 
     spark: SparkSession
     folder: str
+    long: bool = False
 
     def __post_init__(self) -> None:
         configure(self.spark)
 
     def raw(self, name: str) -> DataFrame:
+        if self.long and name == "events":
+            return self._line_events
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def _line_events(self) -> DataFrame:
+        """Three events per order line: started, won, and a hint or an alert. A user is made
+        of three customers."""
+        lines = self.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+            F.min("l_shipdate").cast("timestamp").alias("day"), F.sum("l_quantity").alias("value"), F.min("l_partkey").alias("part"))
+        order, line = F.col("l_orderkey"), F.col("l_linenumber")
+        third = F.element_at(F.array(*map(F.lit, ("error", "signup", "click"))), (order % 3 + 1).cast("int"))
+        parts = F.array(*[
+            F.struct(F.lit(i).alias("i"), kind.alias("event_type"), wait.cast("long").alias("wait"))
+            for i, (kind, wait) in enumerate(((F.lit("view"), F.lit(0)), (F.lit("purchase"), F.col("value") * 60), (third, F.lit(60))))])
+        owners = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+        seconds = line * 3600 + order % 60 * 60 + F.col("p.wait")
+        return lines.join(owners, "l_orderkey").withColumn("p", F.explode(parts)).select(
+            ((order * 8 + line) * 4 + F.col("p.i")).alias("event_id"),
+            F.timestamp_micros(F.unix_micros("day") + seconds * 1_000_000).alias("ts"),
+            F.floor(F.col("o_custkey") / 3).alias("user_id"), F.col("p.event_type").alias("event_type"), "value",
+            F.format_string('{"k": %d}', F.col("part") % 100).alias("props"))
+
     @cached_property
     def _log(self) -> DataFrame:
         typed = self.raw("events").select(
@@ -144,7 +171,7 @@ class Tables:
     def staged(self) -> Tables:
         """The same tables read back from written files, for jobs that read them many times.
         Each is written when it is first asked for."""
-        return _Staged(self.spark, self.folder)
+        return _Staged(self.spark, self.folder, self.long)
 
     @cached_property
     def order_attempts(self) -> DataFrame:

@@ -66,6 +66,7 @@ fn AS (SELECT user_id, level, min(level_num) AS level_num FROM lvn GROUP BY user
 evn AS (SELECT ev.*, fn.level_num FROM ev LEFT JOIN fn ON ev.user_id = fn.user_id AND ev.level = fn.level),
 spec(chunk, lo, hi) AS (VALUES (5, 0, 5), (10, 5, 10), (15, 10, 15), (30, 15, 30), (60, 30, 60)),
 spec6(chunk, lo, hi) AS (VALUES (6, 0, 6)),
+spec12(chunk, lo, hi) AS (VALUES (12, 0, 12)),
 bounds AS (
   SELECT user_id, chunk, min(created) AS date_started, max(created) AS date_completed,
          count(*) AS victories
@@ -76,6 +77,11 @@ bounds6 AS (
          count(*) AS victories
   FROM evn JOIN spec6 ON level_num >= lo AND level_num < hi
   WHERE event_name = 'Saw Victory' GROUP BY user_id, chunk),
+bounds12 AS (
+  SELECT user_id, chunk, min(created) AS date_started, max(created) AS date_completed,
+         count(*) AS victories
+  FROM evn JOIN spec12 ON level_num >= lo AND level_num < hi
+  WHERE event_name = 'Saw Victory' GROUP BY user_id, chunk),
 """
 
 _CHUNK_CTES = """
@@ -169,7 +175,7 @@ def _prefix() -> str:
     ages = [f"CASE WHEN age = '{a}' THEN 1 ELSE 0 END AS {_dummy('age', a)}" for a in AGES]
     ages.append("CASE WHEN age IS NULL THEN 1 ELSE 0 END AS age_other_age")
     chunk = "".join(
-        _CHUNK_CTES.replace("{s}", s).replace("{shares}", shares) for s in ("", "6")
+        _CHUNK_CTES.replace("{s}", s).replace("{shares}", shares) for s in ("", "6", "12")
     )
     people = _PEOPLE_CTES.replace("{countries}", ",\n         ".join(countries)).replace(
         "{ages}", ",\n         ".join(ages)
@@ -178,6 +184,18 @@ def _prefix() -> str:
 
 
 PREFIX = _prefix()
+LONG_PREFIX = """WITH lines AS (
+  SELECT l_orderkey, l_linenumber, min(l_shipdate) AS day, sum(l_quantity) AS value, min(l_partkey) AS part
+  FROM lineitem GROUP BY ALL),
+line_events AS (
+  SELECT (l_orderkey * 8 + l_linenumber) * 4 + i AS event_id,
+         make_timestamp(epoch_us(day) + (l_linenumber * 3600 + l_orderkey % 60 * 60
+                        + CASE i WHEN 0 THEN 0 WHEN 1 THEN CAST(value * 60 AS BIGINT) ELSE 60 END) * 1000000) AS ts,
+         o_custkey // 3 AS user_id,
+         CASE i WHEN 0 THEN 'view' WHEN 1 THEN 'purchase' ELSE (['error', 'signup', 'click'])[l_orderkey % 3 + 1] END AS event_type,
+         value, '{"k": ' || (part % 100) || '}' AS props
+  FROM lines JOIN orders ON o_orderkey = l_orderkey CROSS JOIN (VALUES (0), (1), (2)) AS x(i)),
+""" + PREFIX.removeprefix("WITH ").replace("FROM events", "FROM line_events")
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -196,16 +214,16 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def check(name: str, sql: str | None = None, ctes: str = "", staged: bool = False):
+def check(name: str, sql: str | None = None, ctes: str = "", staged: bool = False, long: bool = False):
     """Register a query over the derived tables, with its oracle if it has one.
 
     ``ctes`` adds further tables to the shared ones. ``staged`` writes the derived logs
-    once, for queries that read them several times.
+    once, for queries that read them several times. ``long`` takes the long histories.
     """
 
     def register(build: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            tables = Tables(spark, folder)
+            tables = Tables(spark, folder, long)
             return flat(build(tables.staged() if staged else tables))
 
         if name in QUERIES:
@@ -213,7 +231,7 @@ def check(name: str, sql: str | None = None, ctes: str = "", staged: bool = Fals
         QUERIES[name] = run
         if sql is not None:
             extra = f",\n{ctes.strip()}" if ctes else ""
-            ORACLES[name] = f"{PREFIX}{extra}\n{sql.strip()}"
+            ORACLES[name] = f"{LONG_PREFIX if long else PREFIX}{extra}\n{sql.strip()}"
         return build
 
     return register

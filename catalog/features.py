@@ -188,6 +188,11 @@ def _register_files() -> None:
         check(f"c11_user_file_{model.threshold}", matrix_sql(own, newest, shares=True))(file_query)
         check(f"c12_clean_file_{model.threshold}", matrix_sql(own, newest))(clean_query)
         check(f"c13_matrix_{model.threshold}", matrix_sql(upto, newest))(matrix_query)
+        # Users of the event log are too short-lived for the late points.
+        if model.upto > 15:
+            check(f"c11_long_{model.threshold}", matrix_sql(own, newest, shares=True), long=True)(file_query)
+            check(f"c12_long_{model.threshold}", matrix_sql(own, newest), long=True)(clean_query)
+            check(f"c13_long_{model.threshold}", matrix_sql(upto, newest), long=True)(matrix_query)
 
 
 _register_files()

@@ -319,41 +319,63 @@ def m15(t: Tables) -> DataFrame:
 
 
 def _point_ctes() -> str:
-    """Labelled complete rows of every test point with their side of the split."""
+    """Labelled complete rows of every prediction point with their side of the split."""
     parts = []
-    for m in TEST_MODELS:
-        uppers = [c.upper for c in mx.upto_model(m, TEST_CHUNKS)]
-        complete = " AND ".join(f"{f} IS NOT NULL" for f in mx.model_features(m, TEST_CHUNKS))
-        parts.append(f"""SELECT {m.threshold} AS model, id, CASE WHEN levels_completed >= {m.threshold} THEN 1 ELSE 0 END AS y
-  FROM ({matrix_sql(uppers, max(uppers), feat='feat_test')}) WHERE {complete}""")
+    for m in ch.MODELS:
+        uppers = [c.upper for c in mx.upto_model(m)]
+        parts.append((m.threshold, m.threshold, mx.model_features(m), matrix_sql(uppers, max(uppers))))
+    for key, (m, chunk) in scoring.STANDALONE.items():
+        sql = matrix_sql([chunk.upper], chunk.upper, shares=True, feat=f"feat{chunk.upper}")
+        parts.append((key, m.threshold, mx.standalone_features(m, (chunk,)), sql))
+    keys = [p[0] for p in parts]
+    rows = [f"""SELECT {key} AS model, id, CASE WHEN levels_completed >= {threshold} THEN 1 ELSE 0 END AS y
+  FROM ({sql}) WHERE {' AND '.join(f'{f} IS NOT NULL' for f in features)}""" for key, threshold, features, sql in parts]
+    points = ', '.join(f'({k})' for k in keys)
     return f"""
-feat_test AS (SELECT * FROM feat),
-labelled AS ({' UNION ALL '.join(parts)}),
+labelled AS ({' UNION ALL '.join(rows)}),
 sided AS (SELECT *, CASE WHEN substr(md5(CAST(id AS VARCHAR) || 'matrix'), 1, 2) < 'c0' THEN 'train' ELSE 'test' END AS side
           FROM labelled),
 fits AS (SELECT m.model, count(DISTINCT y) FILTER (WHERE side = 'train') > 1 AS fitted
-         FROM (VALUES {', '.join(f'({m.threshold})' for m in TEST_MODELS)}) AS m(model) LEFT JOIN sided ON sided.model = m.model
+         FROM (VALUES {points}) AS m(model) LEFT JOIN sided ON sided.model = m.model
          GROUP BY m.model),
 sides AS (SELECT m.model, s.side, fitted, count(y) AS n, coalesce(CAST(sum(y) AS BIGINT), 0) AS positives
           FROM fits m CROSS JOIN (VALUES ('train'), ('test')) AS s(side)
           LEFT JOIN sided ON sided.model = m.model AND sided.side = s.side GROUP BY m.model, s.side, fitted)"""
 
 
-def _all_points(t: Tables, fit, folder: str | None = None, family: str = "model"):
-    staged = stage(wide(t, TEST_CHUNKS), "wide-users")
-    matrices = mx.model_matrices(staged, TEST_MODELS, TEST_CHUNKS)
-    points = scoring.cumulative_points(TEST_MODELS, TEST_CHUNKS)
+def _all_matrices(t: Tables) -> dict[int, DataFrame]:
+    alone = scoring.STANDALONE
+    staged = stage(wide(t, (*ch.CHUNKS, *[c for _, c in alone.values()])), "wide-users")
+    matrices = mx.model_matrices(staged)
+    for key, (model, chunk) in alone.items():
+        matrices[key] = mx.standalone_matrix(staged, model, (chunk,))
+    return matrices
+
+
+def _all_points(matrices: dict[int, DataFrame], fit, folder: str | None = None, family: str = "model"):
+    """All seven prediction points, fitted, and saved where a folder is given."""
+    points = [*scoring.cumulative_points(), *scoring.standalone_points()]
     return scoring.train_points(matrices, fit, points, folder, family)
 
 
+#: The forest search as in the job, with fewer settings, trees and folds.
+_SMALL_SEARCH = dict(subset_grid=("sqrt",), leaf_grid=(1, 10), search_trees=5, final_trees=20, folds=2)
+
+
 @check("m16_score_saved", """
 SELECT family, model, n, CASE WHEN fitted THEN n ELSE 0 END AS same
-FROM sides CROSS JOIN (VALUES ('forest'), ('multinomial')) AS f(family) WHERE side = 'test'""", _point_ctes())
+FROM sides CROSS JOIN (VALUES ('forest'), ('lasso')) AS f(family) WHERE side = 'test'""", _point_ctes(), long=True)
 def m16(t: Tables) -> DataFrame:
-    """Held-out users whose prediction a saved model repeats, both families, every point."""
+    """Held-out users whose prediction a saved model repeats: both tuned families, every
+    prediction point."""
     folder, parts = fresh_path(t.spark, "models"), []
-    for family, fit in (("forest", training.fit_forest), ("multinomial", training.fit_weighted_logistic)):
-        for key, fitted in _all_points(t, fit, folder, family).items():
+    families = {
+        "forest": lambda df, f: training.tune_forest(df, f, **_SMALL_SEARCH).model,
+        "lasso": lambda df, f: training.tune_lasso(df, f).model,
+    }
+    matrices = {k: stage(m, "matrix") for k, m in _all_matrices(t).items()}
+    for family, fit in families.items():
+        for key, fitted in _all_points(matrices, fit, folder, family).items():
             first = fitted.sides[TEST].select("id", "prediction", "score")
             if fitted.model is None:
                 again = first
@@ -418,8 +440,8 @@ def m17_counts(t: Tables) -> DataFrame:
 @check("m18_all_points", f"""
 SELECT model, side, fitted::INT AS fitted, n::DOUBLE AS n, positives::DOUBLE AS positives,
        {r6('coalesce((CASE WHEN positives > n // 2 THEN positives ELSE n - positives END)::DOUBLE / nullif(n, 0), 0)', 'baseline_accuracy')}
-FROM sides""", _point_ctes())
+FROM sides""", _point_ctes(), long=True)
 def m18(t: Tables) -> DataFrame:
     """The training report: both sides of every point, with or without a model."""
-    report = scoring.training_report(_all_points(t, training.fit_forest))
+    report = scoring.training_report(_all_points(_all_matrices(t), training.fit_forest))
     return report.select("model", "side", "fitted", "n", "positives", "baseline_accuracy")
