@@ -59,8 +59,12 @@ class Tables:
 
     @cached_property
     def _line_events(self) -> DataFrame:
-        """Three events per order line: started, won, and a hint or an alert. A user is made
-        of three customers."""
+        """Three events per order line: started, won, and a hint or an alert.
+
+        Every third user has the lines of three customers, about a hundred. The others have
+        a few neighbouring orders of customers with odd keys, one to five parts of about
+        six lines.
+        """
         lines = self.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
             F.min("l_shipdate").cast("timestamp").alias("day"), F.sum("l_quantity").alias("value"), F.min("l_partkey").alias("part"))
         order, line = F.col("l_orderkey"), F.col("l_linenumber")
@@ -69,11 +73,14 @@ class Tables:
             F.struct(F.lit(i).alias("i"), kind.alias("event_type"), wait.cast("long").alias("wait"))
             for i, (kind, wait) in enumerate(((F.lit("view"), F.lit(0)), (F.lit("purchase"), F.col("value") * 60), (third, F.lit(60))))])
         owners = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+        group = F.floor(order / 20)
+        short = (F.col("o_custkey") % 2 == 1) & (order % 20 < 4 * (group % 5 + 1))
+        user = F.when(short, 3 * F.floor(group / 2) + 1 + group % 2).otherwise(3 * F.floor(F.col("o_custkey") / 3))
         seconds = line * 3600 + order % 60 * 60 + F.col("p.wait")
         return lines.join(owners, "l_orderkey").withColumn("p", F.explode(parts)).select(
             ((order * 8 + line) * 4 + F.col("p.i")).alias("event_id"),
             F.timestamp_micros(F.unix_micros("day") + seconds * 1_000_000).alias("ts"),
-            F.floor(F.col("o_custkey") / 3).alias("user_id"), F.col("p.event_type").alias("event_type"), "value",
+            user.alias("user_id"), F.col("p.event_type").alias("event_type"), "value",
             F.format_string('{"k": %d}', F.col("part") % 100).alias("props"))
 
     @cached_property

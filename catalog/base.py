@@ -191,7 +191,8 @@ line_events AS (
   SELECT (l_orderkey * 8 + l_linenumber) * 4 + i AS event_id,
          make_timestamp(epoch_us(day) + (l_linenumber * 3600 + l_orderkey % 60 * 60
                         + CASE i WHEN 0 THEN 0 WHEN 1 THEN CAST(value * 60 AS BIGINT) ELSE 60 END) * 1000000) AS ts,
-         o_custkey // 3 AS user_id,
+         CASE WHEN o_custkey % 2 = 1 AND l_orderkey % 20 < 4 * (l_orderkey // 20 % 5 + 1)
+              THEN 3 * (l_orderkey // 20 // 2) + 1 + l_orderkey // 20 % 2 ELSE 3 * (o_custkey // 3) END AS user_id,
          CASE i WHEN 0 THEN 'view' WHEN 1 THEN 'purchase' ELSE (['error', 'signup', 'click'])[l_orderkey % 3 + 1] END AS event_type,
          value, '{"k": ' || (part % 100) || '}' AS props
   FROM lines JOIN orders ON o_orderkey = l_orderkey CROSS JOIN (VALUES (0), (1), (2)) AS x(i)),

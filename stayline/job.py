@@ -107,18 +107,24 @@ def _labelled_point(spark: SparkSession, out: str, split: str, point: scoring.Po
 
 
 def score(spark: SparkSession, out: str, families: list[str], split: str, keys: list[int]) -> None:
-    """Predictions, scores, area under the curve and baseline per fitted prediction point,
-    for each family."""
+    """Predictions, scores, area under the curve and baseline per prediction point, for each
+    family. A point without a model has null predictions, a baseline and no scores."""
     for family in families:
         fitted = _fitted_keys(spark, out, family)
         for point in all_points():
-            if point.key not in fitted.intersection(keys):
+            if point.key not in keys:
                 continue
             data = _labelled_point(spark, out, split, point)
             base = f"{out}/reports/{split}_{point.key}_{family}"
-            scored = scoring.score_saved(f"{out}/models", point.key, family, data)
+            if point.key in fitted:
+                scored = scoring.score_saved(f"{out}/models", point.key, family, data)
+            else:
+                scored = scoring.unscored(data)
             scored.write.mode("overwrite").parquet(f"{base}/predictions")
             written = spark.read.parquet(f"{base}/predictions")
+            if point.key not in fitted:
+                evaluate.majority_scores(written).write.mode("overwrite").parquet(f"{base}/baseline")
+                continue
             evaluate.confusion_shares(evaluate.scores(written)).write.mode("overwrite").parquet(f"{base}/scores")
             evaluate.area_under_roc(written).write.mode("overwrite").parquet(f"{base}/auc")
             evaluate.majority_scores(written).write.mode("overwrite").parquet(f"{base}/baseline")

@@ -142,3 +142,10 @@ def test_jobs_end_to_end(spark, logs, tmp_path, monkeypatch):
         assert spark.read.parquet(f"{out}/reports/{name}").count() > 0
     alone = spark.read.parquet(f"{out}/matrices/split=test/model=13")
     assert "share_lua_chunk_6" in alone.columns
+    # A point without a model leaves its users, null predictions and a baseline.
+    monkeypatch.setattr(job, "_fitted_keys", lambda *_: set())
+    job.score(spark, out, ["none"], "test", [10])
+    held_out = spark.read.parquet(f"{out}/matrices/split=test/model=10").dropna().count()
+    unscored = spark.read.parquet(f"{out}/reports/test_10_none/predictions")
+    assert unscored.where("prediction is null and score is null").count() == unscored.count() == held_out
+    assert spark.read.parquet(f"{out}/reports/test_10_none/baseline").first()["tn"] is not None
