@@ -10,10 +10,14 @@ whose bound equals the k-th score is opened too, so ties go to the smaller id.
 Every block meets every shard, because the queries are a stated share of the rows; what
 one task holds is one shard and one block, whatever the size of the table.
 
+Rows are numbered in the order of their ids, and trees hold the numbers: so every row is
+a candidate of its own, ties still go to the smaller id, and ids come back at the end.
+
 Defined results: vectors that are null, or hold a null, NaN or infinite component, take no
-part; of rows with one id the least vector counts and rows without an id take no part;
-vectors of different lengths do not meet. A query never finds its own id. An empty table
-gives an empty result.
+part, nor do rows without an id. Rows with one id are rows like others: each is found, and
+each asks if the id is asked for. A query never finds its own row. Vectors of different
+lengths do not meet. Components and scores beyond 64 bits are held at the ends of the
+range; scores are ranked before that. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,13 +37,14 @@ _EXACT = float(1 << 53)
 
 
 def whole_vectors(df: DataFrame, vec_id: str, vector: str, scale: int = 256) -> DataFrame:
-    """(vec_id, v): usable vectors as floor(scale * component), least vector per id."""
+    """(vec_id, v): usable vectors as floor(scale * component)."""
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     x = F.col(f"`{vector}`").cast("array<double>")
     rows = df.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), x.alias("x")).where(
         "vec_id is not null and x is not null").where(F.forall("x", good))
-    floors = rows.select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("double")).alias("v"))
-    return floors.groupBy("vec_id").agg(F.min("v").alias("v"))
+    most = F.lit(float(1 << 63))
+    held = lambda c: F.greatest(F.least(F.floor(c * scale).cast("double"), most), -most)
+    return rows.select("vec_id", F.transform("x", held).alias("v"))
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -154,7 +159,9 @@ def _numbered(vectors: DataFrame, parts: int, name: str) -> DataFrame:
         F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias(name), "vec_id", "v")
 
 
-_HITS = "query_id long, vec_id long, score long"
+#: Scores of large components may leave 64 bits; 38 digits hold any within a few million
+#: components of 64 bits.
+_HITS = "query_id long, vec_id long, score string"
 
 
 def _searched(k: int):
@@ -170,7 +177,7 @@ def _searched(k: int):
                 q, place = np.nonzero(hit)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids[q]), pa.array(found[q, place]),
-                    pa.array([int(s) for s in scores[q, place]], pa.int64()),
+                    pa.array([str(int(s)) for s in scores[q, place]]),
                 ], ["query_id", "vec_id", "score"])
 
     return run
@@ -194,7 +201,9 @@ def _floors(k: int):
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of ``vectors`` (vec_id, v: whole numbers)."""
-    vectors = keep(vectors, "vectors")
+    asking = vectors.withColumn("asks", is_query).orderBy("vec_id")
+    rows = keep(asking.withColumn("number", F.monotonically_increasing_id()), "vectors")
+    vectors, is_query = rows.select(F.col("number").alias("vec_id"), "v", "asks"), F.coalesce("asks", F.lit(False))
     counts = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
     shards, blocks = parts_for(counts["n"], SHARD), parts_for(counts["q"], BLOCK)
     trees = keep(_numbered(vectors, shards, "shard").groupBy("dim", "shard").applyInArrow(
@@ -215,6 +224,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     pairs = trees.join(spread.withColumnRenamed("dim", "qd").withColumnRenamed("shard", "qs"),
                        (F.col("dim") == F.col("qd")) & (F.col("shard") == F.col("qs")))
     hits = pairs.select("tree", "queries", "least").mapInArrow(_searched(k), _HITS)
+    exact = hits.withColumn("score", F.col("score").cast("decimal(38,0)"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+    ranked = exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ids = rows.select("number", F.col("vec_id").alias("id"))
+    named = ranked.join(ids.toDF("query_id", "asking"), "query_id").join(ids.toDF("vec_id", "found"), "vec_id")
+    bound = F.greatest(F.least("score", F.lit((1 << 63) - 1)), F.lit(-(1 << 63))).cast("long")
+    return named.select(F.col("asking").alias("query_id"), "rank", F.col("found").alias("vec_id"), bound.alias("score"))

@@ -9,8 +9,10 @@ supply is the sum of its children's. Amounts are whole tokens; what rounding lea
 to the first children by order of fullness and name.
 
 A leaf reads its documents in epochs, each ordered by a seeded hash. It takes whole epochs
-as long as its budget lasts, and of the next one the longest prefix of whole documents
-that fits. The prefix ends at one hash value, found from sums per slice of the hash range,
+as long as its budget lasts, and of the next one the prefix of whole documents that comes
+nearest to what is left: the document that crosses the budget is taken if that leaves the
+smaller error. So a leaf misses its budget by at most half the tokens of that document
+(of rows with one id, all of them). The prefix ends at one hash value, found from sums per slice of the hash range,
 so no leaf is ever sorted as a whole and a document needs only its leaf's limit.
 
 Defined results: null texts have no tokens, a null language or source is named
@@ -114,7 +116,8 @@ def _limits(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     inside = placed.join(cut.withColumnRenamed("rest", "r"), [*keys, "slice"]).groupBy(
         *keys, "slice", "rest", "before", "place").agg(F.sum("n_tokens").alias("tokens"))
     upto = Window.partitionBy(*keys, "slice").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    fits = inside.withColumn("end", F.col("before") + F.sum("tokens").over(upto)).where("end <= rest")
+    fits = inside.withColumn("end", F.col("before") + F.sum("tokens").over(upto)).where(
+        "end <= rest OR (end - tokens < rest AND 2 * end - tokens < 2 * rest)")
     last = fits.groupBy(*keys).agg(F.max("place").alias("last"))
     limits = cut.join(last, keys, "left").select(*keys, F.coalesce("last", "slice").alias("limit"))
     return plan.join(limits, keys, "left")

@@ -97,8 +97,11 @@ keyed AS (
   SELECT d.*, whole, rest, md5('{seed}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
   FROM d JOIN plan USING (domain, lang, source)),
 upto AS (
-  SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY k RANGE UNBOUNDED PRECEDING) AS upto FROM keyed),
-taken AS (SELECT *, CAST(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM upto)""")
+  SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY k RANGE UNBOUNDED PRECEDING) AS upto,
+         sum(n) OVER (PARTITION BY domain, lang, source, k) AS own FROM keyed),
+taken AS (
+  SELECT *, CAST(whole + CASE WHEN rest > 0 AND (upto <= rest OR (upto - own < rest AND 2 * upto - own < 2 * rest))
+                              THEN 1 ELSE 0 END AS BIGINT) AS copies FROM upto)""")
     return "WITH" + ",".join(parts) + """
 SELECT doc_id, given_lang AS lang, given_source AS source, domain, copies FROM taken WHERE copies > 0
 """

@@ -131,8 +131,10 @@ def copies(rows, weights, domain, share, epochs, seed):
     for leaf, tokens in placed.items():
         rest, end = given[leaf] - whole[leaf] * leaves[leaf], 0
         for key in sorted(tokens) if rest else []:
+            if end + tokens[key] > rest and end + tokens[key] - rest >= rest - end:
+                break
             end += tokens[key]
+            inside[leaf].add(key)
             if end > rest:
                 break
-            inside[leaf].add(key)
     return [whole[leaf_of(r)] + (place(leaf_of(r), r[0]) in inside[leaf_of(r)]) for r in rows]

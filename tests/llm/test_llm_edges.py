@@ -166,6 +166,17 @@ def test_shortage_goes_to_siblings_before_ancestors(spark):
     assert given == {"s1": 10, "s2": 189, "s3": 199, "s4": 5, "s5": 0}
 
 
+@pytest.mark.parametrize("sizes,share,taken", [
+    ((900, 100), (6, 10), {900, 500}), ((1000,), (6, 10), {1000}), ((1000,), (4, 10), set()), ((10,) * 50, (1, 2), {250})])
+def test_a_leaf_misses_its_budget_by_half_a_document_at_most(spark, sizes, share, taken):
+    rows = spark.createDataFrame([(i, " ".join(["w"] * n), "en", "s1") for i, n in enumerate(sizes)], "doc_id long, text string, lang string, source string")
+    for seed in range(4):
+        got = mixing.mixed(rows, F.lit("x"), {}, share, 1, seed).select("row.text").collect()
+        words = sum(len(r.text.split()) for r in got)
+        assert abs(words - sum(sizes) * share[0] // share[1]) <= max(sizes) / 2
+        assert words in taken or (sizes == (900, 100) and words in (100, 900, 1000)) or (not words and not taken)
+
+
 def test_bpe(spark, docs, none):
     from tokenizers import Tokenizer
     import public_tokenizers
@@ -354,23 +365,30 @@ def test_top_k(spark):
     rows = [(i, [float(r.randint(-3, 3)) / 256 for _ in range(4)]) for i in range(300)]
     rows += [(300 + i, [0.01, 0.01, 0.01, 0.01]) for i in range(80)]  # ties
     rows += [(500, None), (501, [1.0, None, 1.0, 1.0]), (502, [1.0, float("nan"), 1.0, 1.0]), (503, [float("inf"), 1.0, 1.0, 1.0]),
-             (None, [9.0, 9.0, 9.0, 9.0]), (504, [5.0]), (550, [6.0]), (7, [0.5, 0.5, 0.5, 0.5])]
+             (None, [9.0, 9.0, 9.0, 9.0]), (504, [5.0]), (550, [6.0]), (7, [0.5, 0.5, 0.5, 0.5]), (50, [0.3, 0.3, 0.3, -0.3]), (100, rows[100][1])]
     frame = spark.createDataFrame([(*x, "z") for x in rows], "vec_id long, embedding array<double>, rank string")
-    usable = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            whole = [math.floor(256 * x) for x in v]
-            usable[i] = min(usable.get(i, whole), whole)
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows
+              if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     expected = []
-    for q in (i for i in usable if i % 50 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(usable[q], v)), i) for i, v in usable.items() if i != q and len(v) == len(usable[q]))
-        expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
+    for k, (q, own) in enumerate(usable):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(own, v)), i) for n, (i, v) in enumerate(usable) if n != k and len(v) == len(own))
+            expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])]
     whole = balltree.whole_vectors(frame, "vec_id", "embedding")
     got = balltree.top_k(whole, F.col("vec_id") % 50 == 0).collect()
     assert sorted(map(tuple, got)) == sorted(expected)
     assert balltree.top_k(balltree.whole_vectors(frame.limit(0), "vec_id", "embedding"), F.lit(True)).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_huge_numbers(spark):
+    rows = [(1, [1.0, 1.0]), (1, [5.0, 5.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0]), (2, [1e300, -1e300])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, balltree.top_k(balltree.whole_vectors(frame, "vec_id", "embedding"), F.col("vec_id") == 50).collect()))
+    top = (1 << 63) - 1
+    each = [(50, 1, 2, top), (50, 2, 1, 1280 * 256), (50, 3, 1, 256 * 256), (50, 4, 50, 256 * 256)]
+    assert got == sorted(each * 2)
+
+
 def test_trees_prune_and_stay_exact(monkeypatch):
     r = np.random.default_rng(2)
     vectors = np.floor(r.normal(size=(1000, 6)) * 50)
