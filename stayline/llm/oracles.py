@@ -114,6 +114,8 @@ def quality_rules() -> str:
     pairs = [(i, j) for i in range(3) for j in range(i, 3)]
     distance = "0.0 + " + " + ".join(
         f"{1 if i == j else 2} * (x{i} - m{i}) * (x{j} - m{j}) * v{i}{j}" for i, j in pairs)
+    of = lambda n: "0.0 + " + " + ".join(
+        f"{1 if i == j else 2} * (x{i} - f{n}.m{i}) * (x{j} - f{n}.m{j}) * f{n}.v{i}{j}" for i, j in pairs)
     cov = lambda i, j: f"c{min(i, j)}{max(i, j)}"
 
     def cofactor(i: int, j: int) -> str:
@@ -122,23 +124,23 @@ def quality_rules() -> str:
         return f"{sign}({cov(a[0], b[0])} * {cov(a[1], b[1])} - {cov(a[0], b[1])} * {cov(a[1], b[0])})"
 
     det = " + ".join(f"c0{j} * {cofactor(0, j)}" for j in range(3))
-    same = "p.lang IS NOT DISTINCT FROM f.lang AND p.source IS NOT DISTINCT FROM f.source"
+    same = "p.lv = f.lv AND p.lang IS NOT DISTINCT FROM f.lang AND p.source IS NOT DISTINCT FROM f.source"
     steps = []
     for n in range(q.STEPS):
         steps.append(f"""
 classed{n} AS (
   SELECT p.*, floor(16 * log2(1 + greatest({distance}, 0.0))) AS class FROM passed p JOIN fit{n} f ON {same}),
-limit{n} AS (SELECT lang, source, ceil(quantile_cont(class, {q.CENTRAL})) AS upto FROM classed{n} GROUP BY ALL),
+limit{n} AS (SELECT lv, lang, source, ceil(quantile_cont(class, {q.CENTRAL})) AS upto FROM classed{n} GROUP BY ALL),
 sums{n} AS (
-  SELECT p.lang, p.source, count(*) AS n, {', '.join(f'sum(x{i})::DOUBLE AS s{i}' for i in range(3))},
+  SELECT p.lv, p.lang, p.source, count(*) AS n, {', '.join(f'sum(x{i})::DOUBLE AS s{i}' for i in range(3))},
          {', '.join(f'sum(x{i} * x{j})::DOUBLE AS s{i}{j}' for i, j in pairs)}
   FROM classed{n} p JOIN limit{n} f ON {same} WHERE class <= upto GROUP BY ALL),
 cov{n} AS (
-  SELECT lang, source, {', '.join(f's{i} / n AS m{i}' for i in range(3))},
+  SELECT lv, lang, source, {', '.join(f's{i} / n AS m{i}' for i in range(3))},
          {', '.join(f"s{i}{j} / n - (s{i} / n) * (s{j} / n) + {q.FLOORS[i] ** 2 if i == j else 0.0}::DOUBLE AS c{i}{j}" for i, j in pairs)}
   FROM sums{n}),
 fit{n + 1} AS (
-  SELECT lang, source, m0, m1, m2, {', '.join(f'{cofactor(i, j)} / ({det}) AS v{i}{j}' for i, j in pairs)} FROM cov{n})""")
+  SELECT lv, lang, source, m0, m1, m2, {', '.join(f'{cofactor(i, j)} / ({det}) AS v{i}{j}' for i, j in pairs)} FROM cov{n})""")
     last = q.STEPS
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS w,
@@ -166,27 +168,32 @@ points AS (
          CAST(round({q.UNIT} * ((word_chars + {q.PSEUDO_WORDS * q.PSEUDO_LENGTH})::DOUBLE / (n_words + {q.PSEUDO_WORDS}))) AS HUGEINT) AS x1,
          CAST(round({q.UNIT} * log2(1 + (100 * n_symbols)::DOUBLE / greatest(word_chars, 1))) AS HUGEINT) AS x2
   FROM counted),
-passed AS (SELECT lang, source, x0, x1, x2 FROM points WHERE NOT base_failed),
+passed AS (
+  SELECT lv, CASE WHEN lv < 2 THEN lang END AS lang, CASE WHEN lv < 1 THEN source END AS source, x0, x1, x2
+  FROM points CROSS JOIN (VALUES (0), (1), (2)) AS levels(lv) WHERE NOT base_failed),
 middles AS (
-  SELECT lang, source, {', '.join(f'quantile_cont(x{i}::DOUBLE, 0.5) AS m{i}' for i in range(3))}
-  FROM passed GROUP BY ALL HAVING count(*) >= {q.MIN_GROUP}),
+  SELECT lv, lang, source, {', '.join(f'quantile_cont(x{i}::DOUBLE, 0.5) AS m{i}' for i in range(3))}
+  FROM passed GROUP BY ALL HAVING count(*) >= {q.MIN_GROUP} OR lv = 2),
 spreads AS (
-  SELECT p.lang, p.source, m0, m1, m2,
+  SELECT p.lv, p.lang, p.source, m0, m1, m2,
          {', '.join(f'greatest(1.4826::DOUBLE * quantile_cont(floor(abs(x{i} - m{i})), 0.5), {q.FLOORS[i]}::DOUBLE) AS d{i}' for i in range(3))}
   FROM passed p JOIN middles f ON {same} GROUP BY ALL),
 fit0 AS (
-  SELECT lang, source, m0, m1, m2,
+  SELECT lv, lang, source, m0, m1, m2,
          {', '.join(f'1 / (d{i} * d{i}) AS v{i}{j}' if i == j else f'0.0::DOUBLE AS v{i}{j}' for i, j in pairs)} FROM spreads),
 {','.join(steps).strip()},
 medians AS (
-  SELECT p.lang, p.source, ceil(quantile_cont(floor(16 * log2(1 + greatest({distance}, 0.0))), 0.5)) AS half
+  SELECT p.lv, p.lang, p.source, ceil(quantile_cont(floor(16 * log2(1 + greatest({distance}, 0.0))), 0.5)) AS half
   FROM passed p JOIN fit{last} f ON {same} GROUP BY ALL),
 scaled AS (
   SELECT f.*, least(1.0, {q.CHI2_MEDIAN} / greatest(pow(2.0, half / 16) - 1, {q.CHI2_MEDIAN}))::DOUBLE AS scale
   FROM fit{last} f JOIN medians p ON {same})
 SELECT p.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(({distance}) * scale, 0.0) <= {q.CUTOFF} AS kept
-FROM points p LEFT JOIN scaled f ON {same}
+       NOT base_failed AND coalesce({', '.join(f'({of(n)}) * f{n}.scale' for n in range(3))}, 0.0) <= {q.CUTOFF} AS kept
+FROM points p
+LEFT JOIN scaled f0 ON f0.lv = 0 AND p.lang IS NOT DISTINCT FROM f0.lang AND p.source IS NOT DISTINCT FROM f0.source
+LEFT JOIN scaled f1 ON f1.lv = 1 AND p.lang IS NOT DISTINCT FROM f1.lang
+LEFT JOIN scaled f2 ON f2.lv = 2
 """
 
 

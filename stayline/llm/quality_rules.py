@@ -11,9 +11,10 @@ counts per distance class, never by sorting a group, so a source that holds a th
 all rows costs what its rows cost.
 
 Defined results: a null text counts as empty; a null language or source is a group of
-its own; documents that fail the base rule, and groups of fewer than ``MIN_GROUP``
-documents that pass it, take no part in the estimate, and such small groups are judged by
-the base rule alone. Repeated rows are judged row by row. An empty table gives an empty
+its own; documents that fail the base rule take no part in estimates. A group of fewer than
+``MIN_GROUP`` documents that pass it is judged by the estimate of its language, and failing
+that by the estimate of the whole corpus, which is made however small it is. Repeated rows
+are judged row by row. An empty table gives an empty
 result. Input columns are carried in ``row``.
 """
 
@@ -121,14 +122,24 @@ def with_points(counted: DataFrame, keys: tuple[str, str] = ("lang", "source"))
     length = (chars + PSEUDO_WORDS * PSEUDO_LENGTH) / (words + PSEUDO_WORDS)
     symbols = 1 + 100 * F.col("n_symbols") / F.greatest(chars, F.lit(1))
     return counted.withColumns({
-        **{g: F.col("row")[k] for g, k in zip(_GROUP, keys)}, "x0": _unit(F.log1p(words)), "x1": _unit(length), "x2": _unit(F.log2(symbols)),
+        **{g: F.col("row")[k] for g, k in zip(_GROUP[1:], keys)}, "x0": _unit(F.log1p(words)), "x1": _unit(length), "x2": _unit(F.log2(symbols)),
     })
 
 
-_X, _GROUP = ("x0", "x1", "x2"), ("g0", "g1")
+_X, _GROUP = ("x0", "x1", "x2"), ("level", "g0", "g1")
 _PAIRS = tuple((i, j) for i in range(3) for j in range(i, 3))
 
 
+def _levels(points: DataFrame) -> DataFrame:
+    """Every point three times: in its group, in its language (level 1) and in the corpus."""
+    none = [F.lit(None).cast(points.schema[g].dataType) for g in _GROUP[1:]]
+    given = [F.col(g) for g in _GROUP[1:]]
+    keys = (given, [given[0], none[1]], none)
+    each = F.array(*[
+        F.struct(F.lit(n).alias("level"), *[k.alias(g) for k, g in zip(own, _GROUP[1:])]) for n, own in enumerate(keys)])
+    return points.select(F.explode(each).alias("k"), *_X).select("k.*", *_X)
+
+
 def _joined(points: DataFrame, parameters: DataFrame, how: str) -> DataFrame:
     """Rows beside the parameters of their group; null keys meet null keys."""
     right = parameters.withColumnsRenamed({g: f"of_{g}" for g in _GROUP})
@@ -189,7 +200,7 @@ def _start(points: DataFrame) -> DataFrame:
     centres = points.groupBy(*_GROUP).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.percentile(F.col(x), 0.5).alias(f"m{i}") for i, x in enumerate(_X)],
-    ).where(F.col("n") >= MIN_GROUP)
+    ).where((F.col("n") >= MIN_GROUP) | (F.col("level") == 2))
     spread = _joined(points, centres, "inner").groupBy(*_GROUP, "m0", "m1", "m2").agg(
         *[F.percentile(F.floor(F.abs(F.col(x) - F.col(f"m{i}"))), 0.5).alias(f"d{i}") for i, x in enumerate(_X)]
     )
@@ -234,8 +245,17 @@ def judge(counted: DataFrame) -> DataFrame:
     and ``kept``. It has to be written: a filter on the verdict would else be worked out
     inside the scan, from the text anew for every statistic.
     """
-    passed = counted.where(~F.col("base_failed")).select(*_GROUP, *_X)
-    fitted = estimates(passed)
-    measured = _joined(counted, fitted, "left").withColumn("distance", _distance() * F.col("scale"))
+    passed = counted.where(~F.col("base_failed")).select(*_GROUP[1:], *_X)
+    fitted = estimates(keep(_levels(passed), "levels"))
+    parameters = F.struct(*[c for c in fitted.columns if c not in _GROUP]).alias("p")
+    measured = counted.withColumn("_one", F.lit(1))
+    # The finest level that has an estimate counts.
+    for level, keys in enumerate((_GROUP[1:], _GROUP[1:2], ())):
+        right = fitted.where(F.col("level") == level).select(
+            F.lit(1).alias("of_one"), *[F.col(k).alias(f"of_{k}") for k in keys], parameters.alias(f"p{level}"))
+        same = [measured["_one"] == right["of_one"], *[measured[k].eqNullSafe(right[f"of_{k}"]) for k in keys]]
+        measured = measured.join(right, same, "left").drop("of_one", *[f"of_{k}" for k in keys])
+    chosen = measured.withColumn("p", F.coalesce("p0", "p1", "p2")).select(*counted.columns, "p.*")
+    judged = chosen.withColumn("distance", _distance() * F.col("scale"))
     verdict = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
-    return measured.withColumn("kept", verdict).select("row", *COUNTS, "base_failed", "distance", "kept")
+    return judged.withColumn("kept", verdict).select("row", *COUNTS, "base_failed", "distance", "kept")
