@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from catalog.adapter import DATA_THROUGH, OPENING_LEVELS, Tables
-from catalog.base import AGES, COUNTRIES, bit, check, days, r6, us
+from catalog.base import AGES, COUNTRIES, LANGUAGES, bit, check, days, r6, us
 from catalog.sources import EVENTS_SQL, LEVELS_SQL, TEXT_TIME
 from stayline.functions import elapsed, labels, people
 from stayline.operators import clean
 from stayline.operators.lookup import one_user
-from stayline.plans.profile import user_profile, with_demographics, with_targets
+from stayline.plans.profile import drop_unmodelled, user_profile, with_demographics, with_targets
 from stayline.session import fresh_path
 
 _COUNTRY_COLUMNS = [f"country_{c.replace('-', '_')}" for c in (*COUNTRIES, "other_country")]
@@ -56,7 +56,7 @@ SELECT id, {us('date_joined')}, levels_completed, {bit('signed_up')}, {bit('paid
        country, age FROM us""")
 def p5(t: Tables) -> DataFrame:
     profile = user_profile(t.users, t.levels, t.events, DATA_THROUGH, ("event_id",))
-    return clean.drop_unmodelled(profile.withColumn("survey_gender", F.lit("x")))
+    return drop_unmodelled(profile.withColumn("survey_gender", F.lit("x")))
 
 
 @check("p6_drop_demographics", f"""
@@ -94,6 +94,12 @@ def p13(t: Tables) -> DataFrame:
     return clean.age_dummies(clean.country_dummies(lumped))
 
 
+@check("p13_language_dummies", "SELECT user_id, level, " + ", ".join(
+    f"CASE WHEN code_language = '{x}' THEN 1 ELSE 0 END AS code_language_{x}" for x in LANGUAGES) + " FROM lv")
+def p13_languages(t: Tables) -> DataFrame:
+    return clean.language_dummies(t.levels.select("user_id", "level", "code_language"))
+
+
 @check("p14_english_speaking", f"SELECT id, {bit('english_speaking')} FROM demo")
 def p14(t: Tables) -> DataFrame:
     return t.users.select("id", people.english_speaking(F.col("country")).alias("english_speaking"))

@@ -76,7 +76,7 @@ FROM us LEFT JOIN lastev e ON e.user_id = id LEFT JOIN lasttry l ON l.user_id =
 LEFT JOIN (SELECT user_id, CAST(sum(playtime) AS BIGINT) AS total_play_time FROM lv GROUP BY user_id) p
   ON p.user_id = id""", LAST_CTES)
 def p11(t: Tables) -> DataFrame:
-    return clean.drop_draft_fields(
+    return profile.drop_draft_fields(
         profile.user_profile(t.users, t.levels, t.events, DATA_THROUGH, ["event_id"])
     )
 

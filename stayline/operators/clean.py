@@ -13,22 +13,6 @@ from stayline.operators.chunks import LANGUAGES
 from stayline.operators.skew import spread_join
 from stayline.sources.schema import INDEX_RESIDUE
 
-# Columns that the steps of a user profile add for exploration; none is modelled.
-PLAY_TIME = ("total_play_time",)
-LAST_EVENT = ("last_event_date", "last_action", "last_level_name")
-ACTIVE_DAYS = ("active_time_days",)
-ACTIVITY_GAP = ("data_through", "activity_gap_days")
-LAST_ATTEMPT = (
-    "last_level_played", "last_level_time_s", "last_level_was_practice", "last_level_was_completed",
-)
-RATES = ("avg_play_time_per_level_s", "daygap", "avg_num_days_per_level")
-EXPLORATION_COLUMNS = (*PLAY_TIME, *LAST_EVENT, *ACTIVE_DAYS, *ACTIVITY_GAP, *LAST_ATTEMPT, *RATES)
-# Exploration columns that the draft models keep, and what else they drop.
-DRAFT_KEPT = ("last_level_was_practice", "avg_play_time_per_level_s", "avg_num_days_per_level")
-DRAFT_ALSO_DROPPED = (
-    "id", "date_joined", "age", "last_level_started", "hints_clicked_first_six", "hints_used_first_six",
-)
-DRAFT_DROPPED = (*(c for c in EXPLORATION_COLUMNS if c not in DRAFT_KEPT), *DRAFT_ALSO_DROPPED)
 SURVEY_PREFIX = "survey_"
 TARGETS = ("levels_completed", "last_level_started", "last_campaign_started")
 DEMOGRAPHICS = ("english_speaking", *people.COUNTRY_DUMMIES, *people.AGE_DUMMIES)
@@ -76,16 +60,9 @@ def repair_split_header(
     )
 
 
-def drop_unmodelled(df: DataFrame) -> DataFrame:
-    """Drop exploration columns and the sparse survey answers."""
-    survey = [c for c in df.columns if c.startswith(SURVEY_PREFIX)]
-    return df.drop(*EXPLORATION_COLUMNS, *survey)
-
-
-def drop_draft_fields(df: DataFrame) -> DataFrame:
-    """The draft models' drop list; columns that are absent are skipped."""
-    survey = [c for c in df.columns if c.startswith(SURVEY_PREFIX)]
-    return df.drop(INDEX_RESIDUE, *DRAFT_DROPPED, *survey)
+def survey_columns(df: DataFrame) -> list[str]:
+    """The sparse survey answers among the columns."""
+    return [c for c in df.columns if c.startswith(SURVEY_PREFIX)]
 
 
 def drop_present(df: DataFrame, *names: str) -> DataFrame:

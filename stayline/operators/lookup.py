@@ -68,8 +68,8 @@ def unpaid_over(users: DataFrame, levels: DataFrame, over: int = 12) -> DataFram
     return of_users(levels, clean.over_levels(clean.flagged(users, "paid_subscription", False), over))
 
 
-def play_time(levels: DataFrame) -> DataFrame:
-    return levels.groupBy("user_id").agg(F.sum("playtime").alias("total_play_time"))
+def play_time(levels: DataFrame, name: str = "total_play_time") -> DataFrame:
+    return levels.groupBy("user_id").agg(F.sum("playtime").alias(name))
 
 
 def last_of(df: DataFrame, column: str) -> DataFrame:

@@ -286,7 +286,7 @@ def test_users_csv_with_a_cut_header(spark, tmp_path):
     assert "Unnamed: 0" not in row
     assert (row["survey_do_you_like_it"], row["survey_would_you_stay"], row["survey_would_you_tell"]) == (
         "much", "likely", "surely")
-    assert clean.drop_unmodelled(users).columns == [
+    assert profile.drop_unmodelled(users).columns == [
         "id", "date_joined", "levels_completed", "signed_up", "paid_subscription", "country", "age"]
 
 
