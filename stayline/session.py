@@ -17,6 +17,10 @@ RUNTIME_SETTINGS = {
 }
 
 
+#: The scratch folder of a local run without a setting, made when first asked for.
+_SCRATCH: list[str] = []
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings every job relies on; cluster sizing is left to the cluster."""
     for key, value in RUNTIME_SETTINGS.items():
@@ -45,11 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="stayline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _SCRATCH:
+        _SCRATCH.append(tempfile.mkdtemp(prefix="stayline-"))
+    return _SCRATCH[0]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

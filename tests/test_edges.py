@@ -6,6 +6,7 @@ from datetime import date, datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from stayline import session
 from stayline.functions import labels, people
 from stayline.functions.elapsed import active_days, elapsed_days
 from stayline.operators import chunks as ch, clean, evaluate, frequency as fq, lookup, ordered, packed
@@ -493,3 +494,23 @@ def test_histogram_counts_what_lies_outside(spark):
     got = fq.histogram(df, "v", 2, 0, 10, outside=True).collect()
     assert {r.bin: (r.bin_from, r.bin_to, r.n) for r in got} == {
         0: (None, 0.0, 1), 1: (0.0, 5.0, 1), 2: (5.0, 10.0, 2), 3: (10.0, None, 1), None: (None, None, 2)}
+
+
+class _Settings:
+    """A session that knows two settings."""
+
+    def __init__(self, **settings):
+        self.conf = self
+        self.settings = {k.replace("_", "."): v for k, v in settings.items()}
+
+    def get(self, key, default=None):
+        return self.settings.get(key, default)
+
+
+def test_intermediate_tables_go_to_the_shared_folder():
+    assert session.shared_dir(_Settings(spark_checkpoint_dir="hdfs://x/y/", spark_master="yarn")) == "hdfs://x/y"
+    for master in ("local", "local[4]"):
+        assert session.shared_dir(_Settings(spark_master=master)) == session.shared_dir(_Settings(spark_master=master))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            session.shared_dir(_Settings(spark_master=master))
