@@ -37,9 +37,15 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def shares(counts: DataFrame) -> DataFrame:
-    """Add each row's share of all counts; the total comes as a scalar subquery."""
-    total = counts.agg(F.sum("n").alias("total")).scalar()
-    return counts.withColumn("share", ratio(F.col("n"), total))
+    """Add each row's share of all counts, largest first.
+
+    The counts are written once, so the table behind them is read once; the total comes as
+    a scalar subquery over the counts.
+    """
+    counted = stage(counts, "counts")
+    total = counted.agg(F.sum("n").alias("total")).scalar()
+    rest = [c for c in counts.columns if c != "n"]
+    return counted.withColumn("share", ratio(F.col("n"), total)).orderBy(F.col("n").desc(), *rest)
 
 
 def share_of(counts: DataFrame, **sets: Column) -> DataFrame:
