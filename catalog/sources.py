@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from catalog.adapter import Tables
 from catalog.base import bit, check, us
+from stayline import job
 from stayline.operators.clean import clean_events, clean_levels, clean_users
 from stayline.session import fresh_path, stage
 from stayline.sources import csv, splits, tables
@@ -52,6 +55,24 @@ def s1(t: Tables) -> DataFrame:
     return clean_users(csv.read_users(t.spark, written_csv(t, shifted, "users")))
 
 
+@check("s1_inferred_types", f"""
+SELECT id, levels_completed::BIGINT AS survey_number, CASE WHEN id % 3 = 0 THEN id::DOUBLE ELSE levels_completed::DOUBLE / 4 END AS survey_mixed,
+       {bit('signed_up', 'survey_flag')}, {us('date_joined', 'survey_time')},
+       CASE WHEN id % 2 = 0 THEN id::VARCHAR ELSE country END AS survey_text, NULL::VARCHAR AS survey_nothing,
+       '0' || id AS survey_code FROM us""")
+def s1_inferred(t: Tables) -> DataFrame:
+    """Survey columns of every kind, and of mixed kinds, under the types their values share."""
+    own, quarter = F.col("id").cast("string"), (F.col("levels_completed") / 4).cast("string")
+    export = raw_export(
+        t.users, RAW_USERS, F.col("levels_completed").cast("string").alias("Number"),
+        F.when(F.col("id") % 3 == 0, own).otherwise(quarter).alias("Mixed"),
+        F.initcap(F.col("signed_up").cast("string")).alias("Flag"), F.date_format("date_joined", TEXT_TIME).alias("Time"),
+        F.when(F.col("id") % 2 == 0, own).otherwise(F.col("country")).alias("Text"),
+        F.lit(None).cast("string").alias("Nothing"), F.concat(F.lit("0"), own).alias("Code"))
+    users = csv.read_users(t.spark, written_csv(t, export, "users"), infer_survey=True)
+    return users.select("id", *[c for c in users.columns if c.startswith("survey_")])
+
+
 @check("s2_read_levels", LEVELS_SQL)
 def s2(t: Tables) -> DataFrame:
     return clean_levels(csv.read_levels(t.spark, written_csv(t, raw_export(t.levels, RAW_LEVELS), "levels")))
@@ -202,3 +223,35 @@ def u3(t: Tables) -> DataFrame:
     return splits.overlap(train, signed).withColumn("kind", F.lit("overlap")).unionByName(
         splits.uncovered(users, train, signed).withColumn("kind", F.lit("uncovered"))
     )
+
+
+def _exports(t: Tables) -> str:
+    """A folder with the four raw exports under the names the job reads."""
+    folder = fresh_path(t.spark, "exports")
+    payload = [F.lit("x").alias(f"p{i}") for i in range(4)]
+    events = {"Created": ("created", ""), "User Id": ("user_id", ""), "Event Name": ("event_name", ""), "Level": ("level", "")}
+    for name, df in {
+        "users": raw_export(t.users, RAW_USERS), "levels": raw_export(t.levels, RAW_LEVELS),
+        "campaign_list": raw_export(t.campaigns, RAW_CAMPAIGNS), "events": raw_export(t.events, events, *payload),
+    }.items():
+        df.write.options(header=True, quote='"', escape='"').csv(f"{folder}/{name}.csv")
+    return folder
+
+
+_SIDE = "CASE WHEN substr(md5(CAST({} AS VARCHAR)), 1, 2) < 'c0' THEN 'train' ELSE 'test' END AS side"
+
+
+@check("s11_chosen_side", " UNION ALL ".join(
+    f"SELECT side, '{name}' AS log, count(*) AS n, count(DISTINCT k) AS users FROM (SELECT {key} AS k, {_SIDE.format(key)} "
+    f"FROM {table}) GROUP BY side UNION ALL SELECT 'all', '{name}', count(*), count(DISTINCT {key}) FROM {table}"
+    for name, table, key in (("users", "(SELECT * FROM us WHERE levels_completed >= 1)", "id"), ("numbered", "lv", "user_id"),
+                             ("events", "ev", "user_id"))))
+def s11(t: Tables) -> DataFrame:
+    """The job's logs for each choice of side, from raw exports: rows and users."""
+    folder, parts = _exports(t.staged()), []
+    for side in ("train", "test", "all"):
+        logs = job.read_logs(t.spark, folder, side)
+        for name, key in (("users", "id"), ("numbered", "user_id"), ("events", "user_id")):
+            parts.append(logs[name].agg(F.count("*").alias("n"), F.count_distinct(key).alias("users")).select(
+                F.lit(side).alias("side"), F.lit(name).alias("log"), "n", "users"))
+    return reduce(DataFrame.unionByName, parts)

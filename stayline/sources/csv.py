@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from stayline.operators.clean import repair_split_header
+from stayline.sources.infer import with_types
 from stayline.sources.schema import (
     CORRUPT, INDEX_RESIDUE, RAW_CAMPAIGNS, RAW_EVENTS, RAW_LEVELS, RAW_USERS, TIMES, event_schema,
     survey_name,
@@ -62,17 +63,19 @@ def _read_users_text(spark: SparkSession, path) -> DataFrame:
     return raw
 
 
-def read_users(spark: SparkSession, path) -> DataFrame:
-    """Users with the modelled columns typed and every survey answer as text.
+def read_users(spark: SparkSession, path, infer_survey: bool = False) -> DataFrame:
+    """Users with the modelled columns typed and every survey answer as text, or, with
+    ``infer_survey``, under the least type that all answers of its column share.
 
     A survey header with an unquoted comma shows up as a name that starts with a
     blank; the values it displaced are moved back.
     """
     raw = _read_users_text(spark, path)
     survey = [h for h in raw.columns if h not in RAW_USERS]
-    return raw.where(~_unread(RAW_USERS)).select(
+    users = raw.where(~_unread(RAW_USERS)).select(
         *_named(raw, RAW_USERS), *[F.col(f"`{h}`").alias(survey_name(h)) for h in survey]
     )
+    return with_types(users, [survey_name(h) for h in survey]) if infer_survey else users
 
 
 def read_rejected_users(spark: SparkSession, path) -> DataFrame:

@@ -16,7 +16,7 @@ from stayline.operators.ordered import previous_time, running_total
 from stayline.operators.skew import hot_keys, spread_join
 from stayline.operators.sessions import count_logins, event_gaps, login_starts
 from stayline.plans import profile
-from stayline.sources import csv, splits
+from stayline.sources import csv, infer, splits
 
 EVENTS = "user_id long, created timestamp, event_name string, level string"
 LEVELS = ("user_id long, created timestamp, level string, date_completed timestamp, playtime long, "
@@ -514,3 +514,24 @@ def test_intermediate_tables_go_to_the_shared_folder():
     for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
         with pytest.raises(ValueError):
             session.shared_dir(_Settings(spark_master=master))
+
+
+def test_types_are_the_least_that_all_values_share(spark):
+    columns = {
+        "int": ["1", " -20 ", None, ""], "double": ["1", "2.5", "1e3", ".5"], "flag": ["True", "false", None, "TRUE"],
+        "time": ["2024-01-02", "2024-01-02 03:04:05.5", "2024-01-02T03:04", None], "text": ["1", "x", None, "true"],
+        "mixed": ["true", "1", "0", None], "none": [None, "", " ", None], "code": ["007", "8", "9", None],
+        "long": ["9" * 19, "1", None, None], "no_day": ["2024-02-30", "2024-01-01", None, None],
+    }
+    rows = list(zip(*columns.values()))
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in columns)).repartition(3)
+    found = infer.column_types(df, list(columns))
+    assert found == {"int": "bigint", "double": "double", "flag": "boolean", "time": "timestamp", "text": "string",
+                     "mixed": "string", "none": "string", "code": "string", "long": "double", "no_day": "string"}
+    typed = infer.with_types(df, list(columns))
+    assert {c: k for c, k in typed.dtypes if c in ("int", "double", "flag", "time", "none")} == {
+        "int": "bigint", "double": "double", "flag": "boolean", "time": "timestamp", "none": "string"}
+    assert sorted(r["int"] for r in typed.collect() if r["int"] is not None) == [-20, 1]
+    later = infer.with_types(spark.createDataFrame([("x",), ("5",)], "int string"), ["int"], found)
+    assert sorted((r["int"] for r in later.collect()), key=repr) == [5, None]
+    assert infer.column_types(df.limit(0), ["int"]) == {"int": "string"} and infer.column_types(df, []) == {}
