@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -282,6 +283,48 @@ def test_exchange_finds_planted_classes():
     assert len({of[i] for i in range(0, 20, 2)}) == 1 and len(set(of)) == 2
 
 
+def test_words_beyond_those_that_tasks_know_score_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(60, i)) for i in range(80)], "doc_id long, text string")
+    whole = {r.doc_id: r for r in brown.scores(docs).collect()}
+    monkeypatch.setattr(brown, "FREQUENT", 5)
+    few = {r.doc_id: r for r in brown.scores(docs).collect()}
+    assert whole.keys() == few.keys()
+    for i, r in whole.items():
+        assert tuple(r)[1:5] == tuple(few[i])[1:5]
+        assert math.isclose(r.base_score, few[i].base_score, rel_tol=1e-12) and math.isclose(r.score, few[i].score, rel_tol=1e-12)
+
+
+def test_words_that_do_not_start_the_exchange_find_planted_classes(spark):
+    """Words of two kinds that only follow the other kind; four of them start the exchange."""
+    r = random.Random(4)
+    texts = [[2 * r.randrange(30) + k % 2 for k in range(400)] for _ in range(20)]
+    rows = spark.createDataFrame([(bytearray(np.array(t, np.int32).tobytes()),) for t in texts], "ids binary")
+    near = brown.neighbours(rows, 8000, 60)
+    of = np.full(62, brown.RARE, np.uint8)
+    of[:4], of[-2] = [0, 1, 0, 1], brown.END
+    found, between = brown.exchange_all(near, of, 4)
+    kinds = [set(found[k:60:2].tolist()) for k in (0, 1)]
+    assert not kinds[0] & kinds[1] and max(kinds[0] | kinds[1]) < brown.CLASSES
+    assert between.sum() == sum(len(t) + 1 for t in texts)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_class_bigrams_equal_a_plain_count(spark, parts):
+    """Words of first and later blocks, rare words, an empty text."""
+    r = np.random.default_rng(3)
+    texts = [r.choice([-1, 0, 1, 63, 64, 4095, 4096, 8191, 8192, 9999], n).astype(np.int32) for n in (0, 1, 500, 3000)]
+    rows = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "ids binary")
+    near = brown.neighbours(rows, brown._PART_TOKENS * parts, 10_000)
+    of = np.concatenate([r.integers(0, brown.CLASSES, 10_000), [brown.END, brown.RARE]]).astype(np.uint8)
+    shared = spark.sparkContext.broadcast(of)
+    got = near.mapInArrow(brown._class_bigrams(shared), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect()
+    expected = Counter()
+    for t in texts:
+        g = [brown.END, *of[t].tolist(), brown.END]
+        expected.update(a * brown._ALL + b for a, b in zip(g, g[1:]))
+    assert {c: n for c, n in got} == expected
+
+
 def test_transitions_are_probabilities():
     counts = np.array([[_random.randint(0, 3) for _ in range(27)]]).reshape(3, 3, 3)
     counts[1] = 0
