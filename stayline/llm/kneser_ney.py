@@ -1,19 +1,19 @@
 """A quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model.
 
 The model learns from trusted text: labelled documents of good quality and without
-toxicity, of which half, by a hash of the id, is set apart. Its size is bounded by two
-parameters, ``TRAIN_DOCS`` documents, spread over the languages, and ``TRAIN_TOKENS``
-tokens of them; a text that does not fit is passed over. Every document is scored, and the
-thresholds come from all trusted documents of the half that was set apart, so not from
-texts the model has learnt.
+toxicity, of which half, by a hash of the id, is set apart. It learns from every document of
+the other half. Two parameters may bound it, ``TRAIN_DOCS`` documents, spread over the
+languages, and ``TRAIN_TOKENS`` tokens of them (a text that does not fit is passed over); by
+default neither does. Every document is scored, and the thresholds come from all trusted
+documents of the half that was set apart, so not from texts the model has learnt.
 
 With interpolated probabilities the log probability of a text is a sum of one weight per
 unigram, bigram and trigram that the model knows, so perplexity is a join of n-grams with
 counts turned into weights. Counts, continuation counts, context totals and discounts are
-joined as tables dealt out by n-gram. Texts look n-grams up in the weights of all unigrams
-and bigrams and of repeated trigrams, a table bounded by the sample, which every task has;
-trigrams seen once, the longest part, stay dealt out, and a text joins them only where a
-bitmap says it may have one.
+joined as tables dealt out by n-gram. Texts look n-grams up in the weights of the most
+frequent ones, at most ``SHARED``, which every task has; all others stay dealt out, and a
+text joins them only where a bitmap of fixed size says it may have one. Neither changes a
+result.
 
 Defined results: a null text is empty and has one token, its end; a language of
 fewer than ``LEAST_TEXTS`` trusted documents set apart is judged by those of all languages,
@@ -35,7 +35,10 @@ from pyspark.sql.types import ArrayType, LongType
 
 from stayline.llm.common import as_row, keep
 
-TRAIN_DOCS, TRAIN_TOKENS = 1500, 1_000_000
+#: None: all trusted documents that are not set apart.
+TRAIN_DOCS, TRAIN_TOKENS = None, None
+#: N-grams whose weights tasks know by themselves.
+SHARED = 1 << 20
 #: A text is rejected above this quantile of its language's trusted texts, or of all trusted
 #: texts where the language has too few to have such a quantile.
 QUANTILE, LEAST_TEXTS = 0.999, 1000
@@ -121,12 +124,16 @@ def _within(sizes: list, tokens: int) -> list:
 
 
 def sample(docs: DataFrame, trusted: DataFrame, text: str, doc_id: str, lang: str = "lang") -> DataFrame:
-    """Trusted texts to learn from, within both bounds and spread over the languages.
+    """Trusted texts to learn from: all, or those within the bounds, spread over the languages.
 
-    Documents go by the hash of their id times the documents of their language, so each
+    Under a bound documents go by the hash of their id times the documents of their language, so each
     language gives about as many as any other, until it has no more. Rows of one id are
     taken together. Only ids and sizes, TRAIN_DOCS of them, are put in order.
     """
+    if TRAIN_DOCS is None and TRAIN_TOKENS is None:
+        ids = trusted.where(~_apart(F.col("doc_id"))).select(F.col("doc_id").alias("chosen"))
+        given = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
+        return given.join(ids, F.col("id") == F.col("chosen"), "left_semi").select("text")
     ids = trusted.where(~_apart(F.col("doc_id"))).select(F.col("doc_id").alias("chosen"))
     spoken = F.col(f"`{lang}`") if lang in docs.columns else F.lit(None).cast("string")
     known = docs.select(F.col(f"`{doc_id}`").alias("id"), spoken.alias("l")).join(
@@ -134,10 +141,13 @@ def sample(docs: DataFrame, trusted: DataFrame, text: str, doc_id: str, lang: st
     known = keep(known, "trusted")
     many = known.groupBy(F.col("l").alias("of")).agg(F.count(F.lit(1)).alias("many"))
     part = F.pmod(F.xxhash64("chosen"), F.lit(1 << 40))
-    chosen = keep(known.join(many, F.col("l").eqNullSafe(F.col("of"))).select(
-        "chosen", (part * F.col("many")).cast("decimal(38,0)").alias("place")).orderBy("place", "chosen").limit(TRAIN_DOCS), "trusted")
+    chosen = known.join(many, F.col("l").eqNullSafe(F.col("of"))).select(
+        "chosen", (part * F.col("many")).cast("decimal(38,0)").alias("place"))
+    chosen = keep(chosen if TRAIN_DOCS is None else chosen.orderBy("place", "chosen").limit(TRAIN_DOCS), "trusted")
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text")).join(
-        F.broadcast(chosen), F.col("id") == F.col("chosen"))
+        chosen, F.col("id") == F.col("chosen"))
+    if TRAIN_TOKENS is None:
+        return rows.select("text")
     tokens = F.size(F.split(F.decode("text", "UTF-8"), "[\\x20\\x09-\\x0D]+"))
     sizes = rows.groupBy("place", "chosen").agg(F.sum(F.coalesce(tokens, F.lit(0))).alias("n")).orderBy("place", "chosen").collect()
     return rows.where(F.col("id").isin(_within(sizes, TRAIN_TOKENS))).select("text")
@@ -219,6 +229,30 @@ def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, maybe: n
     return out
 
 
+def _least_shared(table: DataFrame) -> int:
+    """The least ``times`` of n-grams that tasks know: at most SHARED n-grams reach it."""
+    octave = F.floor(16 * F.log2(F.col("times"))).alias("o")
+    sizes = table.groupBy(octave).agg(F.count(F.lit(1)).alias("n"), F.min("times").alias("least")).collect()
+    least, total = 1 << 62, 0
+    for row in sorted(sizes, key=lambda r: -r["o"]):  # a few hundred classes of counts
+        total += row["n"]
+        if total > SHARED:
+            break
+        least = row["least"]
+    return least
+
+
+def _bitmap_of(table: DataFrame) -> np.ndarray:
+    """The bitmap of a table's keys, put together in the tasks; its size is fixed."""
+    place = F.shiftrightunsigned("key", 64 - _BITS)
+    words = table.groupBy(F.shiftright(place, 6).alias("at")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - _BITS}) & 63 as int))")).alias("bits"))
+    words = keep(words, "bitmap").toArrow()
+    out = np.zeros(1 << (_BITS - 6), np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out.astype("<i8").view(np.uint8)
+
+
 def _bitmap(keys: np.ndarray) -> np.ndarray:
     bits = np.zeros(1 << (_BITS - 3), np.uint8)
     place = keys >> np.uint64(64 - _BITS)
@@ -232,10 +266,10 @@ def _in_bitmap(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def _scored(shared, unknown: float, begin: float):
-    """Per row: tokens, log10 probability from the shared weights, and the trigrams that
-    may be among those seen once, with how often."""
+    """Per row: tokens, log10 probability from the shared weights, and the n-grams that may
+    be among those dealt out, with how often."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, values, maybe, once = shared.value
+        known, values, maybe, dealt = shared.value
         for batch in batches:
             tokens, score, rare = [], [], []
             for at in range(0, batch.num_rows, 256):
@@ -253,9 +287,14 @@ def _scored(shared, unknown: float, begin: float):
                 w[2:] += np.where(whole, _looked_up(three, known, values, maybe), 0.0)
                 tokens += (sizes - 1).tolist()
                 score += (np.add.reduceat(w, ends - sizes) + unknown * (sizes - 1)).tolist()
-                few = np.flatnonzero(whole & _in_bitmap(three, once))
-                cuts = np.searchsorted(doc[few], np.arange(1, len(keys)))
-                rare += [x.view(np.int64) for x in np.split(three[few], cuts)]
+                valid = np.ones(len(one), bool)
+                valid[ends - sizes] = False
+                few = [np.flatnonzero(v & _in_bitmap(k, dealt)) for v, k in ((valid, one), (inside, two), (whole, three))]
+                of = np.concatenate([doc[f] for f in few])
+                order = np.argsort(of, kind="stable")
+                grams = np.concatenate([k[f] for f, k in zip(few, (one, two, three))])[order]
+                cuts = np.searchsorted(of[order], np.arange(1, len(keys)))
+                rare += [x.view(np.int64) for x in np.split(grams, cuts)]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(tokens, pa.int64()), pa.array(score, pa.float64()),
                 pa.array(rare, pa.list_(pa.int64())),
@@ -270,12 +309,12 @@ def perplexities(
     """``row`` (the columns ``carry``, default all but ``text``), ``n_tokens``,
     ``log10_prob`` and ``perplexity``."""
     table, unknown, begin = weights(sample(docs, trusted, text, doc_id))
-    common = table.where("order < 3 or times > 1").select("key", "weight").toArrow()
+    least = _least_shared(table)
+    common = table.where(F.col("times") >= least).select("key", "weight").toArrow()
     order = np.argsort(keys := common["key"].to_numpy().view(np.uint64))
     known, values = keys[order], common["weight"].to_numpy()[order]
-    once = table.where("order = 3 and times = 1").select("key", "weight")
-    once_keys = once.select("key").toArrow()["key"].to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast((known, values, _bitmap(known), _bitmap(once_keys)))
+    dealt = table.where(F.col("times") < least).select("key", "weight")
+    shared = docs.sparkSession.sparkContext.broadcast((known, values, _bitmap(known), _bitmap_of(dealt)))
 
     carry = [c for c in docs.columns if c != text] if carry is None else carry
     given = docs.select(as_row(docs, carry), F.col(f"`{text}`").cast("binary").alias("t"))
@@ -283,7 +322,7 @@ def perplexities(
     scored = keep(given.mapInArrow(_scored(shared, unknown, begin), out).withColumn(
         "rid", F.monotonically_increasing_id()), "scores")
     uses = scored.select("rid", F.explode("rare").alias("gram"))
-    added = uses.join(once, F.col("gram") == F.col("key")).groupBy(F.col("rid").alias("r")).agg(F.sum("weight").alias("more"))
+    added = uses.join(dealt, F.col("gram") == F.col("key")).groupBy(F.col("rid").alias("r")).agg(F.sum("weight").alias("more"))
     whole = scored.join(added, F.col("rid") == F.col("r"), "left")
     log = F.col("partial") + F.coalesce("more", F.lit(0.0))
     return whole.select("row", "n_tokens", log.alias("log10_prob"), F.pow(F.lit(10.0), -log / F.col("n_tokens")).alias("perplexity"))

@@ -379,6 +379,24 @@ def test_long_texts_and_large_languages_leave_room_in_the_sample(spark, monkeypa
     assert len(got) == 20 and {t for *_, t in few} <= set(got)
 
 
+def test_the_model_learns_from_every_trusted_text_not_set_apart(spark):
+    ids = [r.id for r in spark.range(4000).where(~kneser_ney._apart(F.col("id"))).collect()]
+    docs = spark.createDataFrame([(i, "en", f"{i} {LONG if k == 0 else ''}") for k, i in enumerate(ids)], "doc_id long, lang string, text string")
+    learnt = kneser_ney.sample(docs, docs.select("doc_id"), "text", "doc_id").collect()
+    assert len(ids) > 1500 and sorted(int(r.text.split()[0]) for r in learnt) == ids
+
+
+def test_ngrams_beyond_those_that_tasks_know_weigh_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(60, i % 40)) for i in range(60)], "doc_id long, text string")
+    def scored():
+        return {r.doc_id: r.log10_prob for r in kneser_ney.perplexities(docs, docs.select("doc_id")).select("row.doc_id", "log10_prob").collect()}
+
+    whole = scored()
+    monkeypatch.setattr(kneser_ney, "SHARED", 30)
+    few = scored()
+    assert whole.keys() == few.keys() and all(math.isclose(whole[i], few[i], rel_tol=1e-9) for i in whole)
+
+
 def test_thresholds_are_quantiles_of_texts_set_apart(spark):
     """A language of few texts is judged by all of them, one of many by its own."""
     ids = [r.id for r in spark.range(8000).where(kneser_ney._apart(F.col("id"))).collect()]
