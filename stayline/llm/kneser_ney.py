@@ -78,18 +78,18 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _trigram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(order, key, context, last, rest): an n-gram, what it is without its last word, its
-    last word, and what it is without its first. Bigrams only where a text begins."""
+    """(order, key, context, rest): an n-gram, what it is without its last word, and what it
+    is without its first. Bigrams only where a text begins."""
     for batch in batches:
         for text in batch.column(0):
             one, two, three = _ngrams(_word_keys(text.as_py()))
             order = np.concatenate([[2], np.full(len(three), 3)]).astype(np.int32)
             columns = [
                 np.concatenate([two[:1], three]), np.concatenate([one[:1], two[:-1]]),
-                np.concatenate([one[1:2], one[2:]]), np.concatenate([one[1:2], two[1:]]),
+                np.concatenate([one[1:2], two[1:]]),
             ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(order), *map(_signed, columns)], ["order", "key", "context", "last", "rest"])
+                [pa.array(order), *map(_signed, columns)], ["order", "key", "context", "rest"])
 
 
 def _bigram_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,14 +180,14 @@ def weights(texts: DataFrame) -> tuple[DataFrame, float, float]:
     """(key, order, times, weight) of the model's n-grams; the log probability of an unknown
     word; and the context weight of a text's begin."""
     texts = keep(texts, "sample")
-    rows = keep(texts.mapInArrow(_trigram_rows, "order int, key long, context long, last long, rest long"), "ngrams")
-    begins = rows.where("order = 2")
-    three = keep(rows.where("order = 3").groupBy("key", "context", "last", "rest").agg(F.count(F.lit(1)).alias("c")), "counts")
+    rows = keep(texts.mapInArrow(_trigram_rows, "order int, key long, context long, rest long").groupBy(
+        "order", "key", "context", "rest").agg(F.count(F.lit(1)).alias("c")), "counts")
+    begins, three = rows.where("order = 2"), rows.where("order = 3").drop("order")
     parts = keep(texts.mapInArrow(_bigram_parts, "key long, context long, last long").groupBy("key", "context", "last").agg(
         F.count(F.lit(1)).alias("times")), "counts")
     # Lower orders count the different words before an n-gram; at a text's begin, texts.
     before = three.groupBy(F.col("rest").alias("k")).agg(F.count(F.lit(1)).alias("c")).union(
-        begins.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("c")))
+        begins.groupBy(F.col("key").alias("k")).agg(F.sum("c").alias("c")))
     two = keep(parts.join(before, F.col("key") == F.col("k")).drop("k"), "counts")
     one = keep(two.groupBy(F.col("last").alias("key")).agg(
         F.count(F.lit(1)).alias("c"), F.sum("times").alias("times")), "counts")
