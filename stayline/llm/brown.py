@@ -27,13 +27,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from stayline.llm.common import keep
+from stayline.llm.common import drop, keep, small_batches
 
 #: Most frequent words that tasks know by themselves, and that start the exchange on a full matrix.
 FREQUENT, EXCHANGED = 200_000, 1500
@@ -50,7 +49,6 @@ _FLUSH = 150_000
 #: _HEAD_BLOCK. The neighbours of a block are dealt into parts of about _PART_TOKENS tokens.
 _WORD_BLOCK, _HEAD_BLOCK, _PART_TOKENS = 4096, 64, 1 << 19
 _HEADS = _WORD_BLOCK // _HEAD_BLOCK
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -82,8 +80,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _numbered(counts: DataFrame) -> tuple[DataFrame, int]:
-    """(word, train, number) of all classed words, the most frequent first, and how many."""
+def _numbered(counts: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """(word, train, number) of all classed words, the most frequent first, how many, and the
+    table that is read for them."""
     order = counts.where(F.col("train") >= LEAST_COUNT).orderBy(F.desc("train"), "word")
     placed = keep(order.withColumn("place", F.monotonically_increasing_id()), "classed")
     part, shifts, total = F.shiftright("place", 33), [], 0
@@ -92,7 +91,7 @@ def _numbered(counts: DataFrame) -> tuple[DataFrame, int]:
         total += row["count"]
     shift = counts.sparkSession.createDataFrame(shifts, "part long, shift long")
     return placed.join(F.broadcast(shift), part == F.col("part")).select(
-        "word", "train", (F.col("place") + F.col("shift")).alias("number")), total
+        "word", "train", (F.col("place") + F.col("shift")).alias("number")), total, placed
 
 
 _TOKENS = "held_out boolean, n_words long, known long, base double, model double, ids binary"
@@ -294,21 +293,10 @@ def _merged(rows: pa.Table) -> pa.Table:
 def neighbours(ids: DataFrame, tokens: int, classed: int) -> DataFrame:
     """The table of ``_neighbours``, merged, for about ``tokens`` tokens of ``classed`` words."""
     found = ids.mapInArrow(_neighbours(*_parts(tokens, classed)), _PACKED)
-    with _small_batches(ids.sparkSession):
+    with small_batches(ids.sparkSession):
         return keep(found.groupBy("first", "part").applyInArrow(_merged, _PACKED), "near")
 
 
-@contextmanager
-def _small_batches(spark: SparkSession):
-    """Rows of packed arrays go to the tasks' Python a few at a time."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, "8m")
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH, before)
-
-
 def _unpacked(batches: Iterator[pa.RecordBatch]):
     """(first, head, near, n) of merged rows."""
     for batch in batches:
@@ -410,7 +398,9 @@ def exchange_all(near: DataFrame, of: np.ndarray, started: int) -> tuple[np.ndar
 
     def moved(of: np.ndarray, between: np.ndarray, least: int, half: int | None) -> np.ndarray:
         cells = near.mapInArrow(_near_classes(share(of), least, half), "first long, cells binary, n binary")
-        rows = keep(cells.groupBy("first").applyInArrow(_assign(between), "first long, to binary"), "classes").toArrow()
+        moves = keep(cells.groupBy("first").applyInArrow(_assign(between), "first long, to binary"), "classes")
+        rows = moves.toArrow()
+        drop(moves)
         new = of.copy()
         for first, to in zip(rows["first"].to_pylist(), rows["to"].to_pylist()):
             to = np.frombuffer(to, np.uint8)
@@ -457,9 +447,13 @@ def _trigrams(shared):
 def _cells(counted: DataFrame, size: int) -> np.ndarray:
     """Summed counts by cell; there are ``size`` cells, whatever the corpus."""
     summed = counted.groupBy("cell").agg(F.sum("n").alias("n"))
-    summed = (summed if size <= _ALL * _ALL else keep(summed, "cells")).toArrow()
     out = np.zeros(size, np.int64)
-    out[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    written = size > _ALL * _ALL
+    summed = keep(summed, "cells") if written else summed
+    rows = summed.toArrow()
+    if written:
+        drop(summed)
+    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
@@ -478,9 +472,7 @@ def _scored(shared):
     """Rows with the model's part that hangs on classes added to each text's sum."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, transition = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             end, parts = np.array([-2], np.int32), [np.array([-2], np.int32)]
             for ids in batch.column(6):
                 parts += [np.frombuffer(ids.as_py(), np.int32), end]
@@ -496,6 +488,11 @@ def scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """Per row of ``docs``: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score`` (add-one unigrams) and ``score`` (the class model),
     both log10 of the text's probability, and ``perplexity`` under the model."""
+    with small_batches(docs.sparkSession):
+        return _scores(docs, text, doc_id)
+
+
+def _scores(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
     given = docs.select(
@@ -509,7 +506,7 @@ def scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     n_train, kinds = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
     smooth = n_train + kinds + 1
 
-    numbered, classed = _numbered(counts)
+    numbered, classed, placed = _numbered(counts)
     top = numbered.where(F.col("number") < FREQUENT).toArrow().sort_by("number")
     train = top["train"].to_numpy()
     own = {bytes(w): i for i, w in enumerate(top["word"].to_pylist())}
@@ -547,6 +544,7 @@ def scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
         "doc_id", "held_out", "n_words", plus("known", "k"), plus("base", "b"), plus("model", "m"), "ids",
         F.coalesce("found", none).alias("found"))
     texts = keep(whole.mapInArrow(_placed, f"doc_id {doc_type}, {_TOKENS}"), "texts")
+    drop(tokens, added, counts, placed)
 
     trained = texts.where(~F.col("held_out")).select("ids")
     width = min(EXCHANGED, classed)
@@ -556,16 +554,17 @@ def scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     of[-2] = END
     of[:width] = exchange(bigrams, 2)
     near = neighbours(trained, n_train, classed)
-    with _small_batches(spark):
-        of, between = exchange_all(near, of, width)
+    of, between = exchange_all(near, of, width)
+    drop(near)
 
     trigrams = _cells(trained.mapInArrow(_trigrams(share(of)), "cell long, n long"), _ALL ** 3)
     # A word's emission is its count (in ``model``) over its class's.
     in_class = np.concatenate([np.maximum(between.sum(axis=0)[:CLASSES], 1), [1.0, 1.0]])
     transition = np.log10(transitions(trigrams.reshape(_ALL, _ALL, _ALL))) - np.log10(in_class)
-    scored = texts.mapInArrow(
+    scored = keep(texts.mapInArrow(
         _scored(share((of, transition))),
-        f"doc_id {doc_type}, held_out boolean, n_words long, known long, base double, model double")
+        f"doc_id {doc_type}, held_out boolean, n_words long, known long, base double, model double"), "scored")
+    drop(texts)
     end = float(np.log10((ends + 1) / smooth))
     named = scored.select(
         "doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("known") + F.lit(int(ends > 0))).alias("n_known"),

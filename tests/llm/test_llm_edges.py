@@ -1,10 +1,13 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
 
 import math
+import os
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from stayline.llm import (
     balltree, bpe, brown, chat, components, kneser_ney, mixing, packing, quality_rules, queries, simhash, substrings,
 )
 from stayline.llm.common import keep
+from stayline.session import shared_dir
 
 _random = random.Random(5)
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -294,6 +298,28 @@ def test_words_beyond_those_that_tasks_know_score_the_same(spark, monkeypatch):
         assert math.isclose(r.base_score, few[i].base_score, rel_tol=1e-12) and math.isclose(r.score, few[i].score, rel_tol=1e-12)
 
 
+def test_brown_deletes_what_no_later_step_reads(spark):
+    docs = spark.createDataFrame([(i, prose(60, i)) for i in range(80)], "doc_id long, text string")
+    before = set(os.listdir(shared_dir(spark)))
+    got = brown.scores(docs)
+    left = set(os.listdir(shared_dir(spark))) - before
+    assert [x.split("-")[0] for x in left] == ["scored"] and got.count() == 80
+
+
+def test_brown_scores_a_large_batch_in_slices():
+    """Memory of a task follows the slice, not the batch."""
+    texts = [np.arange(i % 5, dtype=np.int32) for i in range(2000)]
+    n = np.array([len(t) for t in texts])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(2000)), pa.array([False] * 2000), *(pa.array(n) for _ in range(2)), *(pa.array(n * 0.5) for _ in range(2)),
+         pa.array([t.tobytes() for t in texts], pa.binary())], ["doc_id", "held_out", "n_words", "known", "base", "model", "ids"])
+    of = np.array([0, 1, 2, 3, brown.END, brown.RARE], np.uint8)
+    step = np.full((brown._ALL,) * 3, -1.0)
+    done = list(brown._scored(SimpleNamespace(value=(of, step)))(iter([batch])))
+    assert max(b.num_rows for b in done) <= 512
+    assert np.allclose(np.concatenate([b.column(5).to_numpy() for b in done]), n * 0.5 - (n + 1))
+
+
 def test_words_that_do_not_start_the_exchange_find_planted_classes(spark):
     """Words of two kinds that only follow the other kind; four of them start the exchange."""
     r = random.Random(4)
