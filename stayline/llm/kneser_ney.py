@@ -15,6 +15,12 @@ frequent ones, at most ``SHARED``, which every task has; all others stay dealt o
 text joins them only where a bitmap of fixed size says it may have one. Neither changes a
 result.
 
+All that is counted of a trigram hangs on n-grams with its middle word. So trigrams are
+counted in ``SLICES`` of their middle words, one after the other, and texts are scored in
+``PORTIONS``, each joined with one of ``SHARES`` of the n-grams dealt out at a time; what a
+slice wrote is deleted once nothing reads it. These bound the disk that
+is used at a time and change no result.
+
 Defined results: a null text is empty and has one token, its end; a language of
 fewer than ``LEAST_TEXTS`` trusted documents set apart is judged by those of all languages,
 and with no trusted document at all
@@ -33,12 +39,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from stayline.llm.common import as_row, keep
+from stayline.llm.common import as_row, drop, keep
 
 #: None: all trusted documents that are not set apart.
 TRAIN_DOCS, TRAIN_TOKENS = None, None
 #: N-grams whose weights tasks know by themselves.
 SHARED = 1 << 20
+#: Slices in which trigrams are counted, portions in which texts are scored, and shares of the
+#: n-grams dealt out that a portion is joined with, each one after the other.
+SLICES, PORTIONS, SHARES = 4, 4, 4
 #: A text is rejected above this quantile of its language's trusted texts, or of all trusted
 #: texts where the language has too few to have such a quantile.
 QUANTILE, LEAST_TEXTS = 0.999, 1000
@@ -77,28 +86,28 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _trigram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(order, key, context, rest): an n-gram, what it is without its last word, and what it
-    is without its first. Bigrams only where a text begins."""
-    for batch in batches:
-        for text in batch.column(0):
-            one, two, three = _ngrams(_word_keys(text.as_py()))
-            order = np.concatenate([[2], np.full(len(three), 3)]).astype(np.int32)
-            columns = [
-                np.concatenate([two[:1], three]), np.concatenate([one[:1], two[:-1]]),
-                np.concatenate([one[1:2], two[1:]]),
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(order), *map(_signed, columns)], ["order", "key", "context", "rest"])
-
+def _trigram_rows(part: int):
+    """(order, key, context, rest, first, last) of one slice: a trigram, its first two words,
+    its last two, and these by themselves. Order 2 is a bigram that begins a text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                keys = [_word_keys(x.as_py()) for x in batch.column(0).slice(at, 64)]
+                ends = np.cumsum([len(k) for k in keys])
+                one, two, three = _ngrams(np.concatenate(keys))
+                # Place i has the bigram from i on; its trigram begins a word before.
+                mine = _mixed(one[:-1]) % np.uint64(SLICES) == part
+                mine[ends[:-1] - 1] = False  # from one text to the next
+                mine = np.flatnonzero(mine)
+                begins = np.isin(mine, np.concatenate([[0], ends[:-1]]))
+                before = np.maximum(mine - 1, 0)
+                key = np.where(begins, two[mine], three[before] if len(three) else two[mine])
+                columns = [key, np.where(begins, one[mine], two[before]), two[mine], one[mine], one[mine + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.where(begins, 2, 3).astype(np.int32)), *map(_signed, columns)],
+                    ["order", "key", "context", "rest", "first", "last"])
 
-def _bigram_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, context, last) of every bigram of the sample."""
-    for batch in batches:
-        for text in batch.column(0):
-            one, two, _ = _ngrams(_word_keys(text.as_py()))
-            yield pa.RecordBatch.from_arrays(
-                list(map(_signed, (two, one[:-1], one[1:]))), ["key", "context", "last"])
+    return run
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -153,10 +162,14 @@ def sample(docs: DataFrame, trusted: DataFrame, text: str, doc_id: str, lang: st
     return rows.where(F.col("id").isin(_within(sizes, TRAIN_TOKENS))).select("text")
 
 
-def _discounts(counts: DataFrame) -> list[float]:
+def _counted(counts: DataFrame) -> dict:
+    """How many counts are one, two, three and four."""
+    return counts.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first().asDict()
+
+
+def _discounts(*counted: dict) -> list[float]:
     """Modified Kneser-Ney discounts for counts of one, two, and three or more."""
-    n = counts.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (float(n[f"n{k}"]) for k in (1, 2, 3, 4))
+    n1, n2, n3, n4 = (float(sum(n[f"n{k}"] for n in counted)) for k in (1, 2, 3, 4))
     if not (n1 and n2 and n3):
         return [0.5, 0.75, 0.9]  # too few counts to estimate from
     y = n1 / (n1 + 2 * n2)
@@ -169,54 +182,94 @@ def _discounted(counts: DataFrame, discounts: list[float]) -> Column:
     return c - F.when(c == 1, discounts[0]).when(c == 2, discounts[1]).otherwise(discounts[2])
 
 
-def _spread(counts: DataFrame, discounts: list[float]) -> DataFrame:
+def _contexts(counts: DataFrame) -> DataFrame:
+    """Per context its total, and how many of its n-grams were counted once, twice, more often."""
+    c = F.col("c")
+    return counts.groupBy(F.col("context").alias("of")).agg(
+        F.sum(c).alias("total"), F.count_if(c == 1).alias("m1"), F.count_if(c == 2).alias("m2"), F.count_if(c > 2).alias("m3"))
+
+
+def _spread(contexts: DataFrame, discounts: list[float]) -> DataFrame:
     """Per context its total and ``gamma``, the mass that discounts leave to lower orders."""
-    freed = F.col("c") - _discounted(counts, discounts)
-    return counts.groupBy(F.col("context").alias("of")).agg(F.sum("c").alias("total"), F.sum(freed).alias("freed")).select(
-        "of", "total", (F.col("freed") / F.col("total")).alias("gamma"))
+    freed = sum((F.col(f"m{k}") * d for k, d in enumerate(discounts, 1)), F.lit(0.0))
+    return contexts.select("of", "total", (freed / F.col("total")).alias("gamma"))
+
+
+def _trigrams(texts: DataFrame, part: int, *by: str) -> DataFrame:
+    """Counts of a slice's trigrams, and of the bigrams of its words that begin texts."""
+    rows = texts.mapInArrow(
+        _trigram_rows(part), "order int, key long, context long, rest long, first long, last long")
+    return keep(rows.groupBy("order", "key", "context", "rest", *by).agg(F.count(F.lit(1)).alias("c")), "counts")
+
+
+def _bigrams(texts: DataFrame, part: int) -> tuple[DataFrame, DataFrame, dict]:
+    """Of a slice: (key, context, last, times, c) of its bigrams, the contexts of its
+    trigrams, and how many of these were counted how often."""
+    rows = _trigrams(texts, part, "first", "last")
+    three = rows.where("order = 3")
+    # Lower orders count the different words before an n-gram; at a text's begin, texts.
+    two = keep(rows.groupBy(F.col("rest").alias("key"), F.col("first").alias("context"), "last").agg(
+        F.sum("c").alias("times"), F.sum(F.when(F.col("order") == 2, F.col("c")).otherwise(1)).alias("c")), "counts")
+    contexts, counted = keep(_contexts(three), "contexts"), _counted(three)
+    drop(rows)
+    return two, contexts, counted
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    """One table of kept slices."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(t._kept_at for t in tables))
 
 
 def weights(texts: DataFrame) -> tuple[DataFrame, float, float]:
     """(key, order, times, weight) of the model's n-grams; the log probability of an unknown
     word; and the context weight of a text's begin."""
     texts = keep(texts, "sample")
-    rows = keep(texts.mapInArrow(_trigram_rows, "order int, key long, context long, rest long").groupBy(
-        "order", "key", "context", "rest").agg(F.count(F.lit(1)).alias("c")), "counts")
-    begins, three = rows.where("order = 2"), rows.where("order = 3").drop("order")
-    parts = keep(texts.mapInArrow(_bigram_parts, "key long, context long, last long").groupBy("key", "context", "last").agg(
-        F.count(F.lit(1)).alias("times")), "counts")
-    # Lower orders count the different words before an n-gram; at a text's begin, texts.
-    before = three.groupBy(F.col("rest").alias("k")).agg(F.count(F.lit(1)).alias("c")).union(
-        begins.groupBy(F.col("key").alias("k")).agg(F.sum("c").alias("c")))
-    two = keep(parts.join(before, F.col("key") == F.col("k")).drop("k"), "counts")
+    twos, threes, counted = zip(*(_bigrams(texts, part) for part in range(SLICES)))
+    two = _union(twos)
     one = keep(two.groupBy(F.col("last").alias("key")).agg(
         F.count(F.lit(1)).alias("c"), F.sum("times").alias("times")), "counts")
 
-    d1, d2, d3 = (_discounts(x) for x in (one, two, three))
+    d1, d2, d3 = _discounts(_counted(one)), _discounts(_counted(two)), _discounts(*counted)
     whole = one.agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("v"), F.sum(F.col("c") - _discounted(one, d1)).alias("f")).first()
     total = float(whole["t"] or 1)
     unknown = (whole["f"] / total if whole["t"] else 1.0) / (whole["v"] + 1)
     p1 = one.select(F.col("key").alias("w"), (_discounted(one, d1) / total + unknown).alias("p1"))
-    spread2, spread3 = keep(_spread(two, d2), "contexts"), keep(_spread(three, d3), "contexts")
-    p2 = keep(
-        two.join(p1, F.col("last") == F.col("w")).join(spread2, F.col("context") == F.col("of")).select(
-            "key", "times", "p1", "gamma", (_discounted(two, d2) / F.col("total") + F.col("gamma") * F.col("p1")).alias("p2")),
-        "weights")
-    lower = p2.select(F.col("key").alias("k"), "p2")
-    of3 = spread3.select(F.col("of").alias("of3"), F.col("gamma").alias("gamma3"))
-    w3 = three.join(lower, F.col("rest") == F.col("k")).join(spread3, F.col("context") == F.col("of")).select(
-        "key", F.lit(3).alias("order"), F.col("c").alias("times"),
-        (F.log10(_discounted(three, d3) / F.col("total") + F.col("gamma") * F.col("p2")) - F.log10(F.col("gamma") * F.col("p2"))).alias("weight"))
-    w2 = p2.join(of3, F.col("key") == F.col("of3"), "left").select(
+    spread2 = keep(_spread(_contexts(two), d2), "contexts")
+
+    w3, p2 = [], []
+    for part in range(SLICES):
+        own = twos[part]
+        lower = F.col("gamma") * F.col("p1")
+        chance = _discounted(own, d2) / F.col("total") + lower
+        p2.append(keep(
+            own.join(p1, F.col("last") == F.col("w")).join(spread2, F.col("context") == F.col("of")).select(
+                "key", "times", chance.alias("p2"), (F.log10(chance) - F.log10(lower)).alias("gain")), "weights"))
+        drop(own)
+        rows = _trigrams(texts, part)
+        three, below = rows.where("order = 3"), p2[part].select(F.col("key").alias("k"), "p2")
+        lower = F.col("gamma") * F.col("p2")
+        w3.append(keep(
+            three.drop("order").join(below, F.col("rest") == F.col("k")).join(_spread(threes[part], d3), F.col("context") == F.col("of")).select(
+                "key", F.lit(3).alias("order"), F.col("c").alias("times"),
+                (F.log10(_discounted(three, d3) / F.col("total") + lower) - F.log10(lower)).alias("weight")), "weights"))
+        drop(rows)
+        # Only the weight over the lower order is read from here on.
+        slim = keep(p2[part].select("key", "times", "gain"), "weights")
+        drop(p2[part])
+        p2[part] = slim
+    drop(texts)
+    of3 = _spread(_union(threes), d3).select(F.col("of").alias("of3"), F.col("gamma").alias("gamma3"))
+    w2 = keep(_union(p2).join(of3, F.col("key") == F.col("of3"), "left").select(
         "key", F.lit(2).alias("order"), "times",
-        (F.log10("p2") - F.log10(F.col("gamma") * F.col("p1")) + F.coalesce(F.log10("gamma3"), F.lit(0.0))).alias("weight"))
-    w1 = one.join(p1, F.col("key") == F.col("w")).join(
+        (F.col("gain") + F.coalesce(F.log10("gamma3"), F.lit(0.0))).alias("weight")), "weights")
+    drop(*p2, *threes)
+    w1 = keep(one.join(p1, F.col("key") == F.col("w")).join(
         spread2.select(F.col("of").alias("of2"), F.col("gamma").alias("gamma2")), F.col("key") == F.col("of2"), "left").select(
         "key", F.lit(1).alias("order"), "times",
-        (F.log10("p1") - F.lit(float(np.log10(unknown))) + F.coalesce(F.log10("gamma2"), F.lit(0.0))).alias("weight"))
+        (F.log10("p1") - F.lit(float(np.log10(unknown))) + F.coalesce(F.log10("gamma2"), F.lit(0.0))).alias("weight")), "weights")
     begin = spread2.where(F.col("of") == F.lit(int(np.uint64(_BEGIN).astype(np.int64)))).first()
-    table = keep(w1.union(w2).union(w3), "weights")
-    return table, float(np.log10(unknown)), float(np.log10(begin["gamma"])) if begin else 0.0
+    drop(one, spread2)
+    return _union([w1, w2, *w3]), float(np.log10(unknown)), float(np.log10(begin["gamma"])) if begin else 0.0
 
 
 def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, maybe: np.ndarray) -> np.ndarray:
@@ -269,7 +322,8 @@ def _scored(shared, unknown: float, begin: float):
     """Per row: tokens, log10 probability from the shared weights, and the n-grams that may
     be among those dealt out, with how often."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, values, maybe, dealt = shared.value
+        known, values, dealt = shared.value
+        maybe = _bitmap(known)
         for batch in batches:
             tokens, score, rare = [], [], []
             for at in range(0, batch.num_rows, 256):
@@ -314,18 +368,28 @@ def perplexities(
     order = np.argsort(keys := common["key"].to_numpy().view(np.uint64))
     known, values = keys[order], common["weight"].to_numpy()[order]
     dealt = table.where(F.col("times") < least).select("key", "weight")
-    shared = docs.sparkSession.sparkContext.broadcast((known, values, _bitmap(known), _bitmap_of(dealt)))
+    shared = docs.sparkSession.sparkContext.broadcast((known, values, _bitmap_of(dealt)))
 
     carry = [c for c in docs.columns if c != text] if carry is None else carry
     given = docs.select(as_row(docs, carry), F.col(f"`{text}`").cast("binary").alias("t"))
     out = given.select("row").schema.add("n_tokens", "long").add("partial", "double").add("rare", ArrayType(LongType()))
-    scored = keep(given.mapInArrow(_scored(shared, unknown, begin), out).withColumn(
-        "rid", F.monotonically_increasing_id()), "scores")
-    uses = scored.select("rid", F.explode("rare").alias("gram"))
-    added = uses.join(dealt, F.col("gram") == F.col("key")).groupBy(F.col("rid").alias("r")).agg(F.sum("weight").alias("more"))
-    whole = scored.join(added, F.col("rid") == F.col("r"), "left")
-    log = F.col("partial") + F.coalesce("more", F.lit(0.0))
-    return whole.select("row", "n_tokens", log.alias("log10_prob"), F.pow(F.lit(10.0), -log / F.col("n_tokens")).alias("perplexity"))
+    done = []
+    for portion in range(PORTIONS):
+        own = given.where(F.pmod(F.xxhash64("t"), F.lit(PORTIONS)) == portion)
+        scored = keep(own.mapInArrow(_scored(shared, unknown, begin), out).withColumn(
+            "rid", F.monotonically_increasing_id()), "scores")
+        uses = scored.select("rid", F.explode("rare").alias("gram"))
+        some = lambda key, share: F.pmod(key, F.lit(SHARES)) == share
+        parts = [
+            keep(uses.where(some(F.col("gram"), i)).join(dealt.where(some(F.col("key"), i)), F.col("gram") == F.col("key")).groupBy(
+                F.col("rid").alias("r")).agg(F.sum("weight").alias("more")), "sums") for i in range(SHARES)]
+        added = _union(parts).groupBy("r").agg(F.sum("more").alias("more"))
+        whole = scored.join(added, F.col("rid") == F.col("r"), "left")
+        done.append(keep(whole.select("row", "n_tokens", (F.col("partial") + F.coalesce("more", F.lit(0.0))).alias("log")), "scored"))
+        drop(scored, *parts)
+    log = F.col("log")
+    return _union(done).select(
+        "row", "n_tokens", log.alias("log10_prob"), F.pow(F.lit(10.0), -log / F.col("n_tokens")).alias("perplexity"))
 
 
 def judged(scored: DataFrame, trusted: DataFrame, lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:

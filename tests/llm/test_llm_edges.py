@@ -423,6 +423,22 @@ def test_ngrams_beyond_those_that_tasks_know_weigh_the_same(spark, monkeypatch):
     assert whole.keys() == few.keys() and all(math.isclose(whole[i], few[i], rel_tol=1e-9) for i in whole)
 
 
+def test_kneser_ney_slices_change_no_result_and_are_deleted(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(60, i % 40) if i % 7 else "") for i in range(60)], "doc_id long, text string")
+    def scored(slices):
+        for name in ("SLICES", "PORTIONS", "SHARES"):
+            monkeypatch.setattr(kneser_ney, name, slices)
+        before = set(os.listdir(shared_dir(spark)))
+        got = kneser_ney.perplexities(docs, docs.select("doc_id"))
+        left = {x.split("-")[0] for x in set(os.listdir(shared_dir(spark))) - before}
+        assert not left & {"sample", "counts", "contexts", "scores", "sums"}
+        return {r.doc_id: r.log10_prob for r in got.select("row.doc_id", "log10_prob").collect()}
+
+    monkeypatch.setattr(kneser_ney, "SHARED", 30)
+    whole, sliced = scored(1), scored(3)
+    assert whole.keys() == sliced.keys() and all(math.isclose(whole[i], sliced[i], rel_tol=1e-9) for i in whole)
+
+
 def test_thresholds_are_quantiles_of_texts_set_apart(spark):
     """A language of few texts is judged by all of them, one of many by its own."""
     ids = [r.id for r in spark.range(8000).where(kneser_ney._apart(F.col("id"))).collect()]
