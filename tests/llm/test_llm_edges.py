@@ -439,6 +439,31 @@ def test_kneser_ney_slices_change_no_result_and_are_deleted(spark, monkeypatch):
     assert whole.keys() == sliced.keys() and all(math.isclose(whole[i], sliced[i], rel_tol=1e-9) for i in whole)
 
 
+def test_kneser_ney_keeps_no_counts_beside_weights(spark, monkeypatch):
+    """While the model is made, what is written stays small; groups and heavy words change no result."""
+    docs = spark.createDataFrame([(i, prose(300, i)) for i in range(200)], "doc_id long, text string")
+    most = []
+
+    def size(df, label, before=kneser_ney.keep):
+        out, top = before(df, label), shared_dir(spark).removeprefix("file://")
+        most.append(sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names))
+        return out
+
+    def scored():
+        return {r.doc_id: r.log10_prob for r in kneser_ney.perplexities(docs, docs.select("doc_id")).select("row.doc_id", "log10_prob").collect()}
+
+    for name, value in (("SLICES", 1), ("PORTIONS", 1), ("SHARES", 1)):
+        monkeypatch.setattr(kneser_ney, name, value)
+    whole = scored()
+    start = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(shared_dir(spark).removeprefix("file://")) for f in names)
+    monkeypatch.setattr(kneser_ney, "keep", size)
+    monkeypatch.setattr(kneser_ney, "HEAVY", 20, raising=False)
+    monkeypatch.setattr(kneser_ney, "GROUP_BYTES", 20_000, raising=False)
+    many = scored()
+    assert whole.keys() == many.keys() and all(math.isclose(whole[i], many[i], rel_tol=1e-9) for i in whole)
+    assert max(most) - start < 30 * 200 * 300  # bytes per word
+
+
 def test_thresholds_are_quantiles_of_texts_set_apart(spark):
     """A language of few texts is judged by all of them, one of many by its own."""
     ids = [r.id for r in spark.range(8000).where(kneser_ney._apart(F.col("id"))).collect()]
