@@ -8,8 +8,10 @@ the plain window is all there is.
 
 A hot user's slots are stretches of time with about ``hot_rows`` rows each. Their borders
 are quantiles from a mergeable sketch per hot user, so slots are narrow where the user's
-rows are dense: a burst within one second is cut as finely as it takes. An instant that
-alone holds more than twice that many rows becomes a slot of its own, and its rows are
+rows are dense: a burst within one second is cut as finely as it takes. No user gets more
+than 4096 of them, which bounds what the plan and the driver hold: where the largest has
+more rows than that many slots of ``hot_rows``, slots have a 1/4096 of its rows. An instant
+that alone holds more than twice a slot's rows becomes a slot of its own, and its rows are
 dealt on by sampled ranges of the tiebreak. Both are found from the rows, not asked for.
 ``slot`` fixes the width in seconds instead, and ``by_range`` cuts every user's rows by
 sampled ranges of (keys, time, tiebreak), at the price of a second shuffle and one written
@@ -33,7 +35,8 @@ from stayline.session import stage
 SLOT = "_slot"
 HOT = "_hot"
 _TIME, _CUTS, _STRETCH = "_time", "_cuts", "_stretch"
-#: Ranges that the rows of heavy instants are dealt into, at least and at most.
+#: Ranges that the rows of heavy instants are dealt into, at least, and at most, as many as
+#: a key has stretches. The ranks of a sketch with eight entries a stretch are about so exact.
 _LEAST_WAYS, _MOST_WAYS = 8, 4096
 
 
@@ -65,33 +68,39 @@ def _counted_below(df: DataFrame, cuts: str, value: str, most: int, name: str) -
     return df
 
 
-def stretches(df: DataFrame, keys: Sequence[str], hot: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+def _slot_rows(hot: DataFrame, hot_rows: int) -> int:
+    """Rows of a slot: ``hot_rows``, or the part of the largest key that makes _MOST_WAYS."""
+    return max(hot_rows, -(-hot.agg(F.max("_n").alias("n")).first()["n"] // _MOST_WAYS))
+
+
+def stretches(df: DataFrame, keys: Sequence[str], hot: DataFrame, slot_rows: int) -> tuple[DataFrame, DataFrame]:
     """Per hot key the ascending ``_cuts`` between its stretches, and its heavy instants.
 
     ``df`` has the time as a long, ``_time``. Together they have about one entry per
-    ``hot_rows`` rows of the table, which bounds both broadcasts.
+    ``slot_rows`` rows of the table, which bounds both broadcasts.
     """
     dense = df.join(F.broadcast(hot), list(keys))
-    ways = hot.agg(F.max(F.ceil(F.col("_n") / hot_rows)).alias("w")).first()["w"]
-    ranks = F.array(*[F.lit(i / ways) for i in range(1, int(ways))]).cast("array<double>")
+    ways = hot.agg(F.max(F.ceil(F.col("_n") / slot_rows)).alias("w")).first()["w"]
+    # One text: a column object for each rank takes the driver longer than the job.
+    ranks = F.expr(f"array({', '.join(f'{i / ways!r}D' for i in range(1, int(ways)))})")
     sketch = F.kll_sketch_agg_bigint(F.col(_TIME), F.lit(min(65535, max(200, 8 * int(ways)))))
     sketched = dense.groupBy(*keys).agg(sketch.alias("s"), F.count("*").alias("n"))
     quantiles = F.kll_sketch_get_quantile_bigint("s", ranks) if ways > 1 else F.array().cast("array<bigint>")
     # A key with a part of the rows of the largest takes as large a part of the quantiles.
-    every = F.greatest(F.floor(ways * hot_rows / F.col("n")), F.lit(1))
+    every = F.greatest(F.floor(ways * slot_rows / F.col("n")), F.lit(1))
     borders = sketched.select(*keys, every.alias("every"), quantiles.alias("q")).select(
         *keys, F.filter("q", lambda x, i: (i + 1) % F.col("every") == 0).alias("q"))
-    heavy = stage(hot_keys(dense.drop("_n"), [*keys, _TIME], 2 * hot_rows), "heavy")
+    heavy = stage(hot_keys(dense.drop("_n"), [*keys, _TIME], 2 * slot_rows), "heavy")
     alone = heavy.groupBy(*keys).agg(F.flatten(F.collect_list(F.array(F.col(_TIME), F.col(_TIME) + 1))).alias("own"))
     both = borders.join(alone, list(keys), "left").select(*keys, F.array_sort(F.array_distinct(
         F.concat("q", F.coalesce("own", F.array().cast("array<bigint>"))))).alias(_CUTS))
     return stage(both, "stretches"), heavy
 
 
-def _dealt(heavy_rows: DataFrame, heavy: DataFrame, keys: Sequence[str], at: str, tiebreak: Sequence[str], hot_rows: int) -> DataFrame:
+def _dealt(heavy_rows: DataFrame, heavy: DataFrame, keys: Sequence[str], at: str, tiebreak: Sequence[str], slot_rows: int) -> DataFrame:
     """Rows of heavy instants with a ``_part`` that follows the tiebreak."""
     size = heavy.agg(F.sum("_n").alias("n")).first()["n"]
-    ways = int(min(_MOST_WAYS, max(_LEAST_WAYS, size // hot_rows + 1)))
+    ways = int(min(_MOST_WAYS, max(_LEAST_WAYS, size // slot_rows + 1)))
     ranged = heavy_rows.repartitionByRange(ways, *keys, at, *tiebreak)
     return stage(ranged.select("*", F.spark_partition_id().alias("_part")), "instants")
 
@@ -117,17 +126,21 @@ def _cut(
         stretch = F.when(~placed, astray).when(F.col(HOT), time_slot(F.col(at), slot)).otherwise(F.lit(0))
         return marked.withColumn(SLOT, _slot(stretch)), True
     timed = df.withColumn(_TIME, _as_number(at, df.schema[at].dataType))
-    cuts, heavy = stretches(timed.where(placed).select(*keys, _TIME), keys, hot, hot_rows)
+    slot_rows = _slot_rows(hot, hot_rows)
+    cuts, heavy = stretches(timed.where(placed).select(*keys, _TIME), keys, hot, slot_rows)
     most = cuts.agg(F.max(F.size(_CUTS)).alias("m")).first()["m"]
     marked = timed.join(F.broadcast(cuts), list(keys), "left").withColumn(HOT, F.col(_CUTS).isNotNull())
-    found = _counted_below(marked, _CUTS, _TIME, most, _STRETCH).drop(_CUTS)
+    # Rules that trace a join key to its source write every step of the search into the next,
+    # which names it three times: with 17 steps that fills the driver. A generator ends the trace.
+    found = _counted_below(marked, _CUTS, _TIME, most, _STRETCH).drop(_CUTS).withColumn(
+        _STRETCH, F.explode(F.array(_STRETCH)))
     stretch = F.when(placed, F.col(_STRETCH)).otherwise(astray)
     if heavy.isEmpty():
         return found.withColumn(SLOT, _slot(stretch)).drop(_STRETCH, _TIME), True
     instants = F.broadcast(heavy.select(*keys, _TIME, F.lit(True).alias("_heavy")))
     split = found.join(instants, [*keys, _TIME], "left")
     light = split.where(F.col("_heavy").isNull()).withColumn(SLOT, _slot(stretch))
-    dense = _dealt(split.where("_heavy"), heavy, keys, at, tiebreak, hot_rows).withColumn(
+    dense = _dealt(split.where("_heavy"), heavy, keys, at, tiebreak, slot_rows).withColumn(
         SLOT, _slot(F.col(_STRETCH), F.col("_part") + 1)).drop("_part")
     return light.unionByName(dense).drop(_STRETCH, _TIME, "_heavy"), True
 

@@ -16,6 +16,7 @@ from stayline.operators.ordered import previous_time, running_total
 from stayline.operators.skew import hot_keys, spread_join
 from stayline.operators.sessions import count_logins, event_gaps, login_starts
 from stayline.plans import profile
+from stayline.session import stage
 from stayline.sources import csv, infer, splits
 
 EVENTS = "user_id long, created timestamp, event_name string, level string"
@@ -176,6 +177,29 @@ def test_slots_follow_a_burst(spark):
     assert not carried
 
 
+def test_slots_are_bounded_however_low_the_limit(spark, monkeypatch):
+    """A burst with 900 times the limit of a slot, and an instant with 300 times it."""
+    monkeypatch.setattr(ordered, "_MOST_WAYS", 16)
+    second = spark.range(9000).selectExpr(
+        "7L k", "timestamp_micros(1704067200000000 + if(id % 3 = 0, 250000, id * 7919 % 1000000)) t", "id i")
+    cut, carried = ordered._cut(second, ["k"], "t", ["i"], None, False, hot_rows=10)
+    sizes = [r["count"] for r in cut.groupBy("_slot").count().collect()]
+    assert carried and sum(sizes) == 9000 and 16 <= len(sizes) <= 48
+    plain = rows(second.selectExpr("i", "count(*) over (partition by k order by t, i rows unbounded preceding)"))
+    assert rows(running_total(second, ["k"], "t", ["i"], "n", hot_rows=10).select("i", "n")) == plain
+
+
+def test_the_plan_does_not_grow_with_the_search(spark, monkeypatch):
+    """19 steps, each naming the one before three times, were written into each other."""
+    def stretches(df, keys, hot, slot_rows):
+        cuts = spark.range(1).selectExpr("7L k", f"transform(sequence(1, {2**18}), x -> 1704067200000000 + 3 * x) {ordered._CUTS}")
+        return stage(cuts, "cuts"), hot_keys(df.limit(0), [*keys, ordered._TIME], 1)
+
+    monkeypatch.setattr(ordered, "stretches", stretches)
+    df = stage(spark.range(500).selectExpr("7L k", "timestamp_micros(1704067200000000 + id * 1571) t", "id i"), "rows")
+    assert rows(running_total(df, ["k"], "t", ["i"], "n", hot_rows=10).select("i", "n")) == [(i, i + 1) for i in range(500)]
+
+
 def test_binary_search_counts_cuts(spark):
     df = spark.range(-2, 40).selectExpr("id v", "array(0L, 3L, 3L, 10L, 20L, 21L, 33L) cuts")
     got = ordered._counted_below(df, "cuts", "v", 7, "n").selectExpr("v", "n").collect()
