@@ -189,6 +189,18 @@ def test_slots_are_bounded_however_low_the_limit(spark, monkeypatch):
     assert rows(running_total(second, ["k"], "t", ["i"], "n", hot_rows=10).select("i", "n")) == plain
 
 
+def test_gaps_of_a_burst_need_few_slots(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "_MOST_WAYS", 16)
+    second = stage(spark.range(3000).selectExpr(
+        "7L user_id", "timestamp_micros(1704067200000000 + if(id % 3 = 0, 9000000, id * 7919 % 30000000)) created", "id i"), "second")
+    cut, _ = ordered._cut(second, ["user_id"], "created", ["i"], None, False, hot_rows=4)
+    assert cut.select("_slot").distinct().count() <= 48
+    got = event_gaps(second, ["i"], hot_rows=4).selectExpr("i", "cast(round(gap_hours * 3600) as int) s").fillna(-1)
+    lag = "lag(created) over (partition by user_id order by created, i)"
+    plain = second.selectExpr("i", f"cast(floor((unix_micros(created) - unix_micros({lag})) / 1000000) as int) s").fillna(-1)
+    assert rows(got) == rows(plain)
+
+
 def test_the_plan_does_not_grow_with_the_search(spark, monkeypatch):
     """19 steps, each naming the one before three times, were written into each other."""
     def stretches(df, keys, hot, slot_rows):
