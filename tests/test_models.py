@@ -207,3 +207,32 @@ def test_scenarios_walk_only_trees_they_can_move(spark, planted):
     assert both.count() == 0
     counts = {r.scenario: r.continuing for r in trees.scenario_counts(planted, nodes, FEATURES, scenarios).collect()}
     assert counts == {r.scenario: r.continuing for r in scoring.scenario_counts(model, planted, scenarios).collect()}
+
+
+def test_forest_search_deals_its_folds_once(spark, planted, monkeypatch):
+    """Every fit read a plan that ranked the rows anew: one written frame, and the same scores."""
+    read, fit = [], training.RandomForestClassifier.fit
+
+    def watched(self, df, params=None):
+        read.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return fit(self, df, params)
+
+    monkeypatch.setattr(training.RandomForestClassifier, "fit", watched)
+    tuned = training.tune_forest(planted, FEATURES, ("sqrt",), (1, 20), search_trees=3, final_trees=3, max_depth=3, folds=2)
+    assert len(read) == 5 and not any("Window" in plan for plan in read)
+    folded = splits.with_class_folds(planted, 2)
+    for setting, found in zip((1, 20), tuned.search):
+        right = []
+        for fold in (0, 1):
+            plain = training.RandomForestClassifier(
+                labelCol="y", numTrees=3, maxDepth=3, seed=training.SEED, featureSubsetStrategy="sqrt", minInstancesPerNode=setting)
+            model = training.Pipeline(stages=[*training.feature_stages(FEATURES, False), plain]).fit(folded.where(F.col("fold") != fold))
+            right.append(evaluate.accuracy(training.predict(model, folded.where(F.col("fold") == fold))).first()["accuracy"])
+        assert found["score"] == pytest.approx(sum(right) / 2, abs=0.03)
+
+
+def test_node_ids_with_the_rows_give_the_same_trees(planted):
+    ready = training.VectorAssembler(inputCols=FEATURES, outputCol="features").transform(planted)
+    both = [training.RandomForestClassifier(labelCol="y", numTrees=5, maxDepth=6, seed=1, cacheNodeIds=c, checkpointInterval=-1).fit(ready)
+            for c in (False, True)]
+    assert both[0].toDebugString.split("\n")[1:] == both[1].toDebugString.split("\n")[1:]
