@@ -236,3 +236,19 @@ def test_node_ids_with_the_rows_give_the_same_trees(planted):
     both = [training.RandomForestClassifier(labelCol="y", numTrees=5, maxDepth=6, seed=1, cacheNodeIds=c, checkpointInterval=-1).fit(ready)
             for c in (False, True)]
     assert both[0].toDebugString.split("\n")[1:] == both[1].toDebugString.split("\n")[1:]
+
+
+def test_the_report_predicts_once(spark, planted, forest):
+    """Each measure scored every row anew."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(score):
+        calls.add(1)
+        return score
+
+    score = F.udf(counted, "double")
+    point = scoring.Point(10, 10, tuple(FEATURES))
+    predicted = training.predict(forest, planted).withColumn("score", score("score"))
+    report = scoring.training_report({10: scoring.Fitted(point, forest, {"train": predicted})}).collect()
+    assert calls.value == planted.count()
+    assert [(r.n, r.fitted) for r in report] == [(600.0, True)] and report[0].auc == pytest.approx(auc(forest, planted))
